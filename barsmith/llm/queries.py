@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from barsmith.llm import mixing
+from barsmith.llm import ann, mixing, topk, warc
 
 QUERIES = {
+    "op7_exact_top_k": topk.op7,
     "op8_mix_sources": mixing.op8,
+    "op9_ann_search": ann.op9,
+    "op10_warc": warc.op10,
 }
 
 ORACLE_SQL = {
+    "op7_exact_top_k": topk.OP7_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
 }
