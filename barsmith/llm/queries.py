@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from barsmith.llm import ann, mixing, topk, warc
+from barsmith.llm import ann, bpe, html_text, mixing, topk, warc
 
 QUERIES = {
+    "op2_bpe": bpe.op2,
+    "op5_html_text": html_text.op5,
     "op7_exact_top_k": topk.op7,
     "op8_mix_sources": mixing.op8,
     "op9_ann_search": ann.op9,
