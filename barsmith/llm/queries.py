@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from barsmith.llm import ann, bpe, html_text, mixing, topk, warc
+from barsmith.llm import ann, bpe, html_text, langid, mixing, topk, warc
 
 QUERIES = {
+    "op1_language_id": langid.op1,
     "op2_bpe": bpe.op2,
     "op5_html_text": html_text.op5,
     "op7_exact_top_k": topk.op7,
