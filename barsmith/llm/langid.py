@@ -116,7 +116,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     if not len(y):
         return 1.0
     loss = lambda t: -np.log(np.maximum(softmax(logits / np.exp(t))[np.arange(len(y)), y], 1e-12)).mean()
-    lo, hi, r = -4.0, 3.0, (np.sqrt(5) - 1) / 2
+    lo, hi, r = -1.5, 3.0, (np.sqrt(5) - 1) / 2
     for _ in range(40):
         a, b = hi - r * (hi - lo), lo + r * (hi - lo)
         lo, hi = (lo, b) if loss(a) < loss(b) else (a, hi)
