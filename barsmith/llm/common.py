@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word is a run of anything but space and the five ASCII control blanks.
@@ -34,6 +36,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(batches: Iterable[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """The batches in parts of so many rows, so that what Python makes of whole texts stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at:at + rows]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The murmur3 finaliser, element by element."""
     x = x ^ (x >> np.uint64(33))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barsmith.llm.bpe import vocabulary
+from barsmith.llm.common import small
 
 # Words next to credentials, words next to harmless digests, and the formats of issued keys.
 SECRET_WORDS = {
@@ -37,9 +38,13 @@ ISSUED = {
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----",
 }
-_ASSIGNED = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?|auth[_-]?token)[\"']?[ \t]*(?::=|[:=])[ \t]*[\"']?(?P<assigned>[^\s\"'<>,;]{6,})"
-_RANDOM = r"(?<![A-Za-z0-9+/_=-])(?P<random>(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2})"
-PATTERN = re.compile("|".join([*(f"(?P<{k}>{v})" for k, v in ISSUED.items()), _ASSIGNED, _RANDOM]))
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_ISSUED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in ISSUED.items() if k != "private_key"))
+_PRIVATE_KEY = re.compile(ISSUED["private_key"])
+_RANDOM = re.compile(r"(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}")
+_OPERATOR = re.compile(r"[:=]")
+_NAME = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?)[\"']?[ \t]*:?$", re.IGNORECASE)
+_VALUE = re.compile(r"[ \t]*[\"']?([^\s\"'<>,;=]{6,})")
 #: Characters around a candidate in which neighbouring words are looked for.
 NEAR = 48
 #: The forest: trees, depth, fewest findings in a leaf; labelled findings it is fitted on at most.
@@ -49,10 +54,25 @@ FINDING = "start int, end int, rule string, score double"
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, rule) of everything that could be a secret, in code points, without overlaps."""
-    for m in PATTERN.finditer(text):
-        rule = m.lastgroup
-        yield m.start(rule), m.end(rule), rule
+    """(start, end, rule) of everything that could be a secret, in code points, without overlaps.
+
+    Issued keys and private key blocks come first, then values assigned to a telling name, then long
+    runs that mix letters and digits.
+    """
+    spans: list[tuple[int, int, int, str]] = []
+    if "-----BEGIN" in text:
+        spans += [(0, m.start(), m.end(), "private_key") for m in _PRIVATE_KEY.finditer(text)]
+    for run in _RUN.finditer(text):
+        spans += [(0, m.start(), m.end(), m.lastgroup) for m in _ISSUED.finditer(text, run.start(), run.end())]
+        spans += [(2, m.start(), m.end(), "random") for m in _RANDOM.finditer(text, run.start(), run.end())]
+    for m in _OPERATOR.finditer(text):
+        if _NAME.search(text, max(0, m.start() - 24), m.start()) and (v := _VALUE.match(text, m.end())):
+            spans.append((1, v.start(1), v.end(1), "assigned"))
+    taken: list[tuple[int, int, str]] = []
+    for _, a, b, rule in sorted(spans):
+        if all(b <= x or a >= y for x, y, _ in taken):
+            taken.append((a, b, rule))
+    return iter(sorted(taken))
 
 
 @functools.cache
@@ -259,7 +279,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, id_c
     shared = docs.sparkSession.sparkContext.broadcast(forest or default_forest())  # TREES trees of at most 2**DEPTH leaves
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small(batches, 1024):
             found = scan_texts(batch["text"], shared.value, least)
             rows = [(i, *f) for i, fs in zip(batch["doc_id"], found, strict=True) for f in fs]
             out = pd.DataFrame(rows, columns=["doc_id", "start", "end", "rule", "score"])
@@ -274,7 +294,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, ma
     shared = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small(batches, 1024):
             texts = list(batch["text"])
             for k, found in enumerate(scan_texts(texts, shared.value, least)):
                 for a, b, *_ in reversed(found):
