@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from barsmith.llm import ann, bpe, html_text, langid, mixing, secrets, substrings, topk, warc
+from barsmith.llm import ann, bpe, html_text, langid, mixing, ngram_join, secrets, substrings, topk, warc
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op2_bpe": bpe.op2,
     "op3_repeated_substrings": substrings.op3,
+    "op4_ngram_jaccard": ngram_join.op4,
     "op5_html_text": html_text.op5,
     "op6_secret_scan": secrets.op6,
     "op7_exact_top_k": topk.op7,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_repeated_substrings": substrings.OP3_SQL,
+    "op4_ngram_jaccard": ngram_join.OP4_SQL,
     "op7_exact_top_k": topk.OP7_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
 }
