@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import mix
+from barsmith.llm.common import mix, small
 
 #: N-grams of these lengths are hashed into so many features.
 LENGTHS, FEATURES = (1, 2, 3), 1 << 16
@@ -139,15 +139,15 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Model | None:
     model = Model([], idf, np.zeros((FEATURES + 1, 0)))
 
     def vectors(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small(batches):
             v = [model.vector(t) for t in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"], "lang": batch["lang"], "at": [a.astype(np.int32) for a, _ in v], "x": [x.astype(np.float32) for _, x in v]})
+            yield pd.DataFrame({"key": batch["key"], "lang": batch["lang"], "at": [a.astype(np.int32).tobytes() for a, _ in v], "x": [x.astype(np.float32).tobytes() for _, x in v]})
 
     sampled = train.select("key", "lang", "text").join(chosen, ["key", "lang"], "left_semi")
-    got = sampled.mapInPandas(vectors, "key string, lang string, at array<int>, x array<float>").orderBy("lang", F.xxhash64("key"), "key").toPandas()
+    got = sampled.mapInPandas(vectors, "key string, lang string, at binary, x binary").orderBy("lang", F.xxhash64("key"), "key").toPandas()
     languages = sorted(got["lang"].unique())
     y = got["lang"].map({c: i for i, c in enumerate(languages)}).to_numpy()
-    rows = [(np.asarray(a), np.asarray(x, dtype=float), int(c)) for a, x, c in zip(got["at"], got["x"], y, strict=True)]
+    rows = [(np.frombuffer(a, dtype=np.int32), np.frombuffer(x, dtype=np.float32), int(c)) for a, x, c in zip(got["at"], got["x"], y, strict=True)]
     every = round(1 / CALIBRATE)
     held = [r for i, r in enumerate(rows) if i % every == every - 1]
     weights = ftrl([r for i, r in enumerate(rows) if i % every != every - 1], len(languages))
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for batch in batches:
+        for batch in small(batches, 1024):
             best, score = [], []
             for text in batch["text"]:
                 p = m.scores(text) if has_letter(text) else None
