@@ -8,10 +8,13 @@ import os
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barsmith.llm.common import small
+
 #: Longest text, in characters, that is encoded in one go; longer ones are halved until they fit.
 LEAF = 32768
 #: Characters of the first window on either side of a join; it doubles until the sides agree.
@@ -180,23 +183,20 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", leaf: int = LEAF)
 
     def whole(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokenizer(path)
-        for batch in batches:
-            texts = list(batch.pop("__text"))
-            ids = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-            yield batch.assign(token_ids=ids)
+        for batch in small(batches):
+            found = t.encode_batch_fast(list(batch["__text"]), add_special_tokens=False)
+            yield batch[names].assign(token_ids=[np.array(e.ids, dtype=np.int32) for e in found])
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(len(batch)):
-                row = batch.iloc[[k]]
-                parts = leaves(row["__text"].iloc[0], leaf)
-                out = row.iloc[[0] * len(parts)].assign(__text=parts, __leaf=range(len(parts)))
-                yield out
+        for row in small(batches, 1):
+            parts = leaves(row["__text"].iloc[0], leaf)
+            yield row.iloc[[0] * len(parts)].assign(__text=parts, __leaf=range(len(parts)))
 
     def encoded(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small(batches, 16):
             pieces = [encode_piece(path, x) for x in batch["__text"]]
-            yield batch.assign(__ids=[p.ids for p in pieces], __starts=[p.starts for p in pieces], __heads=[p.heads for p in pieces])
+            arrays = [(np.array(p.ids, dtype=np.int32), np.array(p.starts, dtype=np.int32), np.array(p.heads, dtype=bool)) for p in pieces]
+            yield batch.assign(__ids=[a for a, _, _ in arrays], __starts=[a for _, a, _ in arrays], __heads=[a for _, _, a in arrays])
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("__leaf", kind="stable")
@@ -223,30 +223,30 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokenizer(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = [None if ids is None else t.decode(list(map(int, ids)), skip_special_tokens=False) for ids in batch[ids_col]]
             yield batch.assign(text=texts)
 
     return df.select(*names).mapInPandas(run, f"{schema}, text string")
 
 
-def digests(df: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
-    """The columns of df without the ids, with n_tokens, ids_sha256 and decoded_sha256."""
-    names = [c for c in df.columns if c not in (ids_col, "n_tokens", "ids_sha256", "decoded_sha256")]
+def digests(df: DataFrame, path: str, ids_col: str = "token_ids", keep_ids: bool = False) -> DataFrame:
+    """The columns of df, the ids only if keep_ids, with n_tokens, ids_sha256 and decoded_sha256."""
+    names = [c for c in df.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256") and (keep_ids or c != ids_col)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokenizer(path)
-        for batch in batches:
-            lists = [x.tolist() for x in batch.pop(ids_col)]
+        for batch in small(batches):
+            lists = [x.tolist() for x in batch[ids_col]]
             texts = t.decode_batch(lists, skip_special_tokens=False)
-            yield batch.assign(
+            yield batch[names].assign(
                 n_tokens=[len(x) for x in lists],
                 ids_sha256=[hashlib.sha256(str(x)[1:-1].replace(" ", "").encode()).hexdigest() for x in lists],
                 decoded_sha256=[hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in texts],
             )
 
-    return df.select(*names, ids_col).mapInPandas(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(*dict.fromkeys([*names, ids_col])).mapInPandas(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary() -> str:
