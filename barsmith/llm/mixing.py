@@ -123,14 +123,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of documents: a document of which k whole copies and a rest of
     r words are taken comes k times, then once with its first r words joined by one space."""
+    key = F.to_json(F.struct("doc_id", "source", "size"))
     taken = mix_sources(docs.select("doc_id", "text", "source")).where("taken > 0")
-    each = taken.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("taken")).alias("takes"))
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", word_count(F.col("text")).alias("__size"))
-    rows = rows.withColumnRenamed("source", "__source").withColumnRenamed("doc_id", "__id")
-    on = F.col("__id").eqNullSafe(F.col("doc_id")) & F.col("__source").eqNullSafe(F.col("source")) & (F.col("__size") == F.col("size"))
-    joined = rows.join(each, on)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("text"), "lang", "n_chars"))
-    joined = joined.withColumn("taken", F.try_element_at("takes", nth)).where("taken > 0")
+    each = taken.groupBy(key.alias("key")).agg(F.sort_array(F.collect_list("taken")).alias("takes"))
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", word_count(F.col("text")).alias("size")).withColumn("key", key)
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("text"), "lang", "n_chars"))
+    joined = rows.join(each, "key").withColumn("taken", F.try_element_at("takes", nth)).where("taken > 0")
     rest = F.col("taken") % F.col("size")
     whole = F.transform(F.sequence(F.lit(1), F.floor(F.col("taken") / F.col("size")).cast("int")), lambda _: F.col("text"))
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), rest.cast("int")), " ")

@@ -80,24 +80,24 @@ def _chunks(batches):
             yield chunk, part["doc_id"], [(t or "").encode() for t in part["text"]]
 
 
-def signatures(rows: DataFrame) -> DataFrame:
+def signatures(rows: DataFrame, n: int) -> DataFrame:
     """doc_id, chunk, node, size of every row."""
 
     def run(batches):
         for chunk, ids, texts in _chunks(batches):
-            node, size = nodes_of(*shingle_sets(texts), len(texts))
+            node, size = nodes_of(*shingle_sets(texts, n), len(texts))
             yield pd.DataFrame({"doc_id": ids.astype("Int64").to_numpy(dtype=object, na_value=None), "chunk": chunk, "node": node, "size": size.astype(np.int64)})
 
     return rows.mapInPandas(run, "doc_id long, chunk long, node long, size long")
 
 
-def frequency_classes(rows: DataFrame) -> np.ndarray:
+def frequency_classes(rows: DataFrame, n: int) -> np.ndarray:
     """For each cell of the sketch how many times, as a power of 2, it is hit more often than the mean cell."""
 
     def run(batches):
         count = np.zeros(SKETCH, dtype=np.int64)
         for _, _, texts in _chunks(batches):
-            _, values = shingle_sets(texts)
+            _, values = shingle_sets(texts, n)
             count += np.bincount((values & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         for k, part in enumerate(np.minimum(count, 2**31 - 1).astype(np.int32).reshape(16, -1)):
             yield pd.DataFrame({"slice": [k], "counts": [part.tobytes()]})
@@ -119,13 +119,13 @@ def least_overlap(size: np.ndarray, percent: int) -> np.ndarray:
     return (percent * size + 99) // 100
 
 
-def prefixes(rows: DataFrame, classes: np.ndarray, bits: int, percent: int) -> DataFrame:
+def prefixes(rows: DataFrame, classes: np.ndarray, bits: int, percent: int, n: int) -> DataFrame:
     """Prefix entries of each chunk's nodes under each order, by blocks of n-grams."""
     shared = rows.sparkSession.sparkContext.broadcast(classes)  # one byte for each of SKETCH cells
 
     def run(batches):
         for _, _, texts in _chunks(batches):
-            doc, value = shingle_sets(texts)
+            doc, value = shingle_sets(texts, n)
             node, size = nodes_of(doc, value, len(texts))
             once = np.zeros(len(texts), dtype=bool)
             once[np.unique(node, return_index=True)[1]] = True
@@ -217,25 +217,29 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _fetch(parts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+def _fetch(n: int):
     """The sets that pairs ask a chunk for; pairs with both sides in the chunk are compared at once."""
-    out = {"a": [], "b": [], "shingles": [], "common": []}
-    if len(parts) and len(asked):
-        _, _, texts = unpack(parts)
-        doc, value = shingle_sets(texts)
-        node, size = nodes_of(doc, value, len(texts))
-        at = np.concatenate([[0], np.cumsum(size)])
-        place = {int(n): i for i, n in enumerate(node)}
-        get = lambda n: value[at[place[n]]:at[place[n] + 1]]
-        for (a, b), nodes in asked.groupby(["a", "b"], sort=False)["node"]:
-            if len(nodes) == 2:
-                row = a, b, None, len(np.intersect1d(get(int(a)), get(int(b)), assume_unique=True))
-            else:
-                few = get(int(nodes.iloc[0])).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]
-                row = a, b, few.tobytes(), None
-            for k, v in zip(out, row, strict=True):
-                out[k].append(v)
-    return pd.DataFrame(out).astype({"a": "int64", "b": "int64", "common": "Int64"})
+
+    def fetch(parts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = {"a": [], "b": [], "shingles": [], "common": []}
+        if len(parts) and len(asked):
+            _, _, texts = unpack(parts)
+            doc, value = shingle_sets(texts, n)
+            node, size = nodes_of(doc, value, len(texts))
+            at = np.concatenate([[0], np.cumsum(size)])
+            place = {int(x): i for i, x in enumerate(node)}
+            get = lambda x: value[at[place[x]]:at[place[x] + 1]]
+            for (a, b), nodes in asked.groupby(["a", "b"], sort=False)["node"]:
+                if len(nodes) == 2:
+                    row = a, b, None, len(np.intersect1d(get(int(a)), get(int(b)), assume_unique=True))
+                else:
+                    few = get(int(nodes.iloc[0])).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]
+                    row = a, b, few.tobytes(), None
+                for k, v in zip(out, row, strict=True):
+                    out[k].append(v)
+        return pd.DataFrame(out).astype({"a": "int64", "b": "int64", "common": "Int64"})
+
+    return fetch
 
 
 def _count_common(batches):
@@ -245,10 +249,10 @@ def _count_common(batches):
         yield batch[["a", "b"]].assign(common=np.array(common, dtype=np.int64))
 
 
-def verified(pairs: DataFrame, packed: DataFrame, homes: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, packed: DataFrame, homes: DataFrame, percent: int, n: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes that link: percent * union <= 100 * intersection."""
     asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")).join(homes.select("node", "chunk"), "node")
-    sets = packed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInPandas(_fetch, "a long, b long, shingles binary, common long")
+    sets = packed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInPandas(_fetch(n), "a long, b long, shingles binary, common long")
     met = sets.groupBy("a", "b").agg(F.collect_list("shingles").alias("sets"), F.max("common").alias("common"))
     found = met.mapInPandas(_count_common, "a long, b long, common long")
     sizes = lambda c: homes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"))
@@ -256,9 +260,11 @@ def verified(pairs: DataFrame, packed: DataFrame, homes: DataFrame, percent: int
     return found.join(sizes("a"), "a").join(sizes("b"), "b").where(100 * F.col("common") >= percent * union).select("a", "b")
 
 
-def linked(docs: DataFrame, percent: int = PERCENT, chunk=None) -> DataFrame:
+def linked(docs: DataFrame, percent: int = PERCENT, n: int = N, chunk=None) -> DataFrame:
     """doc_id, n_shingles, component_id of docs (doc_id, text): the smallest doc_id that links reach.
 
+    Rows link when percent * union <= 100 * intersection of their sets of word n-grams.
+
     chunk: as for remove_repeated() of substrings. A document without words or text has an empty set and
     is linked with nothing: its component is itself. Null ids: such rows link like others, but never name
     a component (null if a component has no id at all). Rows with the same id stay rows of their own.
@@ -268,10 +274,10 @@ def linked(docs: DataFrame, percent: int = PERCENT, chunk=None) -> DataFrame:
     if chunk is None:
         chunk = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_docs // CHUNK)))
     rows = docs.select("doc_id", "text", chunk.cast("long").alias("chunk"))
-    sigs = written(signatures(rows), "shingle-sets")
+    sigs = written(signatures(rows, n), "shingle-sets")
     homes = written(sigs.where("size > 0").groupBy("node").agg(F.min("chunk").alias("chunk"), F.min("size").alias("size"), F.min("doc_id").alias("least")), "nodes")
     bits = max(0, int(total // 6 * (100 - percent) // 100 // ENTRIES).bit_length())
-    lists = prefixes(rows, frequency_classes(rows), bits, percent).groupBy("ord", "block").applyInPandas(
+    lists = prefixes(rows, frequency_classes(rows, n), bits, percent, n).groupBy("ord", "block").applyInPandas(
         prefix_lists, "ord int, list long, weight long, node long, size long, before long, before_size long")
     lists = written(lists, "prefix-lists")
     packed = pack(rows)
@@ -279,7 +285,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, chunk=None) -> DataFrame:
     follows = lists.where(100 * F.col("before_size") >= percent * F.col("size")).groupBy("node", "before").agg(F.countDistinct("ord").alias("orders"), F.sum("weight").alias("weight"))
     best = follows.groupBy("node").agg(F.max(F.struct("orders", "weight", "before"))["before"].alias("before"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    links = written(verified(best.select(*pair("node", "before")).distinct(), packed, homes, percent), "links")
+    links = written(verified(best.select(*pair("node", "before")).distinct(), packed, homes, percent, n), "links")
     labels = components(links)
 
     known = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -291,7 +297,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, chunk=None) -> DataFrame:
         & ((F.col("size") < F.col("other_size")) | (F.col("size") == F.col("other_size")) & (F.col("node") < F.col("other_node"))))
     per_order = [across.where(F.col("ord") == k).select(*pair("node", "other_node")).distinct() for k in range(ORDERS)]
     pairs = written(reduce(lambda x, y: x.join(y, ["a", "b"], "left_semi"), per_order), "candidates")
-    more = verified(pairs, packed, homes, percent)
+    more = verified(pairs, packed, homes, percent, n)
     labels = components(links.unionByName(written(more, "links")))
 
     named = homes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -303,7 +309,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, chunk=None) -> DataFrame:
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", file_chunk().alias("place"))
-    return linked(docs, PERCENT, F.col("place"))
+    return linked(docs, PERCENT, N, F.col("place"))
 
 
 OP4_SQL = rf"""
