@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from barsmith.plans import features  # noqa: F401
+from barsmith.plans.base import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "p4_transitions"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
