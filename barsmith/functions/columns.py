@@ -119,7 +119,10 @@ def ts_max(x, n: int, w=PANEL) -> Column:
 
 
 def ts_corr(x, y, n: int, w=PANEL) -> Column:
-    return full(F.corr(col(x), col(y)).over(back(n, w)), col(x) + col(y), n, back(n, w))
+    """Pearson correlation; null where one side does not vary (the built-in aggregate raises there)."""
+    f = back(n, w)
+    spread = F.stddev_samp(col(x)).over(f) * F.stddev_samp(col(y)).over(f)
+    return full(F.covar_samp(col(x), col(y)).over(f) / F.nullif(spread, F.lit(0.0)), col(x) + col(y), n, f)
 
 
 def ts_cov(x, y, n: int, w=PANEL) -> Column:
