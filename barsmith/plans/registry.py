@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barsmith.plans import factors, features  # noqa: F401
+from barsmith.plans import factors, features, relational  # noqa: F401
 from barsmith.plans.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "p4_transitions"
