@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from barsmith.plans import factors, features, relational  # noqa: F401
+from barsmith.plans import factors, features, relational, timeline  # noqa: F401
 from barsmith.plans.base import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "p4_transitions"
+FLAGSHIP = "a9_v8_trade_outcomes"
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
