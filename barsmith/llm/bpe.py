@@ -35,6 +35,31 @@ def tokenizer(path: str):
     return t
 
 
+@functools.cache
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of every id. In a byte-level vocabulary each byte has a letter: the printable ones of
+    Latin-1 stand for themselves, the others, in order, for the letters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    letters = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+    vocab = tokenizer(path).get_vocab(with_added_tokens=True)
+    out = [b""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        out[i] = b"".join(bytes([letters[c]]) if c in letters else c.encode() for c in token)
+    return out
+
+
+@functools.cache
+def token_numbers(path: str) -> list[bytes]:
+    return [str(i).encode() for i in range(len(token_bytes(path)))]
+
+
+def decode_ids(path: str, ids: list[int]) -> str:
+    """What the library's decode(ids, skip_special_tokens=False) gives; ids beyond the vocabulary give nothing."""
+    table = token_bytes(path)
+    return b"".join([table[i] for i in ids if i < len(table)]).decode("utf-8", "replace")
+
+
 @functools.cache
 def _specials(path: str) -> tuple[str, ...]:
     return tuple(x.content for x in tokenizer(path).get_added_tokens_decoder().values())
@@ -222,9 +247,8 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tokenizer(path)
         for batch in small(batches):
-            texts = [None if ids is None else t.decode(list(map(int, ids)), skip_special_tokens=False) for ids in batch[ids_col]]
+            texts = [None if ids is None else decode_ids(path, ids.tolist()) for ids in batch[ids_col]]
             yield batch.assign(text=texts)
 
     return df.select(*names).mapInPandas(run, f"{schema}, text string")
@@ -236,14 +260,13 @@ def digests(df: DataFrame, path: str, ids_col: str = "token_ids", keep_ids: bool
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tokenizer(path)
+        numbers = token_numbers(path)
         for batch in small(batches):
             lists = [x.tolist() for x in batch[ids_col]]
-            texts = t.decode_batch(lists, skip_special_tokens=False)
             yield batch[names].assign(
                 n_tokens=[len(x) for x in lists],
-                ids_sha256=[hashlib.sha256(str(x)[1:-1].replace(" ", "").encode()).hexdigest() for x in lists],
-                decoded_sha256=[hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in texts],
+                ids_sha256=[hashlib.sha256(b",".join([numbers[i] for i in x])).hexdigest() for x in lists],
+                decoded_sha256=[hashlib.sha256(decode_ids(path, x).encode()).hexdigest() for x in lists],
             )
 
     return df.select(*dict.fromkeys([*names, ids_col])).mapInPandas(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
