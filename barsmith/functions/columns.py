@@ -7,46 +7,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-PANEL = Window.partitionBy("ticker").orderBy("date")
+
+
+def panel() -> WindowSpec:
+    """A ticker's bars in time (made on call: windows need a running session)."""
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def back(n: int, w: WindowSpec = PANEL) -> WindowSpec:
+def back(n: int, w: WindowSpec | None = None) -> WindowSpec:
     """The last n rows, this one included."""
-    return w.rowsBetween(-(n - 1), 0)
+    return (w or panel()).rowsBetween(-(n - 1), 0)
 
 
-def before(n: int, w: WindowSpec = PANEL) -> WindowSpec:
+def before(n: int, w: WindowSpec | None = None) -> WindowSpec:
     """The n rows before this one."""
-    return w.rowsBetween(-n, -1)
+    return (w or panel()).rowsBetween(-n, -1)
 
 
-def ahead(n: int, w: WindowSpec = PANEL) -> WindowSpec:
+def ahead(n: int, w: WindowSpec | None = None) -> WindowSpec:
     """The n rows after this one."""
-    return w.rowsBetween(1, n)
+    return (w or panel()).rowsBetween(1, n)
 
 
 def safe_ratio(x, y) -> Column:
     return col(x) / F.nullif(col(y), F.lit(0))
 
 
-def change(x, n: int = 1, w: WindowSpec = PANEL) -> Column:
+def change(x, n: int = 1, w: WindowSpec | None = None) -> Column:
     """x against its value n rows ago, less 1; null where that is 0."""
-    return safe_ratio(col(x), F.lag(col(x), n).over(w)) - 1
+    return safe_ratio(col(x), F.lag(col(x), n).over(w or panel())) - 1
 
 
-def abs_change_pct(x, n: int = 1, w: WindowSpec = PANEL) -> Column:
+def abs_change_pct(x, n: int = 1, w: WindowSpec | None = None) -> Column:
     """Change in percent of the old value's size."""
-    old = F.lag(col(x), n).over(w)
+    old = F.lag(col(x), n).over(w or panel())
     return (col(x) - old) / F.nullif(F.abs(old), F.lit(0)) * 100
 
 
-def zero_aware_change_pct(x, n: int = 1, w: WindowSpec = PANEL) -> Column:
+def zero_aware_change_pct(x, n: int = 1, w: WindowSpec | None = None) -> Column:
     """As abs_change_pct, but a change from 0 counts as 100 (to 0: 0)."""
-    old = F.lag(col(x), n).over(w)
+    old = F.lag(col(x), n).over(w or panel())
     return F.when(old.isNull(), None).when((old == 0) & (col(x) == 0), 0.0).when(old == 0, 100.0).otherwise((col(x) - old) / F.nullif(F.abs(old), F.lit(0)) * 100)
 
 
@@ -98,74 +102,74 @@ def full(value: Column, x, n: int, frame: WindowSpec) -> Column:
     return F.when(F.count(col(x)).over(frame) == n, value)
 
 
-def ts_mean(x, n: int, w=PANEL) -> Column:
+def ts_mean(x, n: int, w=None) -> Column:
     return full(F.avg(col(x)).over(back(n, w)), x, n, back(n, w))
 
 
-def ts_sum(x, n: int, w=PANEL) -> Column:
+def ts_sum(x, n: int, w=None) -> Column:
     return full(F.sum(col(x)).over(back(n, w)), x, n, back(n, w))
 
 
-def ts_std(x, n: int, w=PANEL) -> Column:
+def ts_std(x, n: int, w=None) -> Column:
     return full(F.stddev_samp(col(x)).over(back(n, w)), x, n, back(n, w))
 
 
-def ts_min(x, n: int, w=PANEL) -> Column:
+def ts_min(x, n: int, w=None) -> Column:
     return full(F.min(col(x)).over(back(n, w)), x, n, back(n, w))
 
 
-def ts_max(x, n: int, w=PANEL) -> Column:
+def ts_max(x, n: int, w=None) -> Column:
     return full(F.max(col(x)).over(back(n, w)), x, n, back(n, w))
 
 
-def ts_corr(x, y, n: int, w=PANEL) -> Column:
+def ts_corr(x, y, n: int, w=None) -> Column:
     """Pearson correlation; null where one side does not vary (the built-in aggregate raises there)."""
     f = back(n, w)
     spread = F.stddev_samp(col(x)).over(f) * F.stddev_samp(col(y)).over(f)
     return full(F.covar_samp(col(x), col(y)).over(f) / F.nullif(spread, F.lit(0.0)), col(x) + col(y), n, f)
 
 
-def ts_cov(x, y, n: int, w=PANEL) -> Column:
+def ts_cov(x, y, n: int, w=None) -> Column:
     return full(F.covar_samp(col(x), col(y)).over(back(n, w)), col(x) + col(y), n, back(n, w))
 
 
-def ts_list(x, n: int, w=PANEL) -> Column:
+def ts_list(x, n: int, w=None) -> Column:
     return F.collect_list(col(x)).over(back(n, w))
 
 
-def ts_rank(x, n: int, w=PANEL) -> Column:
+def ts_rank(x, n: int, w=None) -> Column:
     """Average rank of the last value among the last n, as a share of n."""
     seen = ts_list(x, n, w)
     below, equal = F.size(F.filter(seen, lambda v: v < col(x))), F.size(F.filter(seen, lambda v: v == col(x)))
     return full((below + (equal + 1) / 2) / n, x, n, back(n, w))
 
 
-def ts_argmax(x, n: int, w=PANEL) -> Column:
+def ts_argmax(x, n: int, w=None) -> Column:
     """Place (from 1, oldest first) of the first maximum among the last n."""
     seen = ts_list(x, n, w)
     return full(F.array_position(seen, F.array_max(seen)), x, n, back(n, w))
 
 
-def ts_argmin(x, n: int, w=PANEL) -> Column:
+def ts_argmin(x, n: int, w=None) -> Column:
     seen = ts_list(x, n, w)
     return full(F.array_position(seen, F.array_min(seen)), x, n, back(n, w))
 
 
-def ts_product(x, n: int, w=PANEL) -> Column:
+def ts_product(x, n: int, w=None) -> Column:
     return full(F.aggregate(ts_list(x, n, w), F.lit(1.0), lambda a, v: a * v), x, n, back(n, w))
 
 
-def delta(x, n: int = 1, w=PANEL) -> Column:
-    return col(x) - F.lag(col(x), n).over(w)
+def delta(x, n: int = 1, w=None) -> Column:
+    return col(x) - F.lag(col(x), n).over(w or panel())
 
 
-def delay(x, n: int = 1, w=PANEL) -> Column:
-    return F.lag(col(x), n).over(w)
+def delay(x, n: int = 1, w=None) -> Column:
+    return F.lag(col(x), n).over(w or panel())
 
 
-def decay_linear(x, n: int, w=PANEL) -> Column:
+def decay_linear(x, n: int, w=None) -> Column:
     """Mean of the last n with weights 1 (oldest) to n."""
-    total = sum((F.lag(col(x), n - i).over(w) if i < n else col(x)) * i for i in range(1, n + 1))
+    total = sum((F.lag(col(x), n - i).over(w or panel()) if i < n else col(x)) * i for i in range(1, n + 1))
     return total / (n * (n + 1) / 2)
 
 
@@ -181,6 +185,11 @@ def percent_rank(x, *by: str) -> Column:
     return F.percent_rank().over(Window.partitionBy(*(by or ("date",))).orderBy(col(x)))
 
 
-def last_known(x, w: WindowSpec = PANEL) -> Column:
+def last_known(x, w: WindowSpec | None = None) -> Column:
     """Forward fill."""
-    return F.last(col(x), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(col(x), ignorenulls=True).over((w or panel()).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def rolling_percentile(seen: str, x: str, n: int) -> Column:
+    """Share of the other n - 1 values of the full list `seen` that lie below x."""
+    return F.when(F.size(seen) == n, F.size(F.filter(seen, lambda v: v < F.col(x))) / (n - 1))

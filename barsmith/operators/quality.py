@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsmith.functions.columns import PANEL
+from barsmith.functions.columns import panel
 
 
 def verdict(df: DataFrame, name: str, value: Column, warn: float, fail: float, detail: Column | None = None) -> DataFrame:
@@ -40,7 +40,7 @@ def ohlc_violations(bars: DataFrame) -> DataFrame:
 
 def extreme_moves(bars: DataFrame, limit: float) -> DataFrame:
     """Bars whose close moved by more than `limit` (2 = 200 %)."""
-    move = F.col("close") / F.lag("close").over(PANEL) - 1
+    move = F.col("close") / F.lag("close").over(panel()) - 1
     return bars.withColumn("move", move).where(F.abs("move") > limit).select("ticker", "date", "move")
 
 

@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsmith.functions.columns import PANEL
+from barsmith.functions.columns import panel
 
-RUNNING = PANEL.rowsBetween(Window.unboundedPreceding, 0)
+
+def running():
+    return panel().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def membership_log(days: DataFrame, passes: Column, grace: int) -> DataFrame:
     """ticker, effective_date, is_active: entry at the first pass (also after an exit), exit at the grace-th
     consecutive fail after a pass."""
     d = days.select("ticker", "date", passes.cast("int").alias("ok"))
-    d = d.withColumn("island", F.sum("ok").over(RUNNING))
+    d = d.withColumn("island", F.sum("ok").over(running()))
     fails = Window.partitionBy("ticker", "island").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("streak", F.sum(1 - F.col("ok")).over(fails))
     exits = (F.col("island") > 0) & (F.col("ok") == 0) & (F.col("streak") == grace)
     events = d.where(exits | (F.col("ok") == 1)).select("ticker", "date", (F.col("ok") == 1).alias("is_active"))
-    previous = F.lag("is_active").over(PANEL)
+    previous = F.lag("is_active").over(panel())
     return events.withColumn("p", previous).where(F.col("p").isNull() & F.col("is_active") | (F.col("p") != F.col("is_active"))).select("ticker", F.col("date").alias("effective_date"), "is_active")
 
 
@@ -39,8 +41,8 @@ def trade_sessions(days: DataFrame, hold: Column, signal: Column) -> DataFrame:
     """ticker, session_id, entry_date, exit_date, last_hold: maximal runs of hold with a signal inside; entry at
     the first signal, exit at the bar after the run (null if it is open)."""
     d = days.select("ticker", "date", F.coalesce(hold, F.lit(False)).alias("h"), F.coalesce(signal, F.lit(False)).alias("s"))
-    start = F.col("h") & ~F.coalesce(F.lag("h").over(PANEL), F.lit(False))
-    d = d.withColumn("next_date", F.lead("date").over(PANEL)).withColumn("run", F.sum(start.cast("int")).over(RUNNING)).where("h")
+    start = F.col("h") & ~F.coalesce(F.lag("h").over(panel()), F.lit(False))
+    d = d.withColumn("next_date", F.lead("date").over(panel())).withColumn("run", F.sum(start.cast("int")).over(running())).where("h")
     runs = d.groupBy("ticker", "run").agg(F.min(F.when(F.col("s"), F.col("date"))).alias("entry_date"), F.max("date").alias("last_hold"), F.max_by("next_date", "date").alias("exit_date")).where("entry_date is not null")
     number = F.row_number().over(Window.partitionBy("ticker").orderBy("entry_date"))
     return runs.select("ticker", number.alias("session_id"), "entry_date", "exit_date", "last_hold")
@@ -66,7 +68,7 @@ def retriggers(sessions: DataFrame, days: int = 14) -> DataFrame:
 def current_runs(days: DataFrame, trend: Column) -> DataFrame:
     """ticker, start_date, start_close, length of the run of trend days that reaches the last day of the table."""
     d = days.select("ticker", "date", "close", F.coalesce(trend, F.lit(False)).alias("t"))
-    d = d.withColumn("island", F.sum((~F.col("t")).cast("int")).over(RUNNING)).where("t")
+    d = d.withColumn("island", F.sum((~F.col("t")).cast("int")).over(running())).where("t")
     runs = d.groupBy("ticker", "island").agg(F.min("date").alias("start_date"), F.min_by("close", "date").alias("start_close"), F.count(F.lit(1)).alias("length"), F.max("date").alias("end_date"))
     last = days.groupBy("ticker").agg(F.max("date").alias("end_date"))
     return runs.join(last, ["ticker", "end_date"]).select("ticker", "start_date", "start_close", "length")

@@ -6,6 +6,35 @@ from collections.abc import Callable
 
 from barsmith.sources import tables as t
 
+_OPERATORS = "add radd sub rsub mul rmul truediv rtruediv and rand or ror invert neg gt ge lt le eq ne getitem".split()
+
+
+class Later:
+    """A column expression that is written down now and made by now(): columns need a running session, and
+    the list of queries is read without one."""
+
+    __hash__ = object.__hash__
+
+    def __init__(self, make: Callable):
+        self._make = make
+
+    def __getattr__(self, name: str) -> Later:
+        return Later(lambda: getattr(self._make(), name))
+
+    def __call__(self, *args, **named) -> Later:
+        return Later(lambda: self._make()(*map(now, args), **{k: now(v) for k, v in named.items()}))
+
+
+for _name in _OPERATORS:
+    setattr(Later, f"__{_name}__", lambda self, *args, _n=f"__{_name}__": Later(lambda: getattr(self._make(), _n)(*map(now, args))))
+
+
+def now(x):
+    if isinstance(x, Later):
+        return x._make()
+    return [now(v) for v in x] if isinstance(x, list) else x
+
+
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 

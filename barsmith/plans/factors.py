@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barsmith.functions import columns as c
 from barsmith.operators import alphas as a
-from barsmith.plans.base import over, query, with_views
-from barsmith.plans.features import chg, features, lag, rounded, rounded_sql
+from barsmith.plans.base import Later, over, query, with_views
+from barsmith.plans.features import C, L, chg, features, lag, rounded, rounded_sql
 from barsmith.sources import tables as t
 
 
@@ -15,17 +14,18 @@ def full(sql: str, x: str, n: int) -> str:
     return f"case when count({x}) {over(n)} = {n} then {sql} end"
 
 
+A = Later(lambda: a)
 V = "cast(volume as double)"
-features("f1_rolling_aggregates", [(f"{k}_10", f("close", 10), full(f"{g}(close) {over(10)}", "close", 10)) for k, f, g in (("sum", c.ts_sum, "sum"), ("mean", c.ts_mean, "avg"), ("std", c.ts_std, "stddev_samp"), ("min", c.ts_min, "min"), ("max", c.ts_max, "max"))])
-features("f2_rolling_correlation", [("cor", c.ts_corr("ra", "rb", 10), full(f"covar_samp(ra, rb) {over(10)} / nullif(stddev_samp(ra) {over(10)} * stddev_samp(rb) {over(10)}, 0)", "(ra + rb)", 10)), ("cov", c.ts_cov("ra", "rb", 10), full(f"covar_samp(ra, rb) {over(10)}", "(ra + rb)", 10))],
-         [("ra", F.col("close") / F.col("open"), "close / open"), ("rb", F.col("volume").cast("double"), V)])
+features("f1_rolling_aggregates", [(f"{k}_10", f("close", 10), full(f"{g}(close) {over(10)}", "close", 10)) for k, f, g in (("sum", C.ts_sum, "sum"), ("mean", C.ts_mean, "avg"), ("std", C.ts_std, "stddev_samp"), ("min", C.ts_min, "min"), ("max", C.ts_max, "max"))])
+features("f2_rolling_correlation", [("cor", C.ts_corr("ra", "rb", 10), full(f"covar_samp(ra, rb) {over(10)} / nullif(stddev_samp(ra) {over(10)} * stddev_samp(rb) {over(10)}, 0)", "(ra + rb)", 10)), ("cov", C.ts_cov("ra", "rb", 10), full(f"covar_samp(ra, rb) {over(10)}", "(ra + rb)", 10))],
+         [("ra", L.col("close") / L.col("open"), "close / open"), ("rb", L.col("volume").cast("double"), V)])
 LIST = f"list(close) {over(10)}"
-features("f3_ts_rank", [("r", c.ts_rank("close", 10), full("(len(list_filter(l, lambda v: v < close)) + (len(list_filter(l, lambda v: v = close)) + 1) / 2) / 10", "close", 10))], [("l", c.ts_list("close", 10), LIST)])
-features("f4_product", [("p", c.ts_product("q", 5), full("list_reduce(l, lambda x, y: x * y)", "q", 5))], [("q", F.col("close") / F.col("open"), "close / open"), ("l", c.ts_list("q", 5), f"list(q) {over(5)}")])
-features("f5_delta_delay", [("d3", c.delta("close", 3), f"close - {lag('close', 3)}"), ("l3", c.delay("close", 3), lag("close", 3))])
-features("f8_argmax", [("hi", c.ts_argmax("close", 10), full("list_position(l, list_max(l))", "close", 10)), ("lo", c.ts_argmin("close", 10), full("list_position(l, list_min(l))", "close", 10))], [("l", c.ts_list("close", 10), LIST)])
-features("f9_decay_linear", [("d", c.decay_linear("close", 4), f"(1 * {lag('close', 3)} + 2 * {lag('close', 2)} + 3 * {lag('close', 1)} + 4 * close) / 10")])
-features("f7_scale", [("s", a.scale("close"), "close / nullif(sum(abs(close)) over (partition by date), 0)")])
+features("f3_ts_rank", [("r", C.ts_rank("close", 10), full("(len(list_filter(l, lambda v: v < close)) + (len(list_filter(l, lambda v: v = close)) + 1) / 2) / 10", "close", 10))], [("l", C.ts_list("close", 10), LIST)])
+features("f4_product", [("p", C.ts_product("q", 5), full("list_reduce(l, lambda x, y: x * y)", "q", 5))], [("q", L.col("close") / L.col("open"), "close / open"), ("l", C.ts_list("q", 5), f"list(q) {over(5)}")])
+features("f5_delta_delay", [("d3", C.delta("close", 3), f"close - {lag('close', 3)}"), ("l3", C.delay("close", 3), lag("close", 3))])
+features("f8_argmax", [("hi", C.ts_argmax("close", 10), full("list_position(l, list_max(l))", "close", 10)), ("lo", C.ts_argmin("close", 10), full("list_position(l, list_min(l))", "close", 10))], [("l", C.ts_list("close", 10), LIST)])
+features("f9_decay_linear", [("d", C.decay_linear("close", 4), f"(1 * {lag('close', 3)} + 2 * {lag('close', 2)} + 3 * {lag('close', 1)} + 4 * close) / 10")])
+features("f7_scale", [("s", A.scale("close"), "close / nullif(sum(abs(close)) over (partition by date), 0)")])
 
 RANK = "case when {x} is not null then (rank() over (partition by date order by {x} nulls last) + (count(*) over (partition by date, {x}) - 1) / 2.0) / count({x}) over (partition by date) end"
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barsmith.functions import columns as c
-from barsmith.functions.columns import PANEL
+from barsmith.functions.columns import panel
 from barsmith.operators import joins as j
 from barsmith.operators import quality as q
 from barsmith.operators import text as tx
@@ -15,15 +15,17 @@ from barsmith.plans.features import rounded, rounded_sql
 from barsmith.sources import tables as t
 
 # A macro series has one row a day and no entity, so its windows are not partitioned.
-DAY = Window.orderBy("date")
-D20, D50 = DAY.rowsBetween(-19, 0), DAY.rowsBetween(-49, 0)
+def day_line():
+    return Window.orderBy("date")
+
+
 WIDE = """wide as (select date, max(case when symbol = '1-URGENT' then close end) as a, max(case when symbol = '2-HIGH' then close end) as b, max(case when symbol = '5-LOW' then close end) as x from macro group by date),
 filled as (select date, last_value(a ignore nulls) over w as a, last_value(b ignore nulls) over w as b, last_value(x ignore nulls) over w as x from wide window w as (order by date rows between unbounded preceding and current row))"""
 
 
 def filled(spark, sf_dir):
     m = t.macro(spark, sf_dir).groupBy("date").pivot("symbol", ["1-URGENT", "2-HIGH", "5-LOW"]).agg(F.max("close"))
-    run = DAY.rowsBetween(Window.unboundedPreceding, 0)
+    run = day_line().rowsBetween(Window.unboundedPreceding, 0)
     return m.select("date", *[F.last(s, ignorenulls=True).over(run).alias(n) for s, n in (("1-URGENT", "a"), ("2-HIGH", "b"), ("5-LOW", "x"))])
 
 
@@ -38,7 +40,7 @@ PILLARS = f"""pillars as (select date, 50 + 50 * tanh(10 * (a / avg(a) over (ord
 
 def pillars(spark, sf_dir):
     part = lambda x: 25 * F.coalesce(c.clip(1 - (F.col(x) - 40000) / 120000, 0.0, 1.0), F.lit(1.0))
-    return filled(spark, sf_dir).select("date", (50 + 50 * F.tanh(10 * (F.col("a") / F.avg("a").over(D50) - 1))).alias("trend"), ((part("b") + part("x")) * 2).alias("risk"))
+    return filled(spark, sf_dir).select("date", (50 + 50 * F.tanh(10 * (F.col("a") / F.avg("a").over(day_line().rowsBetween(-49, 0)) - 1))).alias("trend"), ((part("b") + part("x")) * 2).alias("risk"))
 
 
 @query("m4_m7_regime_score", with_views("macro", more=f"{WIDE},\n{PILLARS}", sql=f"select date, {rounded_sql('trend')} as trend, {rounded_sql('risk')} as risk, case when s >= 80 then 'strong' when s >= 60 then 'good' when s >= 40 then 'neutral' when s >= 20 then 'weak' else 'poor' end as category from (select *, 0.6 * trend + 0.4 * risk as s from pillars)"))
@@ -49,7 +51,7 @@ def m7(spark, sf_dir):
 
 @query("m8_regime_deltas", with_views("macro", more=f"{WIDE},\n{PILLARS}", sql=f"select date, {rounded_sql('trend - lag(trend, 5) over (order by date)')} as delta_5, {rounded_sql('stddev_samp(trend) over (order by date rows between 9 preceding and current row)')} as vol_10 from pillars"))
 def m8(spark, sf_dir):
-    return pillars(spark, sf_dir).select("date", rounded(F.col("trend") - F.lag("trend", 5).over(DAY)).alias("delta_5"), rounded(F.stddev_samp("trend").over(DAY.rowsBetween(-9, 0))).alias("vol_10"))
+    return pillars(spark, sf_dir).select("date", rounded(F.col("trend") - F.lag("trend", 5).over(day_line())).alias("delta_5"), rounded(F.stddev_samp("trend").over(day_line().rowsBetween(-9, 0))).alias("vol_10"))
 
 
 FIRST = "over (order by date rows between unbounded preceding and 1 preceding)"
@@ -57,14 +59,14 @@ FIRST = "over (order by date rows between unbounded preceding and 1 preceding)"
 
 @query("m11_m14_expanding_z", with_views("macro", more=WIDE, sql=f"select date, {rounded_sql(f'(a - avg(a) {FIRST}) / nullif(stddev_samp(a) {FIRST}, 0)')} as z, cast(coalesce(abs((a - avg(a) {FIRST}) / nullif(stddev_samp(a) {FIRST}, 0)) >= 2, false) as int) as veto from filled"))
 def m14(spark, sf_dir):
-    e = DAY.rowsBetween(Window.unboundedPreceding, -1)
+    e = day_line().rowsBetween(Window.unboundedPreceding, -1)
     z = (F.col("a") - F.avg("a").over(e)) / F.nullif(F.stddev_samp("a").over(e), F.lit(0.0))
     return filled(spark, sf_dir).select("date", rounded(z).alias("z"), F.coalesce(F.abs(z) >= 2, F.lit(False)).cast("int").alias("veto"))
 
 
 @query("m16_above_average", with_views("bars", "bench", sql="select date, cast(spy_close > avg(spy_close) over (order by date rows between 199 preceding and current row) as int) as above from bench"))
 def m16(spark, sf_dir):
-    return t.benchmark_series(spark, sf_dir).select("date", (F.col("spy_close") > F.avg("spy_close").over(DAY.rowsBetween(-199, 0))).cast("int").alias("above"))
+    return t.benchmark_series(spark, sf_dir).select("date", (F.col("spy_close") > F.avg("spy_close").over(day_line().rowsBetween(-199, 0))).cast("int").alias("above"))
 
 
 @query("m22_period_days", with_views("fundamentals", sql="select distinct ticker, cast(unnest(generate_series(cast(period_end as timestamp), cast(least(filing_date, period_end + 10) as timestamp), interval 1 day)) as date) as day from fundamentals"))
@@ -120,7 +122,7 @@ def c1(spark, sf_dir):
 
 @query("c3_null_shares", with_views("bars", sql="select 'prev' as column_name, round(avg(cast(prev is null as double)), 6) as null_share from (select lag(close, 20) " + LINE + " as prev from bars) union all select 'close', round(avg(cast(close is null as double)), 6) from bars"))
 def c3(spark, sf_dir):
-    d = t.bars(spark, sf_dir).select(F.lag("close", 20).over(PANEL).alias("prev"), "close")
+    d = t.bars(spark, sf_dir).select(F.lag("close", 20).over(panel()).alias("prev"), "close")
     return q.null_shares(d, ["prev", "close"]).select("column_name", F.round("null_share", 6).alias("null_share"))
 
 

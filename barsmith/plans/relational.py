@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barsmith.functions import columns as c
-from barsmith.functions.columns import PANEL
+from barsmith.functions.columns import panel
 from barsmith.operators import joins as j
 from barsmith.operators import writes as w
 from barsmith.plans.base import LINE, query, with_views
@@ -171,7 +171,7 @@ def j15(spark, sf_dir):
 
 @query("j17_prior_pass", with_views("bars", more=FLAGGED, sql=f"select ticker, date, coalesce(max(cast(trend_ok as int)) over (partition by ticker order by date rows between unbounded preceding and 1 preceding), 0) as passed_before from flagged"))
 def j17(spark, sf_dir):
-    w0 = PANEL.rowsBetween(Window.unboundedPreceding, -1)
+    w0 = panel().rowsBetween(Window.unboundedPreceding, -1)
     return flagged(spark, sf_dir).select("ticker", "date", F.coalesce(F.max(F.col("trend_ok").cast("int")).over(w0), F.lit(0)).alias("passed_before"))
 
 
@@ -204,7 +204,7 @@ def j22(spark, sf_dir):
 
 @query("j23_next_price", with_views("bars", "fundamentals", sql=f"select f.ticker, f.filing_date, b.next_close from fundamentals f join (select ticker, date, lead(close) {LINE} as next_close from bars) b on f.ticker = b.ticker and f.filing_date = b.date"))
 def j23(spark, sf_dir):
-    b = t.bars(spark, sf_dir).select("ticker", F.col("date").alias("filing_date"), F.lead("close").over(PANEL).alias("next_close"))
+    b = t.bars(spark, sf_dir).select("ticker", F.col("date").alias("filing_date"), F.lead("close").over(panel()).alias("next_close"))
     return t.fundamentals(spark, sf_dir).select("ticker", "filing_date").join(b, ["ticker", "filing_date"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barsmith.functions.columns import PANEL
+from barsmith.functions.columns import panel
 from barsmith.operators import stats as st
 from barsmith.plans.base import LINE, query, with_views
 from barsmith.plans.factors import rk
@@ -15,8 +15,8 @@ from barsmith.sources import tables as t
 PANEL_SQL = f"p as (select ticker, date, score, fwd, cast(fwd > 0 as int) as up from (select *, lead(close, 5) {LINE} / close - 1 as fwd from scores) where fwd is not null)"
 
 
-def panel(spark, sf_dir):
-    d = t.scores(spark, sf_dir).withColumn("fwd", F.lead("close", 5).over(PANEL) / F.col("close") - 1).where("fwd is not null")
+def scored(spark, sf_dir):
+    d = t.scores(spark, sf_dir).withColumn("fwd", F.lead("close", 5).over(panel()) / F.col("close") - 1).where("fwd is not null")
     return d.select("ticker", "date", "score", "fwd", (F.col("fwd") > 0).cast("int").alias("up"))
 
 
@@ -26,7 +26,7 @@ def stat(name: str, sql: str, more: str = ""):
     def register(fn):
         @query(name, with_views("scores", more=", ".join(x for x in (PANEL_SQL, more) if x), sql=sql) if sql else None)
         def run(spark, sf_dir):
-            d = fn(panel(spark, sf_dir))
+            d = fn(scored(spark, sf_dir))
             return d.select(*[rounded(F.col(c)).alias(c) if k == "double" else F.col(c) for c, k in d.dtypes])
 
         return run

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barsmith.functions import columns as c
-from barsmith.functions.columns import PANEL
+from barsmith.functions.columns import panel
 from barsmith.operators import joins as j
 from barsmith.operators import sessions as s
 from barsmith.operators import trades as b
@@ -15,7 +15,7 @@ from barsmith.plans.features import FLAGGED, flagged, rounded, rounded_sql
 from barsmith.sources import tables as t
 
 GRACE = 5
-HOLD, HOLD_SQL = (F.col("close") > F.col("s5")) & (F.col("close") > F.col("s15")), "coalesce(close > s5 and close > s15, false)"
+HOLD_SQL = "coalesce(close > s5 and close > s15, false)"
 SESSIONS = f"""marked as (select *, {HOLD_SQL} as h, lead(date) {LINE} as next_date from flagged),
 runs as (select *, sum(cast(h and not was as int)) {SO_FAR} as run from (select *, coalesce(lag(h) {LINE}, false) as was from marked)),
 sessions as (select ticker, row_number() over (partition by ticker order by entry_date) as session_id, entry_date, exit_date, last_hold from (
@@ -23,8 +23,12 @@ sessions as (select ticker, row_number() over (partition by ticker order by entr
   join (select ticker as tk, date as dd, next_date as exit_date from marked) m on m.tk = x.ticker and m.dd = x.d where entry_date is not null)"""
 
 
+def hold():
+    return (F.col("close") > F.col("s5")) & (F.col("close") > F.col("s15"))
+
+
 def sessions_of(spark, sf_dir):
-    return s.trade_sessions(flagged(spark, sf_dir), HOLD, F.col("breakout_ok"))
+    return s.trade_sessions(flagged(spark, sf_dir), hold(), F.col("breakout_ok"))
 
 
 @query("g1_membership_log", with_views("bars", more=f"""d as (select ticker, date, cast(close >= 500 as int) as ok from bars),
@@ -62,7 +66,7 @@ def g13(spark, sf_dir):
 @query("g9_current_runs", with_views("bars", more=FLAGGED, sql=f"""select ticker, min(date) as start_date, arg_min(close, date) as start_close, count(*) as length from (
 select *, sum(cast(not t as int)) {SO_FAR} as island, max(date) over (partition by ticker) as last from (select *, {HOLD_SQL} as t from flagged)) where t group by ticker, island, last having max(date) = last"""))
 def g9(spark, sf_dir):
-    return s.current_runs(flagged(spark, sf_dir), HOLD)
+    return s.current_runs(flagged(spark, sf_dir), hold())
 
 
 @query("g10_drought", with_views("bars", more=FLAGGED, sql="select date_diff('day', max(date) filter (where n > 0), max(date)) as drought_days from (select date, count(*) filter (where breakout_ok) as n from flagged group by date)"))
@@ -107,7 +111,7 @@ H = 20
 @query("l1_l3_dense_labels", with_views("bars", sql=f"select ticker, date, {rounded_sql('hi / close - 1')} as mfe, {rounded_sql('lo / close - 1')} as mae, {rounded_sql('ahead / close - 1')} as fwd, cast(n = {H} as int) as full_window from (select *, max(greatest(high, close)) {following(H)} as hi, min(least(low, close)) {following(H)} as lo, lead(close, {H}) {LINE} as ahead, count(*) {following(H)} as n from bars) where n > 0"))
 def l1(spark, sf_dir):
     f = c.ahead(H)
-    d = t.bars(spark, sf_dir).withColumns({"hi": F.max(F.greatest("high", "close")).over(f), "lo": F.min(F.least("low", "close")).over(f), "ahead": F.lead("close", H).over(PANEL), "n": F.count("close").over(f)}).where("n > 0")
+    d = t.bars(spark, sf_dir).withColumns({"hi": F.max(F.greatest("high", "close")).over(f), "lo": F.min(F.least("low", "close")).over(f), "ahead": F.lead("close", H).over(panel()), "n": F.count("close").over(f)}).where("n > 0")
     ratio = lambda x: rounded(F.col(x) / F.col("close") - 1)
     return d.select("ticker", "date", ratio("hi").alias("mfe"), ratio("lo").alias("mae"), ratio("ahead").alias("fwd"), (F.col("n") == H).cast("int").alias("full_window"))
 
@@ -133,7 +137,7 @@ def l5(spark, sf_dir):
 
 @query("l6_forward_returns", with_views("bars", sql="select ticker, date, " + ", ".join(f"{rounded_sql(f'lead(close, {h}) {LINE} / close - 1')} as r{h}" for h in (1, 5, 20)) + " from bars"))
 def l6(spark, sf_dir):
-    return t.bars(spark, sf_dir).select("ticker", "date", *[rounded(F.lead("close", h).over(PANEL) / F.col("close") - 1).alias(f"r{h}") for h in (1, 5, 20)])
+    return t.bars(spark, sf_dir).select("ticker", "date", *[rounded(F.lead("close", h).over(panel()) / F.col("close") - 1).alias(f"r{h}") for h in (1, 5, 20)])
 
 
 @query("l8_label_audit", with_views("bars", sql=f"""select a.ticker, a.date, {rounded_sql('max(b.high) / a.close - 1')} as mfe from bars a join bars b on a.ticker = b.ticker and b.date > a.date and b.date <= a.date + 30 group by a.ticker, a.date, a.close"""))
