@@ -10,23 +10,23 @@ Only the components are asked for, so a group of near copies need not be spelt o
 1. every node takes the neighbour it most often follows in the lists of its prefix n-grams; these candidates,
    at most one for each node, are verified and joined into components;
 2. lists that still hold several components give their pairs across components (of compatible size); pairs
-   that come up under every order are verified. A link between two nodes of one component changes nothing,
-   every other link is among those pairs, so none is lost.
+   that share enough prefix n-grams for a link under every order are verified. A link between two nodes of
+   one component changes nothing, every other link is among those pairs, so none is lost.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barsmith.llm.common import mix, runs, small, word_hashes, word_spans, written
-from barsmith.llm.substrings import CHUNK, file_chunk, pack, unpack
+from barsmith.llm.substrings import file_chunk, pack, unpack
 
 N, PERCENT, ORDERS = 4, 85, 2
+#: Documents of a chunk.
+CHUNK = 1000
 #: Cells of the frequency sketch: only the arrangement of n-grams depends on it, never a result.
 SKETCH = 1 << 18
 #: Prefix entries of a block of n-grams, about.
@@ -119,6 +119,18 @@ def least_overlap(size: np.ndarray, percent: int) -> np.ndarray:
     return (percent * size + 99) // 100
 
 
+def least_shared(size_a, size_b, percent: int):
+    """How many prefix n-grams two linked nodes share at least under any one order.
+
+    Say a's prefix ends first in that order. What the two have in common lies in both prefixes or in a behind its
+    prefix, where it has least_overlap(size) - 1 n-grams; if b's ends first, likewise. A link needs
+    percent / (100 + percent) of both sizes in common.
+    """
+    common = F.floor((percent * (size_a + size_b) + 99 + percent) / (100 + percent))
+    behind = F.floor((percent * F.greatest(size_a, size_b) + 99) / 100) - 1
+    return F.greatest(common - behind, F.lit(1))
+
+
 def prefixes(rows: DataFrame, classes: np.ndarray, bits: int, percent: int, n: int) -> DataFrame:
     """Prefix entries of each chunk's nodes under each order, by blocks of n-grams."""
     shared = rows.sparkSession.sparkContext.broadcast(classes)  # one byte for each of SKETCH cells
@@ -282,21 +294,25 @@ def linked(docs: DataFrame, percent: int = PERCENT, n: int = N, chunk=None) -> D
     lists = written(lists, "prefix-lists")
     packed = pack(rows)
 
-    follows = lists.where(100 * F.col("before_size") >= percent * F.col("size")).groupBy("node", "before").agg(F.countDistinct("ord").alias("orders"), F.sum("weight").alias("weight"))
-    best = follows.groupBy("node").agg(F.max(F.struct("orders", "weight", "before"))["before"].alias("before"))
+    # Any choice here is right; likely links are chosen, as sets travel for each. Step 2 finds what this misses.
+    follows = lists.where(100 * F.col("before_size") >= percent * F.col("size")).groupBy("node", "size", "before", "before_size").agg(F.sum("weight").alias("weight"))
+    follows = follows.where(F.col("weight") >= least_shared(F.col("size"), F.col("before_size"), percent))
+    best = follows.groupBy("node").agg(F.max(F.struct("weight", "before"))["before"].alias("before"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     links = written(verified(best.select(*pair("node", "before")).distinct(), packed, homes, percent, n), "links")
     labels = components(links)
 
     known = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = known.groupBy("ord", "list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("ord", "list")
-    some = written(known.join(mixed, ["ord", "list"], "left_semi").select("ord", "list", "node", "size", "label"), "mixed-lists")
+    some = written(known.join(mixed, ["ord", "list"], "left_semi").select("ord", "list", "weight", "node", "size", "label"), "mixed-lists")
     other = some.select("ord", "list", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "label")))
     across = some.join(other, ["ord", "list"]).where(
         (F.col("label") != F.col("other_label")) & (100 * F.col("size") >= percent * F.col("other_size"))
         & ((F.col("size") < F.col("other_size")) | (F.col("size") == F.col("other_size")) & (F.col("node") < F.col("other_node"))))
-    per_order = [across.where(F.col("ord") == k).select(*pair("node", "other_node")).distinct() for k in range(ORDERS)]
-    pairs = written(reduce(lambda x, y: x.join(y, ["a", "b"], "left_semi"), per_order), "candidates")
+    shared = across.groupBy("ord", *pair("node", "other_node"), (F.col("size") + F.col("other_size")).alias("sizes"), F.greatest("size", "other_size").alias("larger")).agg(F.sum("weight").alias("shared"))
+    enough = F.col("shared") >= least_shared(F.col("larger"), F.col("sizes") - F.col("larger"), percent)
+    pairs = shared.where(enough).groupBy("a", "b").agg(F.count(F.lit(1)).alias("orders")).where(F.col("orders") == ORDERS).select("a", "b")
+    pairs = written(pairs, "candidates")
     more = verified(pairs, packed, homes, percent, n)
     labels = components(links.unionByName(written(more, "links")))
 
@@ -308,7 +324,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, n: int = N, chunk=None) -> D
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", file_chunk().alias("place"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", file_chunk(CHUNK).alias("place"))
     return linked(docs, PERCENT, N, F.col("place"))
 
 

@@ -289,9 +289,9 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, chunk=None) -> DataFr
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_cut(bits, window), "doc_id long, n_words long, n_removed long, text string")
 
 
-def file_chunk():
-    """Chunks by place in the file, for tables read from files."""
-    return F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / CHUNK))
+def file_chunk(rows: int = CHUNK):
+    """Chunks of so many neighbouring rows by place in the file, for tables read from files."""
+    return F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
