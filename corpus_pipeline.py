@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barsmith.llm import bpe, langid, mixing, ngram_join, secrets
 from barsmith.llm.common import written
+from barsmith.llm.substrings import file_chunk
 
 #: SQL cannot express language identification; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -21,7 +22,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of documents that links of word 5-grams at a Jaccard similarity of 0.8 connect, the one with the smallest
     doc_id stays. Documents without words and rows without an id
     stay; repeated rows come once."""
-    found = ngram_join.linked(docs.select("doc_id", "text"), percent=80, n=5).select("doc_id", "component_id")
+    placed = docs.select("doc_id", "text", file_chunk(ngram_join.CHUNK).alias("place"))  # a stage's docs are a table of files
+    found = ngram_join.linked(placed, percent=80, n=5, chunk=F.col("place")).select("doc_id", "component_id")
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     kept = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null"))
