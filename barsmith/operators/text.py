@@ -19,7 +19,7 @@ def normalise(x) -> Column:
 
 def grounded(quote, document, least: int = 12) -> Column:
     """Is every fragment of the quote (between ellipses, short ones left out) in the document? Both normalised."""
-    parts = F.filter(F.transform(F.split(quote, r"\.\.\."), F.trim), lambda p: F.length(p) >= least)
+    parts = F.filter(F.transform(F.split(quote, r"\.\.\."), lambda p: F.trim(p)), lambda p: F.length(p) >= least)
     return (F.size(parts) > 0) & F.forall(parts, lambda p: F.contains(document, p))
 
 
@@ -34,4 +34,4 @@ def sections(df: DataFrame, text: str, headings: Sequence[str]) -> DataFrame:
     marked = F.regexp_replace(F.concat(F.lit("\n"), F.col(text), F.lit("\n")), "\n(" + "|".join(headings) + ")\n", "\u0001$1\u0002")
     part = F.explode(F.slice(F.split(marked, "\u0001"), 2, 1 << 20)).alias("__p")
     d = df.select(*[c for c in df.columns if c != text], part)
-    return d.select(*[c for c in d.columns if c != "__p"], F.split("__p", "\u0002")[0].alias("heading"), F.trim(F.split("__p", "\u0002")[1]).alias("body"))
+    return d.select(*[c for c in d.columns if c != "__p"], F.split("__p", "\u0002")[0].alias("heading"), F.regexp_replace(F.split("__p", "\u0002")[1], r"^\s+|\s+$", "").alias("body"))

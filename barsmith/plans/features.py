@@ -24,7 +24,7 @@ def rounded(x):
 
 
 def rounded_sql(x: str) -> str:
-    return f"round(({x}) + {NUDGE:.9f}, {D}) + 0.0"
+    return f"round(cast(({x}) as double) + {NUDGE:e}, {D}) + 0e0"
 
 
 def features(name: str, columns: list[tuple[str, object, str]], steps: list[tuple[str, object, str]] = (), bench: bool = False) -> None:

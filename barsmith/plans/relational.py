@@ -252,7 +252,7 @@ def a16(spark, sf_dir):
 
 
 @query("a17_concurrent_active", with_views("fundamentals", sql="""
-select day, sum(sum(d)) over (order by day) as active from (select filing_date as day, 1 as d from fundamentals union all select filing_date + 45, -1 from fundamentals) group by day"""))
+select day, cast(sum(sum(d)) over (order by day) as bigint) as active from (select filing_date as day, 1 as d from fundamentals union all select filing_date + 45, -1 from fundamentals) group by day"""))
 def a17(spark, sf_dir):
     f = t.fundamentals(spark, sf_dir)
     deltas = f.select(F.col("filing_date").alias("day"), F.lit(1).alias("d")).unionByName(f.select(F.date_add("filing_date", 45).alias("day"), F.lit(-1).alias("d")))

@@ -55,7 +55,7 @@ stat("t17_calibration_error", f"select {r('sum(n * abs(mean_p - rate)) / sum(n)'
 stat("t21_best_threshold", f"select {r('s')} as threshold, {r('f1')} as f1 from (select s, round(2 * tp / (n + total), 9) as f1 from (select *, sum(pos) over (order by s desc rows between unbounded preceding and current row) as tp, sum(pos + neg) over (order by s desc rows between unbounded preceding and current row) as n, sum(pos) over () as total from cc)) order by round(f1, 9) desc, s desc limit 1", CURVE)(lambda p: st.best_threshold(p, "score", "up"))
 stat("t22_probability_separation", f"select up, {r('avg(score)')} as mean_score from p group by up")(lambda p: p.groupBy("up").agg(F.avg("score").alias("mean_score")))
 stat("t23_quarter_stability", f"select cast(date_trunc('quarter', date) as date) as quarter, {r('avg(up)')} as rate, count(*) as n from p group by 1 having count(*) >= 30")(lambda p: p.groupBy(F.trunc("date", "quarter").alias("quarter")).agg(F.avg("up").alias("rate"), F.count(F.lit(1)).alias("n")).where("n >= 30"))
-stat("t12_threshold_sweep", f"select th, {r('avg(up) filter (where score >= th)')} as precision, {r('count(*) filter (where score >= th and up = 1) * 1.0 / sum(up)')} as recall, count(*) filter (where score >= th) as n from p, (values (0.25), (0.5), (0.75)) v(th) group by th")(
+stat("t12_threshold_sweep", f"select cast(th as double) as th, {r('avg(up) filter (where score >= th)')} as precision, {r('count(*) filter (where score >= th and up = 1) * 1.0 / sum(up)')} as recall, count(*) filter (where score >= th) as n from p, (values (0.25), (0.5), (0.75)) v(th) group by th")(
     lambda p: p.withColumn("th", F.explode(F.array(*map(F.lit, (0.25, 0.5, 0.75))))).groupBy("th").agg(F.avg(F.when(F.col("score") >= F.col("th"), F.col("up"))).alias("precision"), (F.count_if((F.col("score") >= F.col("th")) & (F.col("up") == 1)) / F.sum("up")).alias("recall"), F.count_if(F.col("score") >= F.col("th")).alias("n")))
 stat("t25_stability_index", f"""select {r('sum((pb - pa) * ln(pb / pa))')} as psi from (select greatest(a * 1.0 / sum(a) over (), 1e-6) as pa, greatest(b * 1.0 / sum(b) over (), 1e-6) as pb from (
 select len(list_filter(edges, lambda e: score > e)) as bin, count(*) filter (where date < date '1998-01-01') as a, count(*) filter (where date >= date '1998-01-01') as b from p, ed group by 1))""",
