@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -65,6 +67,39 @@ def _specials(path: str) -> tuple[str, ...]:
     return tuple(x.content for x in tokenizer(path).get_added_tokens_decoder().values())
 
 
+#: Texts of other characters, whose classes change between Unicode versions, go to the library whole.
+_SETTLED = re.compile(r"[\t\n\r\x20-\x7e\u00a1-\u024f\u2010-\u2027]*")
+#: Pre-tokens whose ids a worker remembers at most.
+REMEMBERED = 200_000
+
+
+@functools.cache
+def _memory(path: str) -> tuple:
+    import public_tokenizers
+    import regex
+
+    return {}, regex.compile(public_tokenizers.PATTERN)
+
+
+def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
+    """Ids of whole texts, as the library gives them.
+
+    Pre-tokens are encoded one by one in BPE, so the ids of a text are those of its pre-tokens in turn. The
+    library encodes each pre-token once and the worker remembers it; texts with special tokens or with
+    characters that are not settled go to the library as they are.
+    """
+    t = tokenizer(path)
+    known, pattern = _memory(path)
+    plain = [bool(_SETTLED.fullmatch(x)) and not any(s in x for s in _specials(path)) for x in texts]
+    parts = [pattern.findall(x) if p else [] for x, p in zip(texts, plain, strict=True)]
+    if len(known) > REMEMBERED:
+        known.clear()
+    new = list({w for ws in parts for w in ws if w not in known})
+    known.update(zip(new, (e.ids for e in t.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+    odd = iter(t.encode_batch_fast([x for x, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+    return [np.array(list(chain.from_iterable(map(known.__getitem__, ws))) if p else next(odd).ids, dtype=np.int32) for ws, p in zip(parts, plain, strict=True)]
+
+
 @dataclass
 class Piece:
     """Text with its ids; per token its first character and whether it begins a pre-token."""
@@ -207,10 +242,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", leaf: int = LEAF)
     rows = docs.select(*names, F.coalesce(text_col, F.lit("")).alias("__text"))
 
     def whole(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tokenizer(path)
         for batch in small(batches):
-            found = t.encode_batch_fast(list(batch["__text"]), add_special_tokens=False)
-            yield batch[names].assign(token_ids=[np.array(e.ids, dtype=np.int32) for e in found])
+            yield batch[names].assign(token_ids=encode_texts(path, list(batch["__text"])))
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in small(batches, 1):
