@@ -7,8 +7,8 @@ passages hardly enter prefixes, and differ in how they arrange n-grams of one fr
 
 Only the components are asked for, so a group of near copies need not be spelt out into all its pairs:
 
-1. every node takes the neighbour it most often follows in the lists of its prefix n-grams; these candidates,
-   at most one for each node, are verified and joined into components;
+1. every list of nodes with a prefix n-gram has a hub; a node takes the hub that it meets most often. These
+   candidates, at most one for each node, are verified and joined into components;
 2. lists that still hold several components give their pairs across components (of compatible size); pairs
    that share enough prefix n-grams for a link under every order are verified. A link between two nodes of
    one component changes nothing, every other link is among those pairs, so none is lost.
@@ -28,7 +28,7 @@ N, PERCENT, ORDERS = 4, 85, 2
 #: Documents of a chunk.
 CHUNK = 1000
 #: Cells of the frequency sketch: only the arrangement of n-grams depends on it, never a result.
-SKETCH = 1 << 18
+SKETCH, SLICES = 1 << 22, 64
 #: Prefix entries of a block of n-grams, about.
 ENTRIES = 1 << 20
 #: Bytes of an n-gram in sets that are compared.
@@ -95,22 +95,26 @@ def frequency_classes(rows: DataFrame, n: int) -> np.ndarray:
     """For each cell of the sketch how many times, as a power of 2, it is hit more often than the mean cell."""
 
     def run(batches):
-        count = np.zeros(SKETCH, dtype=np.int64)
+        count = np.zeros(SKETCH, dtype=np.uint32)
         for _, _, texts in _chunks(batches):
             _, values = shingle_sets(texts, n)
-            count += np.bincount((values & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        for k, part in enumerate(np.minimum(count, 2**31 - 1).astype(np.int32).reshape(16, -1)):
-            yield pd.DataFrame({"slice": [k], "counts": [part.tobytes()]})
+            cells, hits = np.unique((values & np.uint64(SKETCH - 1)).astype(np.int64), return_counts=True)
+            count[cells] += hits.astype(np.uint32)
+        for k, part in enumerate(count.reshape(SLICES, -1)):  # most tasks hit a cell a few times: one byte each
+            kind = np.uint8 if part.max() < 256 else np.uint32
+            yield pd.DataFrame({"slice": [k], "counts": [part.astype(kind).tobytes()]})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in group["counts"])
+        width = SKETCH // SLICES
+        total = sum(np.frombuffer(x, dtype=np.uint8 if len(x) == width else np.uint32).astype(np.int64) for x in group["counts"])
+        total = np.minimum(total, 2**32 - 1).astype(np.uint32)
         return pd.DataFrame({"slice": [int(group["slice"].iloc[0])], "counts": [total.tobytes()]})
 
     parts = rows.mapInPandas(run, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
-    count = np.zeros(SKETCH)
+    count = np.zeros(SKETCH, dtype=np.float32)
     for p in parts:
-        width = SKETCH // 16
-        count[p["slice"] * width:(p["slice"] + 1) * width] = np.frombuffer(p["counts"], dtype=np.int64)
+        width = SKETCH // SLICES
+        count[p["slice"] * width:(p["slice"] + 1) * width] = np.frombuffer(p["counts"], dtype=np.uint32)
     floor = max(1.0, float(np.median(count)) + 3 * float(np.sqrt(np.median(count))))
     return np.ceil(np.log2(np.maximum(count / floor, 1))).astype(np.uint8)
 
@@ -164,7 +168,7 @@ def prefixes(rows: DataFrame, classes: np.ndarray, bits: int, percent: int, n: i
 
 def prefix_lists(group: pd.DataFrame) -> pd.DataFrame:
     """Lists of the block with at least two nodes, by size: equal lists once, with how many there are.
-    before: the preceding node, if their sizes allow a link (that is checked later, by whole percents)."""
+    before: the list's hub, a node that many lists hold; its size is 0 in the hub's own row."""
     gram, node, size = [], [], []
     for g, p, n, s in zip(group["grams"], group["places"], group["nodes"], group["sizes"], strict=True):
         place = np.frombuffer(p, dtype=np.uint16)
@@ -186,13 +190,16 @@ def prefix_lists(group: pd.DataFrame) -> pd.DataFrame:
     chosen[one] = True
     chosen &= length > 1
     keep = np.repeat(chosen, length)
-    head = np.zeros(len(gram), dtype=bool)
-    head[start] = True
-    before = np.concatenate([[0], node[:-1]])
-    before_size = np.concatenate([[0], size[:-1]])
+    # The list's hub is the node with the most entries in lists, then the smallest id.
+    shared = np.repeat(length > 1, length)
+    _, which_node = np.unique(node, return_inverse=True)
+    entries = np.bincount(which_node, weights=shared)[which_node]
+    by = np.lexsort((node, -entries, np.repeat(np.arange(len(start)), length)))
+    hub = np.repeat(by[start], length)
+    own = node[hub] == node
     out = pd.DataFrame({
         "ord": int(group["ord"].iloc[0]), "list": gram.astype(np.int64), "weight": np.repeat(weight[which], length).astype(np.int64), "node": node, "size": size,
-        "before": before, "before_size": np.where(head, 0, before_size),
+        "before": node[hub], "before_size": np.where(own, 0, size[hub]),
     })
     return out[keep]
 
@@ -295,7 +302,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, n: int = N, chunk=None) -> D
     packed = pack(rows)
 
     # Any choice here is right; likely links are chosen, as sets travel for each. Step 2 finds what this misses.
-    follows = lists.where(100 * F.col("before_size") >= percent * F.col("size")).groupBy("node", "size", "before", "before_size").agg(F.sum("weight").alias("weight"))
+    follows = lists.where((100 * F.col("before_size") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("before_size"))).groupBy("node", "size", "before", "before_size").agg(F.sum("weight").alias("weight"))
     follows = follows.where(F.col("weight") >= least_shared(F.col("size"), F.col("before_size"), percent))
     best = follows.groupBy("node").agg(F.max(F.struct("weight", "before"))["before"].alias("before"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
