@@ -9,8 +9,9 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-#: Lines of a window, and characters of a window at which text surges.
-WINDOW, SURGE = 3, 60
+#: Lines of a window, characters outside links of a window at which text surges, and the part (in percent) of its characters
+#: outside links under which it dives.
+WINDOW, SURGE, DIVE = 3, 60, 50
 
 # Element names of HTML by what they do to the text, and the words by which pages name their boilerplate.
 RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "noembed", "noframes", "xmp"}
@@ -61,14 +62,16 @@ def _dropped(name: str, attrs: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """The page's blocks in order, as (text, article, parent); dropped ones leave WINDOW empty lines.
+def lines_of(page: str) -> list[tuple[str, int, int, int]]:
+    """The page's blocks in order, as (text, plain, article, parent); dropped ones leave WINDOW empty lines.
 
+    plain: characters of the text outside links; links of headings count as text.
     article: number of the outermost article or main element that holds the block, 0 for none.
     parent: number of the element that holds it.
     """
-    lines: list[tuple[str, int, int]] = []
+    lines: list[tuple[str, int, int, int]] = []
     parts: list[str] = []
+    linked: list[str] = []  # those parts that are inside links
     stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # name, dropped, article, own number
     header = 0  # open header elements inside an article: only their headings count
     number = 0
@@ -76,13 +79,15 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
+            plain = max(0, len(text) - len(" ".join(html.unescape(" ".join(linked)).split())))
             parts.clear()
+            linked.clear()
             if text:
                 block = next((e for e in reversed(stack) if e[0] not in INLINE and e[0] != "p" and e[0] not in HEADINGS), stack[0])
-                lines.append((text, stack[-1][2], block[3]))
+                lines.append((text, plain, stack[-1][2], block[3]))
 
     def gap() -> None:
-        lines.extend([("", 0, 0)] * WINDOW)
+        lines.extend([("", 0, 0, 0)] * WINDOW)
 
     at, size = 0, len(page)
     while at < size:
@@ -90,6 +95,9 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         start = found.start() if found else size
         if start > at and not stack[-1][1] and (not header or any(e[0] in HEADINGS for e in stack)):
             parts.append(page[at:start])
+            names = {e[0] for e in stack}
+            if "a" in names and not names & HEADINGS:
+                linked.append(page[at:start])
         if not found:
             break
         at = found.end()
@@ -144,41 +152,67 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     return lines
 
 
+def _regions(size: list[int], weight: list[int]) -> list[tuple[int, int]]:
+    """(first line, line behind the last) of what lies between the surge and dive points of weight's window sums.
+
+    The sum dives under DIVE percent of the window's size, or to nothing. Lines of links at the ends of a
+    region only share a window with its text, so it begins and ends at lines which are text by themselves.
+    """
+    above = lambda w, n: 0 < w and 100 * w >= DIVE * n
+    out: list[tuple[int, int]] = []
+    start = None
+    for i in range(len(size) + 1):
+        low = max(0, i - WINDOW + 1)
+        on = i < len(size) and above(sum(weight[low:i + 1]), sum(size[low:i + 1]))
+        # A long run of links can pull the window down before a line that is text has left it.
+        on = on or i < len(size) and above(weight[i], size[i])
+        if on and start is None:
+            start = i
+        elif not on and start is not None:
+            text = [k for k in range(start, i) if above(weight[k], size[k])]
+            if text:
+                out.append((text[0], text[-1] + 1))
+            start = None
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The blocks between surge and dive points of the line-block distribution, one a line.
 
-    The length of a line is that of its text; the distribution is the sum over WINDOW lines. A region
-    begins where the sum rises from nothing and ends where it falls to nothing (dropped boilerplate
-    makes WINDOW empty lines); it is text if the sum surges to SURGE somewhere. Of pages with article or
-    main elements only the lines of the longest one count. The longest region is kept, with the others
-    inside the same element; where nothing surges, the longest region alone decides.
+    The weight of a line is that of its text outside links; the distribution is the sum over WINDOW lines.
+    A region begins where the sum rises and ends where it dives under DIVE percent of all text there
+    (lines of links) or to nothing (dropped boilerplate makes WINDOW empty lines); it is text if the sum
+    surges to SURGE somewhere. Of pages with article or main elements only the lines of the longest one
+    count. There short regions stay too, but for those between lines of links that share no element with
+    text; elsewhere the longest region is kept, with the others inside the same element. Where nothing
+    surges, the text of links counts in full and the longest region alone decides.
     """
     lines = lines_of(page or "")
     by_article: dict[int, int] = {}
-    for text, article, _ in lines:
+    for text, _, article, _ in lines:
         by_article[article] = by_article.get(article, 0) + len(text)
     own = max((a for a in by_article if a and by_article[a]), key=lambda a: (by_article[a], -a), default=0)
-    length = [len(text) if article == own or not own else 0 for text, article, _ in lines]
-    sums = [sum(length[max(0, i - WINDOW + 1):i + 1]) for i in range(len(length))]
-    regions: list[tuple[int, int]] = []
-    start = None
-    for i, s in enumerate([*sums, 0]):
-        if s and start is None:
-            start = i
-        elif not s and start is not None:
-            regions.append((start, i))
-            start = None
+    inside = [article == own or not own for _, _, article, _ in lines]
+    size = [len(x[0]) if there else 0 for x, there in zip(lines, inside, strict=True)]
+    weight = [x[1] if there else 0 for x, there in zip(lines, inside, strict=True)]
+    surges = lambda r: any(sum(weight[max(r[0], i - WINDOW + 1):i + 1]) >= SURGE for i in range(*r))
+    regions = _regions(size, weight)
+    surging = [r for r in regions if surges(r)]
+    if not surging:
+        weight = size
+        regions = _regions(size, weight)
+        surging = [r for r in regions if surges(r)] or regions
     if not regions:
         return ""
-    total = {r: sum(length[r[0]:r[1]]) for r in regions}
-    surging = [r for r in regions if max(sums[r[0]:r[1]]) >= SURGE] or regions
-    best = max(surging, key=lambda r: (total[r], -r[0]))
+    best = max(surging, key=lambda r: (sum(size[r[0]:r[1]]), -r[0]))
+    homes = {lines[i][3] for r in (surging if own else [best]) for i in range(*r) if size[i]}
+    at_home = lambda r: any(size[i] and lines[i][3] in homes for i in range(*r))
     if own:
-        kept = regions  # what is left of the article is all its text
+        links = lambda i: 0 <= i < len(size) and size[i] > 0  # noqa: E731  (text beside a region is one of links)
+        kept = [r for r in regions if r in surging or at_home(r) or not (links(r[0] - 1) and links(r[1]))]
     else:
-        homes = {lines[i][2] for i in range(*best) if length[i]}
-        kept = [r for r in regions if r == best or any(length[i] and lines[i][2] in homes for i in range(*r))]
-    return "\n".join(lines[i][0] for r in kept for i in range(*r) if length[i])
+        kept = [r for r in regions if r == best or at_home(r)]
+    return "\n".join(lines[i][0] for r in kept for i in range(*r) if size[i])
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -102,6 +102,19 @@ def test_main_text_between_surge_and_dive():
     assert html_text.main_text("x" * 200_000) == "x" * 200_000
 
 
+LONG = "One paragraph of text that goes on for quite a while, so that the windows over it surge."
+
+
+def test_lines_of_links_dive_with_and_without_an_article():
+    links = "".join(f'<li><a href="/{i}">Another page {i}</a></li>' for i in range(6))
+    for tag in ("article", "div"):
+        page = f'<{tag}><div><a href="/">Front page</a></div><h1><a href="/t">Title</a></h1><p>{LONG}</p><p>Short.</p><ul>{links}</ul><p>{LONG} <a>And more.</a></p><p>End.</p><div><a>One</a> | <a>Two</a></div></{tag}>'
+        assert html_text.main_text(page) == f"Title\n{LONG}\nShort.\n{LONG} And more.\nEnd."
+    assert html_text.main_text(f"<article><p>{LONG}</p><p><a>A line of links inside the text</a></p><p>End.</p></article>") == f"{LONG}\nA line of links inside the text\nEnd."
+    assert html_text.main_text(f"<article><p>{LONG}</p><ul>{links}</ul><div>Topics</div><ul>{links}</ul></article>") == LONG
+    assert html_text.main_text("<article><p><a>Only links</a></p></article>") == "Only links"
+
+
 def test_pages_keep_other_columns(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "clash"), (None, None, None, None)], "page_id long, url string, html string, text string")
     rows = html_text.extract(pages).collect()
