@@ -36,6 +36,12 @@ DROPPED_WORDS = {
 #: These name boilerplate unless the name also says that they belong to the article.
 OUTER_WORDS, OWN_WORDS = {"header", "footer", "banner"}, {"article", "post", "entry", "story", "content"}
 KEPT = {"html", "body", "main", "article"}
+#: After these a word tells how the page is laid out ("no-sidebar", "with-comments").
+LAYOUT_WORDS = {"no", "non", "not", "without", "with", "has", "have"}
+#: What these name may be longer than the article.
+REPLY_WORDS = {"comment", "comments", "commentlist", "disqus", "respond", "replies"}
+#: Elements of which a text has many, side by side.
+ITEMS = {"li", "td", "th", "tr", "tbody", "thead", "dt", "dd", "blockquote", "section", "figure", "figcaption", "pre"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -45,111 +51,180 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
-def _dropped(name: str, attrs: str) -> bool:
+def _dropped(name: str, attrs: str) -> str:
+    """How the markup tells that the element is boilerplate: "" if it does not, "surely", or by one word of a
+    compound name, "replies" or "maybe"."""
     if name in DROPPED:
-        return True
+        return "surely"
     if not attrs or name in KEPT and name != "article":
-        return False
+        return ""
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()):
-        return True
+        return "surely"
     if found.get("role", "").lower() in DROPPED_ROLES:
-        return True
+        return "surely"
+    how = ""
     for title in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
-        words = set(re.split(r"[-_:.]+", title))
-        if words & DROPPED_WORDS or words & OUTER_WORDS and not words & OWN_WORDS:
-            return True
-    return False
+        words = [w for w in re.split(r"[-_:.]+", title) if w]
+        told = {w for before, w in zip(["", *words], words, strict=False) if before not in LAYOUT_WORDS}
+        named = told & DROPPED_WORDS or told & OUTER_WORDS if not told & OWN_WORDS else told & DROPPED_WORDS
+        if named and named == set(words):
+            return "surely"
+        if named:
+            how = "replies" if how == "replies" or named & REPLY_WORDS else "maybe"
+    return how
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, int]]:
-    """The page's blocks in order, as (text, plain, article, parent); dropped ones leave WINDOW empty lines.
+class Page:
+    """The blocks of a page in order; what is dropped leaves WINDOW empty lines.
 
-    plain: characters of the text outside links; links of headings count as text.
-    article: number of the outermost article or main element that holds the block, 0 for none.
-    parent: number of the element that holds it.
+    lines: (text, plain, article, parent) of each block. plain: characters of the text outside links; links
+    of headings count as text. article: number of the outermost article or main element that holds the
+    block, 0 for none. parent: number of the element that holds it. tree: (name, parent) of each element.
     """
-    lines: list[tuple[str, int, int, int]] = []
-    parts: list[str] = []
-    linked: list[str] = []  # those parts that are inside links
-    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # name, dropped, article, own number
-    header = 0  # open header elements inside an article: only their headings count
-    number = 0
-
-    def flush() -> None:
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            plain = max(0, len(text) - len(" ".join(html.unescape(" ".join(linked)).split())))
-            parts.clear()
-            linked.clear()
-            if text:
-                block = next((e for e in reversed(stack) if e[0] not in INLINE and e[0] != "p" and e[0] not in HEADINGS), stack[0])
-                lines.append((text, plain, stack[-1][2], block[3]))
-
-    def gap() -> None:
-        lines.extend([("", 0, 0, 0)] * WINDOW)
-
-    at, size = 0, len(page)
-    while at < size:
-        found = _TOKEN.search(page, at)
-        start = found.start() if found else size
-        if start > at and not stack[-1][1] and (not header or any(e[0] in HEADINGS for e in stack)):
-            parts.append(page[at:start])
-            names = {e[0] for e in stack}
-            if "a" in names and not names & HEADINGS:
-                linked.append(page[at:start])
-        if not found:
-            break
-        at = found.end()
-        if not found["name"]:
-            continue
-        name = found["name"].lower()
-        if found["end"]:
-            if name not in INLINE:
+
+    def __init__(self, page: str) -> None:
+        self.tree: list[tuple[str, int]] = [("", 0)]
+        self.doubts: dict[int, str] = {}  # elements that one word of a compound name calls boilerplate
+        found = self._read(page)
+        gone = self._gone(found)
+        self.lines = [x[:4] for x in found if not (gone.intersection(x[4]) or x[5] and x[5] not in gone)]
+
+    def _gone(self, found: list[tuple]) -> set[int]:
+        """The doubts that are dropped: all but those that hold the article or most of the page's text."""
+        own, plain, articles = ({one: kind() for one in self.doubts} for kind in (int, int, set))
+        total, sure = 0, {}
+        for text, _, article, _, doubts, _ in found:
+            counts = not any(self.doubts[k] == "replies" for k in doubts)
+            total += len(text) * counts
+            if article and not doubts:
+                sure[article] = sure.get(article, 0) + len(text)
+            for k in doubts:
+                own[k] += len(text)
+                plain[k] += len(text) * counts
+                if article:
+                    articles[k].add(article)
+        gone = set()
+        for one, how in self.doubts.items():
+            other = total - plain[one]
+            most = own[one] > other if how == "maybe" else other < SURGE
+            if max(sure.values(), default=0) >= SURGE and not articles[one] & sure.keys():
+                most = False  # the article is elsewhere
+            if not most and (sure or len(articles[one]) != 1):
+                gone.add(one)
+        return gone
+
+    def _read(self, page: str) -> list[tuple]:
+        """Lines with the doubts that hold them, and for empty lines the doubt that they stand for."""
+        lines: list[tuple] = []
+        parts: list[str] = []
+        linked: list[str] = []  # those parts that are inside links
+        # name, dropped, article, own number, doubts, and whether text is a link's (1) or a heading's (2)
+        stack: list[tuple[str, bool, int, int, tuple[int, ...], int]] = [("", False, 0, 0, (), 0)]
+        header = 0  # open header elements inside an article: only their headings count
+
+        def flush() -> None:
+            if parts:
+                text = " ".join(html.unescape("".join(parts)).split())
+                plain = max(0, len(text) - len(" ".join(html.unescape(" ".join(linked)).split())))
+                parts.clear()
+                linked.clear()
+                if text:
+                    block = next((e for e in reversed(stack) if e[0] not in INLINE and e[0] != "p" and e[0] not in HEADINGS), stack[0])
+                    lines.append((text, plain, stack[-1][2], block[3], stack[-1][4], 0))
+
+        def gap(doubt: int = 0) -> None:
+            lines.extend([("", 0, 0, 0, (), doubt)] * WINDOW)
+
+        def close(depth: int) -> None:
+            if any(e[1] for e in stack[depth:]) and not stack[depth - 1][1]:
+                gap()
+            for e in stack[depth:]:
+                if e[3] in self.doubts:
+                    gap(e[3])
+            del stack[depth:]
+
+        at, size = 0, len(page)
+        while at < size:
+            found = _TOKEN.search(page, at)
+            start = found.start() if found else size
+            if start > at and not stack[-1][1] and (not header or any(e[0] in HEADINGS for e in stack)):
+                parts.append(page[at:start])
+                if stack[-1][5] == 1:
+                    linked.append(page[at:start])
+            if not found:
+                break
+            at = found.end()
+            if not found["name"]:
+                continue
+            name = found["name"].lower()
+            if found["end"]:
+                if name not in INLINE:
+                    flush()
+                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+                if depth and name in INLINE and any(e[0] not in INLINE for e in stack[depth:]):
+                    depth = 0  # an inline end tag does not close blocks
+                if depth:
+                    if any(e[3] in self.doubts for e in stack[depth:]):
+                        flush()
+                    header -= sum(e[0] == "header" and not e[1] for e in stack[depth:])
+                    close(depth)
+                continue
+            if name in RAW:
+                end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+                at = end.end() if end else size
+                continue
+            if name in SPACE and not stack[-1][1]:
+                parts.append(" ")
+            if name in VOID:
+                continue
+            if name not in INLINE and name not in SPACE:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if depth and name in INLINE and any(e[0] not in INLINE for e in stack[depth:]):
-                depth = 0  # an inline end tag does not close blocks
-            if depth:
-                if any(e[1] for e in stack[depth:]) and not stack[depth - 1][1]:
-                    gap()
-                header -= sum(e[0] == "header" and not e[1] for e in stack[depth:])
-                del stack[depth:]
-            continue
-        if name in RAW:
-            close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else size
-            continue
-        if name in SPACE and not stack[-1][1]:
-            parts.append(" ")
-        if name in VOID:
-            continue
-        if name not in INLINE and name not in SPACE:
-            flush()
-            for i in range(len(stack) - 1, 0, -1):  # a block closes an open paragraph, a list item its elder
-                if stack[i][0] == "p" or stack[i][0] == name == "li":
-                    if any(e[1] for e in stack[i:]) and not stack[i - 1][1]:
-                        gap()
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        _, inside, article, _ = stack[-1]
-        drop = inside or _dropped(name, found["attrs"])
-        if name == "header" and not drop:
-            drop, header = not article, header + bool(article)
-        if drop and not inside:
-            flush()
-            gap()
-        number += 1
-        if name in ("article", "main") and not article and not drop:
-            article = number
-        if not found["attrs"].rstrip().endswith("/") or name not in INLINE | DROPPED:
-            stack.append((name, drop, article, number))
-        elif drop and not inside:
-            gap()
-    flush()
-    return lines
+                for i in range(len(stack) - 1, 0, -1):  # a block closes an open paragraph, a list item its elder
+                    if stack[i][0] == "p" or stack[i][0] == name == "li":
+                        close(i)
+                        break
+                    if stack[i][0] not in INLINE:
+                        break
+            _, inside, article, parent, doubts, kind = stack[-1]
+            how = "" if inside else _dropped(name, found["attrs"])
+            drop = inside or how == "surely"
+            if name == "header" and not drop:
+                drop, header = not article, header + bool(article)
+            number = len(self.tree)
+            self.tree.append((name, parent))
+            if not inside and (drop or how):
+                flush()
+                gap(0 if drop else number)
+            if name in ("article", "main") and not article and not drop:
+                article = number
+            if not found["attrs"].rstrip().endswith("/") or name not in INLINE | DROPPED:
+                if how and not drop:
+                    self.doubts[number] = how
+                    doubts = (*doubts, number)
+                kind = 2 if kind == 2 or name in HEADINGS else int(kind == 1 or name == "a")
+                stack.append((name, drop, article, number, doubts, kind))
+            elif drop and not inside:
+                gap()
+        flush()
+        return lines
+
+    def common(self, numbers: set[int]) -> int:
+        """The innermost element that holds all these and is no item of a row of such, 0 if that is the whole page."""
+        one, last = min(numbers), max(numbers)  # numbers go by start tags: what holds these two holds all
+        while one != last:
+            one, last = min(one, self.tree[last][1]), max(one, self.tree[last][1])
+        while self.tree[one][0] in ITEMS:
+            one = self.tree[one][1]
+        return 0 if self.tree[one][0] in ("", "html", "body") else one
+
+    def within(self, some: set[int]) -> set[int]:
+        """These elements and all inside them."""
+        out = set(some)
+        for number, (_, parent) in enumerate(self.tree):
+            if parent in out:
+                out.add(number)
+        return out
 
 
 def _regions(size: list[int], weight: list[int]) -> list[tuple[int, int]]:
@@ -182,12 +257,13 @@ def main_text(page: str | None) -> str:
     The weight of a line is that of its text outside links; the distribution is the sum over WINDOW lines.
     A region begins where the sum rises and ends where it dives under DIVE percent of all text there
     (lines of links) or to nothing (dropped boilerplate makes WINDOW empty lines); it is text if the sum
-    surges to SURGE somewhere. Of pages with article or main elements only the lines of the longest one
-    count. There short regions stay too, but for those between lines of links that share no element with
-    text; elsewhere the longest region is kept, with the others inside the same element. Where nothing
-    surges, the text of links counts in full and the longest region alone decides.
+    surges to SURGE somewhere. All these regions are kept, with short ones inside the same element. Of pages
+    with article or main elements only the lines of the longest one count; there other short regions stay
+    too, but for those between lines of links. Where nothing surges, the text of links counts in full and the
+    longest region alone decides.
     """
-    lines = lines_of(page or "")
+    tree = Page(page or "")
+    lines = tree.lines
     by_article: dict[int, int] = {}
     for text, _, article, _ in lines:
         by_article[article] = by_article.get(article, 0) + len(text)
@@ -201,17 +277,19 @@ def main_text(page: str | None) -> str:
     if not surging:
         weight = size
         regions = _regions(size, weight)
-        surging = [r for r in regions if surges(r)] or regions
+        surging = [max(regions, key=lambda r: (surges(r), sum(size[r[0]:r[1]]), -r[0]))] if regions else []
     if not regions:
         return ""
-    best = max(surging, key=lambda r: (sum(size[r[0]:r[1]]), -r[0]))
-    homes = {lines[i][3] for r in (surging if own else [best]) for i in range(*r) if size[i]}
-    at_home = lambda r: any(size[i] and lines[i][3] in homes for i in range(*r))
+    parents = lambda r: {lines[i][3] for i in range(*r) if size[i]}
+    strong, homes = set(surging), set.union(*map(parents, surging))
+    around = {tree.common(homes)} - {0} or {tree.common(parents(r)) for r in surging} - {0}
+    near = homes | tree.within(around)
     if own:
         links = lambda i: 0 <= i < len(size) and size[i] > 0  # noqa: E731  (text beside a region is one of links)
-        kept = [r for r in regions if r in surging or at_home(r) or not (links(r[0] - 1) and links(r[1]))]
+        between = lambda r: links(r[0] - 1) and links(r[1]) and not parents(r) & homes
+        kept = [r for r in regions if r in strong or not between(r)]
     else:
-        kept = [r for r in regions if r == best or at_home(r)]
+        kept = [r for r in regions if r in strong or parents(r) & near]
     return "\n".join(lines[i][0] for r in kept for i in range(*r) if size[i])
 
 

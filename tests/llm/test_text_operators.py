@@ -115,6 +115,25 @@ def test_lines_of_links_dive_with_and_without_an_article():
     assert html_text.main_text("<article><p><a>Only links</a></p></article>") == "Only links"
 
 
+def test_all_that_surges_is_kept_whatever_its_parent():
+    ad, other = '<div class="ad">Buy now and save a lot of money today</div>', LONG.replace("One", "Another") + " It is longer."
+    for a, b in ((LONG, other), (other, LONG)):
+        for tag, row in (("div", "div"), ("ul", "li"), ("table", "td"), ("div", "blockquote"), ("div", "section")):
+            assert html_text.main_text(f"<body><div><{tag}><{row}>{a}</{row}>{ad}<{row}>{b}</{row}></{tag}></div></body>") == f"{a}\n{b}"
+    assert html_text.main_text(f"<body><ul><li>{LONG}</li><li class=ad>Buy</li><li>Short.</li></ul><div class=ad>Buy</div><div>Imprint</div></body>") == f"{LONG}\nShort."
+
+
+def test_a_word_of_a_compound_name_does_not_drop_the_text():
+    for page in (
+        f'<div class="content no-sidebar"><p>{LONG}</p></div>', f'<article class="post with-sidebar"><p>{LONG}</p></article>', f'<div id=page class="has-sidebar"><p>{LONG}</p></div>',
+        f'<div class="sidebar-left"><div>Site</div><main><p>{LONG}</p></main></div><p>{LONG} {LONG}</p>', f'<div class="layout-sidebar"><p>{LONG}</p></div><div class="comments-area"><p>{LONG} {LONG}</p></div>',
+        f'<p>{LONG}</p><div class="sidebar-box">{LONG[:70]}</div><div class="cookie-notice">{LONG}</div>', f'<p>{LONG}</p><div class="sidebar">{LONG} {LONG}</div>',
+        f'<article><p>{LONG}</p></article><div class="related-posts"><article>{LONG} {LONG}</article></div>',
+    ):
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == LONG
+    assert html_text.main_text(f'<body><div class="row with-sidebar">{LONG}</div><div class="row with-sidebar">{LONG}</div></body>') == f"{LONG}\n{LONG}"
+
+
 def test_pages_keep_other_columns(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "clash"), (None, None, None, None)], "page_id long, url string, html string, text string")
     rows = html_text.extract(pages).collect()
