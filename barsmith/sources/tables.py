@@ -12,8 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def ticker():
-    return F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 5, "0"))
+def ticker(key: str = "l_suppkey"):
+    """S and the key of at least 5 digits; lpad alone would cut longer ones."""
+    digits = F.col(key).cast("string")
+    return F.concat(F.lit("S"), F.when(F.length(digits) < 5, F.lpad(digits, 5, "0")).otherwise(digits))
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     joined = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     return joined.select(
-        F.concat(F.lit("S"), F.lpad(F.col("s_suppkey").cast("string"), 5, "0")).alias("ticker"), F.col("r_name").alias("sector"), F.col("n_name").alias("industry"),
+        ticker("s_suppkey").alias("ticker"), F.col("r_name").alias("sector"), F.col("n_name").alias("industry"),
         (F.col("s_acctbal") >= 0).alias("is_active"), (1e6 + F.col("s_acctbal") * 100).alias("market_cap"))
 
 
@@ -96,7 +98,7 @@ MACRO = "macro as (select cast(o_orderdate as date) as date, o_orderpriority as
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, date, close, score: a deterministic score for every bar."""
     b = bars(spark, sf_dir)
-    number = F.substring("ticker", 2, 10).cast("long")
+    number = F.substring("ticker", 2, 19).cast("long")
     days = F.date_diff("date", F.lit("1995-01-01").cast("date")).cast("long")
     return b.select("ticker", "date", "close", (((number * 7919 + days * 104729) % 10007) / 10007.0).alias("score"))
 

@@ -107,3 +107,18 @@ def test_streams(spark, tmp_path):
     for df, name, mode in ((incremental.window_counts(events, "ts", "k", "1 hour", "2 hours"), "counted", "complete"), (incremental.first_writes(events, ["ts", "k"], "ts", "2 hours"), "first", "append")):
         df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination(120)
     assert spark.table("counted").first().n == 4 and spark.table("first").count() == 3
+
+
+def test_tickers_keep_long_keys(spark, tmp_path):
+    from barsmith.sources import tables
+
+    keys = [7, 10000, 99999, 100000, 100009, 1234567890123]
+    at = dt.datetime(1995, 2, 3)
+    spark.createDataFrame([(1, 1, 1, k, 2.0, 10.0, 0.0, 0.0, "R", at) for k in keys], "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 0, 5.0) for k in keys], "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, 0, "N")], "n_nationkey long, n_regionkey long, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(0, "R")], "r_regionkey long, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    want = sorted(["S00007", "S10000", "S99999", "S100000", "S100009", "S1234567890123"])
+    for view in (tables.bars, tables.profiles, tables.fundamentals, tables.shares, tables.scores, tables.fills):
+        assert sorted(r["ticker"] for r in view(spark, str(tmp_path)).select("ticker").collect()) == want
+    assert tables.scores(spark, str(tmp_path)).where("score is null").count() == 0
