@@ -29,6 +29,13 @@ HARMLESS_WORDS = {
     "image", "url", "example", "isbn", "phone", "card",
 }
 PLACEHOLDERS = {"changeme", "example", "your", "placeholder", "xxxx", "dummy", "sample", "redacted", "none", "null", "true", "false", "here", "todo", "insert"}
+#: A private key's block: header lines, line ends as such or escaped, and an end line, or else all that is base64 in long lines.
+_LINE_END = r"(?:\s|\\+[nrt])"
+_PEM_HEADERS = rf"(?:(?:Proc-Type:[ ]*4,[ ]*[A-Z-]+|DEK-Info:[ ]*[A-Za-z0-9-]+,[ ]*[0-9A-Fa-f]+|[A-Z][A-Za-z-]+:[^\r\n\\]*){_LINE_END}+)*"
+_PEM = (
+    rf"-----BEGIN [A-Z ]*PRIVATE KEY-----{_LINE_END}*+{_PEM_HEADERS}(?:(?:[A-Za-z0-9+/=\s]|\\+[nrt/])*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|[A-Za-z0-9+/]{{16,}}+={{0,2}}(?:{_LINE_END}+(?:[A-Za-z0-9+/]{{16,}}+={{0,2}}|[A-Za-z0-9+/]+(?:={{1,2}}|\Z)))*)"
+)
 ISSUED = {
     "aws": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "github": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b",
@@ -36,12 +43,13 @@ ISSUED = {
     "google": r"\bAIza[0-9A-Za-z_-]{35}\b",
     "stripe": r"\b[sr]k_live_[0-9A-Za-z]{16,}\b",
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----",
+    "private_key": _PEM,
 }
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _ISSUED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in ISSUED.items() if k != "private_key"))
 _PRIVATE_KEY = re.compile(ISSUED["private_key"])
 _RANDOM = re.compile(r"(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}")
+_IN_URL = re.compile(r"://[^\s/:@\"'<>]{0,128}:([^\s/\"'<>]{3,256})@(?=[\w\[])")
 _OPERATOR = re.compile(r"[:=]")
 _NAME = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?)[\"']?[ \t]*:?$", re.IGNORECASE)
 _VALUE = re.compile(r"[ \t]*[\"']?([^\s\"'<>,;=]{6,})")
@@ -56,12 +64,14 @@ FINDING = "start int, end int, rule string, score double"
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, rule) of everything that could be a secret, in code points, without overlaps.
 
-    Issued keys and private key blocks come first, then values assigned to a telling name, then long
-    runs that mix letters and digits.
+    Issued keys and private key blocks come first, then passwords of URLs (user:password@host) and values
+    assigned to a telling name, then long runs that mix letters and digits.
     """
     spans: list[tuple[int, int, int, str]] = []
     if "-----BEGIN" in text:
         spans += [(0, m.start(), m.end(), "private_key") for m in _PRIVATE_KEY.finditer(text)]
+    if "://" in text:
+        spans += [(1, m.start(1), m.end(1), "url") for m in _IN_URL.finditer(text)]
     for run in _RUN.finditer(text):
         spans += [(0, m.start(), m.end(), m.lastgroup) for m in _ISSUED.finditer(text, run.start(), run.end())]
         spans += [(2, m.start(), m.end(), "random") for m in _RANDOM.finditer(text, run.start(), run.end())]
@@ -142,9 +152,13 @@ def features(text: str, start: int, end: int) -> list[float]:
 
 @dataclass
 class Forest:
-    """Trees as arrays of nodes: feature (-1 at leaves), threshold, left, right, share of secrets."""
+    """Trees as arrays of nodes: feature (-1 at leaves), threshold, left, right, share of secrets.
+
+    in_urls: the forest that judges passwords of URLs, if that is another one.
+    """
 
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    in_urls: Forest | None = None
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
@@ -249,9 +263,35 @@ def labelled_findings(n: int = LABELLED, seed: int = 3) -> Iterator[tuple[str, i
         yield text + lead + value + close + r.choice([" ", "\n", ". "]) + some(r.randint(0, 5)), start, start + len(value), label
 
 
+def labelled_urls(n: int = LABELLED // 2, seed: int = 8) -> Iterator[tuple[str, int, int, int]]:
+    """(text, start, end, is_secret): passwords of URLs, half of them secrets, half what stands for one."""
+    r = random.Random(seed)
+    words = sorted(dictionary()[0])
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    run = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    some = lambda k: " ".join(r.choice(words) for _ in range(k))
+    secret = [
+        lambda: run(alnum, r.randint(6, 32)),
+        lambda: run("0123456789abcdef", r.randint(8, 40)),
+        lambda: r.choice(words) + run("0123456789", r.randint(2, 5)) + r.choice(["", "!", "$", "Pa55", "_x"]),
+        lambda: run(alnum, r.randint(4, 10)) + r.choice("!#$%-_@") + run(alnum, r.randint(2, 6)),
+    ]
+    other = ["password", "passwd", "pass", "changeme", "${DB_PASSWORD}", "$PASSWORD", "{password}", "%(password)s", "your_password", "YOUR_PASSWORD", "xxxxxxxx", "placeholder", "dummy", "example", "redacted", "****"]
+    for i in range(n):
+        label = i % 2
+        value = r.choice(secret)() if label else r.choice(other)
+        lead = r.choice(["postgres", "postgresql", "mysql", "mongodb+srv", "redis", "amqp", "https", "ftp"]) + "://" + r.choice(["", "admin", "root", "app", "user", r.choice(words)]) + ":"
+        host = "@" + r.choice(["localhost", "db", "host", "10.0.0.1", r.choice(words) + ".example.com"]) + r.choice(["", ":5432"]) + "/" + r.choice(words)
+        text = some(r.randint(0, 6)) + r.choice([" ", "\n", " = ", ': "'])
+        start = len(text) + len(lead)
+        yield text + lead + value + host + r.choice([" ", "\n", '" ']) + some(r.randint(0, 5)), start, start + len(value), label
+
+
 @functools.cache
 def default_forest() -> Forest:
-    return fit_findings(labelled_findings())
+    forest = fit_findings(labelled_findings())
+    forest.in_urls = fit_findings(labelled_urls())
+    return forest
 
 
 def fit_findings(findings: Iterable[tuple[str, int, int, int]]) -> Forest:
@@ -265,7 +305,12 @@ def scan_texts(texts: Iterable[str | None], forest: Forest, least: float) -> lis
     """The findings of each text that the forest lets pass, in order."""
     found = [[(a, b, rule, text) for a, b, rule in candidates(text)] if text else [] for text in texts]
     flat = [f for fs in found for f in fs]
-    scores = iter(forest.score(np.array([features(t, a, b) for a, b, _, t in flat])).tolist() if flat else [])
+    x = np.array([features(t, a, b) for a, b, _, t in flat])
+    score = forest.score(x) if flat else np.empty(0)
+    urls = np.flatnonzero([rule == "url" for _, _, rule, _ in flat])
+    if len(urls) and forest.in_urls is not None:
+        score[urls] = forest.in_urls.score(x[urls])
+    scores = iter(score.tolist())
     out = [[(a, b, rule, next(scores)) for a, b, rule, _ in fs] for fs in found]
     return [[f for f in fs if f[3] >= least] for fs in out]
 
