@@ -19,14 +19,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of word 5-grams at a Jaccard similarity of 0.8 connect, the one with the smallest
-    doc_id stays. Documents without words and rows without an id
-    stay; repeated rows come once."""
-    placed = docs.select("doc_id", "text", file_chunk(ngram_join.CHUNK).alias("place"))  # a stage's docs are a table of files
-    found = ngram_join.linked(placed, percent=80, n=5, chunk=F.col("place")).select("doc_id", "component_id")
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Of rows that links of word 5-grams at a Jaccard similarity of 0.8 connect, one stays: that with the smallest
+    doc_id, of those the first by place; one without an id only if no row of the group has one. Documents
+    without words stay; of these, repeated rows with an id come once."""
+    row = F.xxhash64("_metadata.file_path", "_metadata.row_index")  # a stage's docs are a table of files
+    keyed = docs.select("*", row.alias("__row"))
+    placed = docs.select(row.alias("doc_id"), "text", file_chunk(ngram_join.CHUNK).alias("place"))
+    found = ngram_join.linked(placed, percent=80, n=5, chunk=F.col("place")).withColumnRenamed("doc_id", "__row")
+    ids = docs.select(row.alias("__row"), "doc_id", F.xxhash64("text").alias("content"))
+    empty = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    group = [F.when(~empty, F.col("component_id")).alias("component"), F.when(empty, F.col("doc_id")).alias("id"), F.when(empty, F.col("content")).alias("content")]
+    first = found.join(ids, "__row").groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))["__row"].alias("__row"))
+    return keyed.join(first.select("__row"), "__row", "left_semi").drop("__row")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

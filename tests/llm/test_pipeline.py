@@ -35,3 +35,21 @@ def test_stages(spark):
     tokens = stages["bpe"](spark, mixed, "").collect()
     assert len(tokens) == mixed.count() and all(x.n_tokens == len(x.token_ids) for x in tokens)
     assert {bpe.decode_ids(bpe.vocabulary(), list(x.token_ids)) for x in tokens} == {x.text for x in mixed.collect()}
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    r = random.Random(2)
+    texts = [" ".join(f"w{r.randrange(9999)}" for _ in range(60)) for _ in range(5)]
+    near = lambda k: texts[k] + " end"
+    rows = [
+        (None, texts[0], "s0"), (None, texts[0], "s1"), (None, near(0), "s0"),  # a group without an id
+        (None, texts[1], "s0"), (7, near(1), "s0"), (9, texts[1], "s0"),  # the smallest id stays
+        (3, texts[2], "s0"), (5, texts[3], "s0"), (5, near(2), "s0"), (5, texts[3], "s1"),  # 5 leads a group and follows in another
+        (None, "", "s0"), (None, "", "s0"), (11, " ", "s0"), (11, " ", "s0"), (11, None, "s0"), (12, texts[4], "s0"),
+    ]
+    docs = written(spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], COLUMNS), "in")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert left.columns == docs.columns
+    got = sorted([(x.doc_id or 0, x.text or "") for x in left.collect()])
+    assert [x for x in got if x[0]] == sorted([(7, near(1)), (3, texts[2]), (5, texts[3]), (11, " "), (11, ""), (12, texts[4])])
+    assert [x[1] for x in got[:2]] == ["", ""] and len(got) == 9 and got[2][1] in (texts[0], near(0))
