@@ -18,10 +18,12 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
-    (tests, one machine), a new temporary one that is then put into the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new temporary
+    folder is put into the session, but only in local mode (tests): executors elsewhere would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="barsmith-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -36,11 +38,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(batches: Iterable[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
-    """The batches in parts of so many rows, so that what Python makes of whole texts stays small."""
+def small(batches: Iterable[pd.DataFrame], rows: int = 256, col: str | None = None, size: int = 4 << 20) -> Iterator[pd.DataFrame]:
+    """The batches in parts of so many rows, and of about so many letters in column col (a longer text is a part by
+    itself), so that what Python makes of whole texts stays small."""
     for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.iloc[at:at + rows]
+        if col is None:
+            cuts = [*range(0, len(batch), rows), len(batch)]
+        else:
+            cuts, letters = [0], 0
+            for i, text in enumerate(batch[col]):
+                here = len(text) if text else 0
+                if i > cuts[-1] and (i - cuts[-1] >= rows or letters + here > size):
+                    cuts.append(i)
+                    letters = 0
+                letters += here
+            cuts.append(len(batch))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.iloc[a:b]
+
+
+def batches_of(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows that one batch takes to Python at most: whole texts of 10,000 rows, the default, fill a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) <= 0 or int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,27 +90,24 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
+#: Words that are hashed in one step.
+_STRIDE = 1 << 16
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """A 64-bit hash of each word; two independent ones are to be had by which = 0 and 1."""
+    out = np.empty(len(starts), dtype=np.uint64)
     if not len(starts):
-        return np.empty(0, dtype=np.uint64)
-    longest = int((ends - starts).max())
-    out = np.zeros(len(starts), dtype=np.uint64)
-    table, base = _BYTES[which], _BASES[which]
-    live = np.arange(len(starts))
-    size = ends - starts
-    if longest <= 64:
-        for k in range(longest):  # one step for each letter place, over all words that are long enough
-            if k:
-                live = live[size[live] > k]
-            out[live] = out[live] * base + table[data[starts[live] + k]]
-    else:
-        short = size <= 64
-        out[short] = word_hashes(data, starts[short], ends[short], which)
-        for i in np.flatnonzero(~short):
-            h = table[data[starts[i]:ends[i]]]
-            out[i] = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(h) - 1, base)]))[::-1] @ h
         return out
+    size = ends - starts
+    powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(size.max()) - 1, _BASES[which])]))
+    table = _BYTES[which]
+    for at in range(0, len(starts), _STRIDE):  # over all letters of so many words at once
+        n = size[at:at + _STRIDE]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        letters = data[np.repeat(starts[at:at + _STRIDE], n) + place]
+        out[at:at + _STRIDE] = np.add.reduceat(table[letters] * powers[place], first)
     return mix(out ^ (size.astype(np.uint64) * _STEP))
 
 

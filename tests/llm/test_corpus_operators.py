@@ -79,7 +79,11 @@ def brute_links(rows, n=4, percent=85):
 
 
 @pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
-def test_jaccard_components_against_brute_force(spark, n, percent):
+@pytest.mark.parametrize("many", [False, True])
+def test_jaccard_components_against_brute_force(spark, n, percent, many, monkeypatch):
+    if many:  # many chunks, parts of lists and tasks, and every n-gram hot
+        for name, value in (("CHUNK", 10), ("PART", 8), ("ROWS", 200), ("HOT", 1), ("LEADERS", 2), ("FEW", 5)):
+            monkeypatch.setattr(ngram_join, name, value)
     r = random.Random(n)
     base = [" ".join(f"w{r.randrange(500)}" for _ in range(r.randint(4, 120))) for _ in range(25)]
     texts = []
@@ -99,6 +103,48 @@ def test_jaccard_components_against_brute_force(spark, n, percent):
     assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == brute_links(rows, n, percent)
 
 
+def test_jaccard_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """One text in 2000 near copies: links of the group go through hubs, candidates do not grow with its square."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 100)
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(80)]
+    texts = []
+    for k in range(2000):
+        w = list(base)
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(80)] = f"x{r.randrange(5000)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:40] + [f"y{k}-{j}" for j in range(40)]) for k in range(200)]
+    made = []
+    monkeypatch.setattr(ngram_join, "candidates", lambda *a, f=ngram_join.candidates: made.append(f(*a)) or made[-1])
+    got = ngram_join.linked(corpus(spark, texts)).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == fast_links(texts)
+    assert made[0].count() < 10 * len(texts)
+
+
+def fast_links(texts, n=4, percent=85):
+    sets = [{tuple(t.split()[k:k + n]) for k in range(len(t.split()) - n + 1)} for t in texts]
+    number = {}
+    m = np.zeros((len(sets), len(set().union(*sets))), dtype=np.float32)
+    for i, s in enumerate(sets):
+        m[i, [number.setdefault(g, len(number)) for g in s]] = 1
+    size, common = m.sum(axis=1), m @ m.T
+    link = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    label = np.arange(len(sets))
+    while True:
+        new = np.where(link, label[None, :], len(sets)).min(axis=1)
+        if (new == label).all():
+            return [(i, int(s), int(c)) for i, (s, c) in enumerate(zip(size, label, strict=True))]
+        label = new
+
+
+def test_ids_of_sets_that_clash_take_both_halves():
+    docs, values = ngram_join.shingle_sets([b"a b c d e", b"a b c d f", b"a b c d e"])
+    node, half, size = ngram_join.nodes_of(docs, values, 3)
+    again, _, _ = ngram_join.nodes_of(docs, values, 3, {int(node[0]): True})
+    assert again[0] == again[2] != node[0] and again[1] == node[1] and half[0] == half[2] != half[1] and list(size) == [2, 2, 2]
+
+
 def test_jaccard_of_empty_tables(spark):
     assert ngram_join.linked(corpus(spark, []).limit(0)).count() == 0
     assert [x.component_id for x in ngram_join.linked(corpus(spark, ["a b c d e", "a b c d e"], [5, 3])).collect()] == [3, 3]
