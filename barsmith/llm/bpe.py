@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import small
+from barsmith.llm.common import batches_of, small
 
 #: Longest text, in characters, that is encoded in one go; longer ones are halved until they fit.
 LEAF = 32768
@@ -52,8 +52,28 @@ def token_bytes(path: str) -> list[bytes]:
 
 
 @functools.cache
-def token_numbers(path: str) -> list[bytes]:
-    return [str(i).encode() for i in range(len(token_bytes(path)))]
+def _tables(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all tokens on end and where each begins; decimal numbers of all ids, padded, and which bytes count."""
+    table = token_bytes(path)
+    at = np.concatenate([[0], np.cumsum([len(x) for x in table])])
+    numbers = np.array([f"{i}," for i in range(len(table))], dtype=f"S{len(str(len(table))) + 1}")
+    digits = numbers.view(np.uint8).reshape(len(table), -1)
+    return np.frombuffer(b"".join(table), dtype=np.uint8), at, digits, digits != 0
+
+
+def decimals(path: str, ids: np.ndarray) -> bytes:
+    """The ids, all of the vocabulary, in decimal, joined by commas."""
+    _, _, digits, there = _tables(path)
+    return digits[ids][there[ids]].tobytes()[:-1]
+
+
+def decoded(path: str, ids: np.ndarray) -> bytes:
+    """What decode_ids() gives, in UTF-8."""
+    data, at, _, _ = _tables(path)
+    ids = ids[ids < len(at) - 1]
+    n = at[ids + 1] - at[ids]
+    whole = data[np.repeat(at[ids] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))].tobytes()
+    return whole.decode("utf-8", "replace").encode()
 
 
 def decode_ids(path: str, ids: list[int]) -> str:
@@ -67,37 +87,77 @@ def _specials(path: str) -> tuple[str, ...]:
     return tuple(x.content for x in tokenizer(path).get_added_tokens_decoder().values())
 
 
-#: Texts of other characters, whose classes change between Unicode versions, go to the library whole.
-_SETTLED = re.compile(r"[\t\n\r\x20-\x7e\u00a1-\u024f\u2010-\u2027]*")
-#: Pre-tokens whose ids a worker remembers at most.
-REMEMBERED = 200_000
+#: Plain texts: each blank is a space or a line feed between characters that are none, all of them of classes that
+#: no Unicode version has changed. Others go to the library whole.
+_PLAIN = re.compile(r"(?:[ \n]?[\x21-\x7e\u00a1-\u024f\u2010-\u2027]+)*+")
+#: Letters of words whose ids a worker remembers at most, about.
+REMEMBERED = 1 << 22
 
 
-@functools.cache
-def _memory(path: str) -> tuple:
-    import public_tokenizers
-    import regex
+class Words(dict):
+    """Numbers of words; a new word gets the next one. Ids of word k: ids[at[k]:at[k + 1]]."""
+
+    def __init__(self, before: str) -> None:
+        self.before, self.new, self.letters = before, [], 0
+        self.ids, self.at = np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        self.letters += len(word)
+        return number
 
-    return {}, regex.compile(public_tokenizers.PATTERN)
+    def learn(self, t) -> None:
+        """The library encodes the words that came up since."""
+        if self.new:
+            found = [e.ids for e in t.encode_batch_fast([self.before + w for w in self.new], add_special_tokens=False)]
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), dtype=np.int32)])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in found])])
+            self.new = []
+
+
+_memory: dict[str, tuple[Words, Words]] = {}
 
 
 def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
     """Ids of whole texts, as the library gives them.
 
-    Pre-tokens are encoded one by one in BPE, so the ids of a text are those of its pre-tokens in turn. The
-    library encodes each pre-token once and the worker remembers it; texts with special tokens or with
-    characters that are not settled go to the library as they are.
+    The pre-tokeniser of a byte-level vocabulary always cuts before a space that no blank follows, and before and
+    after a line feed that stands alone, and BPE encodes what it cuts one by one. So the ids of a plain text are
+    those of its lines and words in turn, and the worker remembers them. Texts with special tokens, with runs of
+    blanks or with characters that are not settled go to the library as they are.
     """
     t = tokenizer(path)
-    known, pattern = _memory(path)
-    plain = [bool(_SETTLED.fullmatch(x)) and not any(s in x for s in _specials(path)) for x in texts]
-    parts = [pattern.findall(x) if p else [] for x, p in zip(texts, plain, strict=True)]
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = list({w for ws in parts for w in ws if w not in known})
-    known.update(zip(new, (e.ids for e in t.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+    first, later = _memory.setdefault(path, (Words(""), Words(" ")))
+    if first.letters + later.letters > REMEMBERED:
+        first, later = _memory[path] = (Words(""), Words(" "))
+    specials = _specials(path)
+    plain = [bool(x) and _PLAIN.fullmatch(x) is not None and x[0] != " " and x[0] != "\n" and not any(s in x for s in specials) for x in texts]
+    feed = first["\n"]
+    numbers: list[np.ndarray] = []  # of words, those at the start of a line as -1 - number
+    for x, p in zip(texts, plain, strict=True):
+        if p:
+            row: list[int] = []
+            for line in x.split("\n"):
+                head, *rest = line.split(" ")
+                row += (-1 - first[head], *map(later.__getitem__, rest), -1 - feed)
+            numbers.append(np.array(row[:-1], dtype=np.int64))
+    first.learn(t)
+    later.learn(t)
     odd = iter(t.encode_batch_fast([x for x, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-    return [np.array(list(chain.from_iterable(map(known.__getitem__, ws))) if p else next(odd).ids, dtype=np.int32) for ws, p in zip(parts, plain, strict=True)]
+    ids = np.concatenate([first.ids, later.ids])
+    starts = np.concatenate([first.at[:-1][::-1], len(first.ids) + later.at[:-1]])
+    sizes = np.concatenate([np.diff(first.at)[::-1], np.diff(later.at)])
+    known = iter(numbers)
+    out = []
+    for p in plain:
+        if p:
+            word = next(known) + len(first)
+            n = sizes[word]
+            out.append(ids[np.repeat(starts[word] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
+        else:
+            out.append(np.array(next(odd).ids, dtype=np.int32))
+    return out
 
 
 @dataclass
@@ -120,15 +180,6 @@ def encode_piece(path: str, text: str) -> Piece:
     return Piece(text, e.ids, [a for a, _ in e.offsets], heads)
 
 
-def _kind(ch: str) -> str:
-    """Class of a character in the pre-tokeniser's pattern."""
-    if ch.isspace():
-        return "blank"
-    import regex
-
-    return "letter" if regex.match(r"\p{L}", ch) else "number" if regex.match(r"\p{N}", ch) else "other"
-
-
 def _one_kind(text: str) -> bool:
     """Is it inside one run of a class (no boundary of pre-tokens can fall into it)?"""
     import regex
@@ -210,7 +261,7 @@ def _by_tokens(path: str, left: Piece, right: Piece, lo: int, hi: int) -> Piece
     return Piece(
         text, left.ids[:i] + window.ids + right.ids[j:],
         left.starts[:i] + [at + s for s in window.starts] + [cut + s for s in right.starts[j:]],
-        left.heads[:i] + [left.heads[i]] + [False] * (len(window.ids) - 1) + [False] * 0 + right.heads[j:],
+        left.heads[:i] + [left.heads[i]] + [False] * (len(window.ids) - 1) + right.heads[j:],
     )
 
 
@@ -229,21 +280,27 @@ def join_tree(path: str, pieces: list[Piece]) -> Piece:
     return pieces[0]
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", leaf: int = LEAF) -> DataFrame:
+IDS = ("token_ids array<int>", lambda path, ids: {"token_ids": ids})
+
+
+def encode(docs: DataFrame, path: str, text_col: str = "text", leaf: int = LEAF, then=IDS) -> DataFrame:
     """docs without the text but with token_ids (array of int) added: what the library gives for the whole text.
+    Or, with then = (schema, columns), with what columns(path, ids of some texts) makes of them.
 
     Texts of at most leaf characters are encoded where they are. Longer ones are halved into leaves, which
     are dealt out over the cluster, encoded in parallel and then joined, tree-wise, per document.
     Null text: as the empty one, no ids. Rows keep their other columns; a column token_ids of the input
     is replaced. Repeated rows come as often as they came. An empty table gives no rows.
     """
-    names = [c for c in docs.columns if c not in (text_col, "token_ids")]
+    batches_of(docs.sparkSession)
+    added, columns = then
+    names = [c for c in docs.columns if c not in (text_col, *(x.split()[0] for x in added.split(", ")))]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
     rows = docs.select(*names, F.coalesce(text_col, F.lit("")).alias("__text"))
 
     def whole(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in small(batches):
-            yield batch[names].assign(token_ids=encode_texts(path, list(batch["__text"])))
+        for batch in small(batches, 256, "__text"):
+            yield batch[names].assign(**columns(path, encode_texts(path, list(batch["__text"]))))
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in small(batches, 1):
@@ -261,16 +318,16 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", leaf: int = LEAF)
         copies = int((group["__leaf"] == 0).sum())
         one = group.drop_duplicates("__leaf")
         pieces = [Piece(t, list(map(int, i)), list(map(int, s)), list(map(bool, h))) for t, i, s, h in zip(one["__text"], one["__ids"], one["__starts"], one["__heads"], strict=True)]
-        ids = join_tree(path, pieces).ids
-        return group[group["__leaf"] == 0].assign(token_ids=[ids] * copies)[[*names, "token_ids"]]
+        made = columns(path, [np.array(join_tree(path, pieces).ids, dtype=np.int32)])
+        return group[group["__leaf"] == 0][names].assign(**{k: list(v) * copies for k, v in made.items()})
 
     long = F.length("__text") > leaf
-    short = rows.where(~long).mapInPandas(whole, f"{schema}, token_ids array<int>")
+    short = rows.where(~long).mapInPandas(whole, f"{schema}, {added}")
     # Of equal texts in equal rows the leaves are the same: they meet in one group and are joined once.
     key = F.sha2(F.concat_ws("\x01", "__text", F.to_json(F.struct(*names)) if names else F.lit("")), 256)
     parts = rows.where(long).withColumn("__key", key).mapInPandas(cut, f"{schema}, __text string, __key string, __leaf int")
     tokens = parts.repartition(F.col("__key"), F.col("__leaf")).mapInPandas(encoded, f"{schema}, __text string, __key string, __leaf int, __ids array<int>, __starts array<int>, __heads array<boolean>")
-    trees = tokens.groupBy("__key").applyInPandas(joined, f"{schema}, token_ids array<int>")
+    trees = tokens.groupBy("__key").applyInPandas(joined, f"{schema}, {added}")
     return short.unionByName(trees)
 
 
@@ -287,22 +344,17 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
     return df.select(*names).mapInPandas(run, f"{schema}, text string")
 
 
-def digests(df: DataFrame, path: str, ids_col: str = "token_ids", keep_ids: bool = False) -> DataFrame:
-    """The columns of df, the ids only if keep_ids, with n_tokens, ids_sha256 and decoded_sha256."""
-    names = [c for c in df.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256") and (keep_ids or c != ids_col)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
+def digest_columns(path: str, ids: list[np.ndarray]) -> dict[str, list]:
+    return {
+        "n_tokens": [len(x) for x in ids],
+        "ids_sha256": [hashlib.sha256(decimals(path, x)).hexdigest() for x in ids],
+        "decoded_sha256": [hashlib.sha256(decoded(path, x)).hexdigest() for x in ids],
+    }
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = token_numbers(path)
-        for batch in small(batches):
-            lists = [x.tolist() for x in batch[ids_col]]
-            yield batch[names].assign(
-                n_tokens=[len(x) for x in lists],
-                ids_sha256=[hashlib.sha256(b",".join([numbers[i] for i in x])).hexdigest() for x in lists],
-                decoded_sha256=[hashlib.sha256(decode_ids(path, x).encode()).hexdigest() for x in lists],
-            )
 
-    return df.select(*dict.fromkeys([*names, ids_col])).mapInPandas(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+#: For then of encode(): digests of the ids and of the decoded text, without or with the ids.
+DIGESTS = ("n_tokens long, ids_sha256 string, decoded_sha256 string", digest_columns)
+IDS_AND_DIGESTS = ("token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda path, ids: {"token_ids": ids} | digest_columns(path, ids))
 
 
 def vocabulary() -> str:
@@ -312,5 +364,7 @@ def vocabulary() -> str:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every whole text. Null: the empty text, no tokens; null and
+    repeated ids, rows and extra columns: a row each, no matter; an empty table: no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(encode(docs, vocabulary()), vocabulary())
+    return encode(docs, vocabulary(), then=DIGESTS)

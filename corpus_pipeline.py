@@ -45,8 +45,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digests of ids and decoded text."""
-    tokens = bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), bpe.vocabulary())
-    return bpe.digests(tokens, bpe.vocabulary(), keep_ids=True)
+    return bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), bpe.vocabulary(), then=bpe.IDS_AND_DIGESTS)
 
 
 STAGES = [
