@@ -11,8 +11,8 @@ from barsmith.llm.common import WORD, written
 PRIME, STEP = 2147483647, 1327217885
 #: Weights of the sources in order, repeating; a source gives at most so many times its size.
 WEIGHTS, EPOCHS = (5, 2, 1), 3
-#: Blocks that the smallest positive target is made of: its granularity, and a bound for the schedule.
-BLOCKS = 1024
+#: Slots of the schedule at most, and words that one stands for at least.
+SLOTS, WORDS = 1 << 16, 256
 #: Cells by which slots find their source with an equi-join.
 CELLS = 1024
 
@@ -47,17 +47,16 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return per.select("source", "idx", "source_size", "weight", F.least(F.col("cap").cast("double"), F.col("water") * F.col("weight")).alias("target"))
 
 
-def schedule(targets: DataFrame) -> tuple[DataFrame, int]:
-    """(slots, words of a block). A slot: slot, idx of its source, rank among that source's slots.
+def schedule(targets: DataFrame) -> DataFrame:
+    """slot, idx of its source, rank among that source's slots.
 
     Slot i has the golden-ratio point of i, which falls into one source's part of the cumulative
-    targets. The block is 1/BLOCKS of the smallest positive target, so there are BLOCKS * total /
-    smallest slots, whatever the size of the corpus; ranking them by source is bounded by that.
+    targets. There are at most SLOTS of them, whatever the sizes of corpus and sources. A source that is
+    too small for any point gets one slot behind all others.
     """
     spark = targets.sparkSession
-    low, total = targets.agg(F.min(F.when(F.col("target") > 0, F.col("target"))), F.sum("target")).first()
-    block = max(1, int((low or 0) // BLOCKS))
-    n = -int(-(total or 0) // block)
+    total = targets.agg(F.sum("target")).first()[0]
+    n = min(SLOTS, max(1, int((total or 0) // WORDS)))
     run = F.sum("target").over(Window.partitionBy(F.lit(0)).orderBy("idx"))
     parts = (
         targets.select("idx", "target", run.alias("high")).where("target > 0")
@@ -69,15 +68,19 @@ def schedule(targets: DataFrame) -> tuple[DataFrame, int]:
     slots = spark.range(n).select(F.col("id").alias("slot"), (((F.col("id") % PRIME) * STEP % PRIME + 0.5) / PRIME).alias("point"))
     slots = slots.withColumn("cell", F.floor(F.col("point") * CELLS)).join(parts, "cell").where("low <= point and (point < high or last)")
     rank = F.row_number().over(Window.partitionBy("idx").orderBy("slot")) - 1
-    return slots.select("slot", "idx", rank.cast("long").alias("rank")), block
+    slots = slots.select("slot", "idx", rank.cast("long").alias("rank"))
+    without = targets.where("target > 0").select("idx").join(slots.select("idx").distinct(), "idx", "left_anti")
+    return slots.unionByName(without.select((F.col("idx") + n).cast("long").alias("slot"), "idx", F.lit(0).cast("long").alias("rank")))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken.
+    """Per document: doc_id, source, size, source_size, target, taken, slot.
 
     Each source's documents stand in a shuffled order (by MD5 of the id), repeated EPOCHS times, as one
-    stream of words cut into equal blocks. The source's slot of rank r takes block r. taken is the
-    number of the document's words in taken blocks, repeats counted.
+    stream of words, of which its target, to the nearest word, is cut into as many equal blocks as it has
+    slots (the last one may be shorter). The source's slot of rank r takes block r. taken is the number of
+    the document's words in taken blocks, repeats counted; slot the first of their slots, null for none: the
+    mix in order of slots draws on every source in proportion from beginning to end.
 
     The place of a document in its stream is a prefix sum in two steps: over buckets of about 4,096
     documents of a source (bucket totals first), then inside each bucket; so no task holds a source.
@@ -91,10 +94,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = written(sized.withColumn("key", key), "mix-sizes")
     digits = max(1, min(8, -(-max(0, sized.count().bit_length() - 12) // 4)))
     targets = written(source_targets(sized), "mix-targets")
-    slots, block = schedule(targets)
-    slots = written(slots, "mix-slots")
-    quota = slots.groupBy("idx").agg(F.count(F.lit(1)).alias("n_slots"))
-    per = targets.join(quota, "idx", "left").select(F.col("source").alias("src"), "idx", "source_size", "target", F.coalesce("n_slots", F.lit(0)).alias("n_slots"))
+    slots = written(schedule(targets), "mix-slots")
+    counts = slots.groupBy("idx").agg(F.count(F.lit(1)).alias("n_slots"))
+    quota = F.floor(F.col("target") + 0.5)
+    block = F.greatest(F.ceil(quota / F.coalesce("n_slots", F.lit(1))), F.lit(1))
+    per = targets.join(counts, "idx", "left").select(F.col("source").alias("src"), "idx", "source_size", "target", quota.alias("quota"), block.alias("block"))
 
     placed = sized.withColumn("bucket", F.substring("key", 1, digits)).join(per, F.col("source").eqNullSafe(F.col("src"))).drop("src")
     by_bucket = Window.partitionBy("idx").orderBy("bucket")
@@ -103,26 +107,28 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = placed.withColumn("inside", inside).join(offsets, (F.col("idx") == F.col("i2")) & (F.col("bucket") == F.col("b2"))).withColumn("start", F.col("offset") + F.col("inside"))
 
     # A document in an epoch reaches from its place to its end; only blocks that the schedule takes count.
-    end = F.col("n_slots") * block
+    end, block = F.col("quota"), F.col("block")
     first = F.floor(F.col("from") / block)
     last = F.floor((F.least(F.col("from") + F.col("size"), end) - 1) / block)
     full = placed.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))))
     full = full.withColumn("from", F.col("epoch") * F.col("source_size") + F.col("start"))
     full = full.withColumn("rank", F.explode_outer(F.when(F.col("from") < end, F.sequence(first, last))))
-    ranked = slots.select(F.col("idx").alias("i3"), F.col("rank").alias("r3"))
-    cut = F.least(F.col("from") + F.col("size"), (F.col("r3") + 1) * block) - F.greatest(F.col("from"), F.col("r3") * block)
+    ranked = slots.select(F.col("idx").alias("i3"), F.col("rank").alias("r3"), "slot")
+    cut = F.least(F.col("from") + F.col("size"), (F.col("r3") + 1) * block, end) - F.greatest(F.col("from"), F.col("r3") * block)
     cut = F.when(F.col("r3").isNotNull(), cut)
     taken = (
         full.join(ranked, (F.col("idx") == F.col("i3")) & (F.col("rank") == F.col("r3")), "left")
         .groupBy("doc_id", "source", "size", "source_size", "target", "start")
-        .agg(F.coalesce(F.sum(cut), F.lit(0)).cast("long").alias("taken")).drop("start")
+        .agg(F.coalesce(F.sum(cut), F.lit(0)).cast("long").alias("taken"), F.min("slot").alias("slot")).drop("start")
     )
-    return taken.unionByName(placed.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
+    return taken.unionByName(placed.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("slot")))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of documents: a document of which k whole copies and a rest of
-    r words are taken comes k times, then once with its first r words joined by one space."""
+    r words are taken comes k times, then once with its first r words joined by one space. Null and empty
+    texts are not taken; null ids and repeated rows take their shares like others, rows of one id, source and
+    size in the order of their text's hash. Other columns are not read; an empty table gives no rows."""
     key = F.to_json(F.struct("doc_id", "source", "size"))
     taken = mix_sources(docs.select("doc_id", "text", "source")).where("taken > 0")
     each = taken.groupBy(key.alias("key")).agg(F.sort_array(F.collect_list("taken")).alias("takes"))
@@ -138,6 +144,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document: edge cases as for mix_sources()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -159,23 +166,12 @@ levels as (
 targets as (
   select source, idx, cast(source_size as bigint) as source_size,
          least(cast(cap as double), weight * (select level from levels where level <= ratio order by ratio, idx limit 1)) as target from levels),
-param as (
-  select greatest(1, cast(floor(min(target) filter (target > 0) / {BLOCKS}) as bigint)) as block, sum(target) as total from targets),
-parts as (
-  select idx, (sum(target) over (order by idx) - target) / total as low, sum(target) over (order by idx) / total as high
-  from targets, param where target > 0),
-points as (
-  select ((i % {PRIME}) * {STEP} % {PRIME} + 0.5) / {PRIME} as point
-  from param, unnest(range(cast(ceil(total / block) as bigint))) as r(i)),
-quota as (
-  select idx, count(*) as n_slots from points, parts
-  where low <= point and (point < high or high = (select max(high) from parts)) group by idx),
 placed as (
   select s.doc_id, s.size, t.source_size, t.target, t.idx,
          sum(s.size) over (partition by t.idx order by s.key, s.doc_id, s.size rows between unbounded preceding and current row) - s.size as start
   from sized s join targets t on s.source is not distinct from t.source)
 select p.doc_id, cast(p.size as bigint) as size, p.source_size, p.target,
-       cast(sum(greatest(0, least(e * p.source_size + start + p.size, coalesce(n_slots, 0) * block) - least(e * p.source_size + start, coalesce(n_slots, 0) * block))) as bigint) as taken
-from placed p left join quota q using (idx), param, unnest(range({EPOCHS})) as r(e)
+       cast(sum(greatest(0, least(e * p.source_size + start + p.size, quota) - least(e * p.source_size + start, quota))) as bigint) as taken
+from (select *, floor(target + 0.5) as quota from placed) p, unnest(range({EPOCHS})) as r(e)
 group by p.doc_id, p.size, p.source_size, p.target, p.start, p.idx
 """
