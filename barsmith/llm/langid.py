@@ -10,12 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import mix, small
+from barsmith.llm.common import batches_of, mix, small, written
 
 #: N-grams of these lengths are hashed into so many features.
 LENGTHS, FEATURES = (1, 2, 3), 1 << 16
-#: Labelled documents that the classifier is fitted on at most, per language (those with the smallest hash).
-SAMPLE = 1500
+#: Labelled documents that the classifier is fitted on at most: of each language (those with the smallest hash),
+#: and in all; languages at most (the model has FEATURES weights for each).
+SAMPLE, SAMPLED, LANGUAGES = 1500, 60_000, 500
+#: Parts of a language that are ranked by themselves first.
+PARTS = 64
 #: Share of the sample that is left out of training and fits the temperature.
 CALIBRATE = 0.2
 #: FTRL-proximal: learning rate, smoothing, and the two penalties of the elastic net.
@@ -126,15 +129,22 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(train: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from rows text, lang (neither null) and key (any column that tells rows apart).
 
-    Document counts for IDF are over all rows. The regression sees at most sample rows of each
-    language, those whose keys have the smallest hashes (a rank by language whose map side already
-    keeps no more than that), and is fitted on the driver. None if there are no rows.
+    Document counts for IDF are over all rows. The regression sees at most sample keys of each language and
+    SAMPLED in all, those with the smallest hashes, and is fitted on the driver. They are ranked in PARTS parts
+    of each language first, so that no task ranks a whole language. Of rows of one key and language the
+    smallest text counts. None if there are no rows; more than LANGUAGES languages are an error.
     """
     df, n = document_counts(train)
     if not n:
         return None
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
-    chosen = train.select("key", "lang", rank.alias("__rank")).where(F.col("__rank") <= sample).select("key", "lang").distinct()
+    known = train.select("lang").distinct().count()
+    if known > LANGUAGES:
+        raise ValueError(f"{known} languages; a model holds {LANGUAGES}")
+    sample = min(sample, max(1, SAMPLED // known))
+    part = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(PARTS))
+    first = lambda rows, by: rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("key"), "key"))).where(F.col("__rank") <= sample)
+    keys = first(train.select("key", "lang", part.alias("__part")).distinct(), ["lang", "__part"])
+    chosen = written(first(keys, ["lang"]).select("key", "lang"), "language-sample")  # at most SAMPLED rows
     idf = np.log((1 + n) / (1 + df)) + 1
     model = Model([], idf, np.zeros((FEATURES + 1, 0)))
 
@@ -143,7 +153,7 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Model | None:
             v = [model.vector(t) for t in batch["text"]]
             yield pd.DataFrame({"key": batch["key"], "lang": batch["lang"], "at": [a.astype(np.int32).tobytes() for a, _ in v], "x": [x.astype(np.float32).tobytes() for _, x in v]})
 
-    sampled = train.select("key", "lang", "text").join(chosen, ["key", "lang"], "left_semi")
+    sampled = train.select("key", "lang", "text").join(F.broadcast(chosen), ["key", "lang"], "left_semi").groupBy("key", "lang").agg(F.min("text").alias("text"))
     got = sampled.mapInPandas(vectors, "key string, lang string, at binary, x binary").orderBy("lang", F.xxhash64("key"), "key").toPandas()
     languages = sorted(got["lang"].unique())
     y = got["lang"].map({c: i for i, c in enumerate(languages)}).to_numpy()
@@ -169,9 +179,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and score added (columns of these names are replaced).
 
     lang_pred: the learnt language with the highest calibrated probability, which is score; `und` with
-    score 0 if the text is null or has no letter, or nothing was learnt.
+    score 0 if the text is null or has no letter, or nothing was learnt. Repeated rows each get the same answer;
+    no other column is looked at; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    batches_of(spark)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
     if model is None:
@@ -180,7 +192,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for batch in small(batches, 1024):
+        for batch in small(batches, 1024, "text"):
             best, score = [], []
             for text in batch["text"]:
                 p = m.scores(text) if has_letter(text) else None
@@ -211,4 +223,5 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document: edge cases as for identify()."""
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
