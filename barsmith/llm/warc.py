@@ -20,8 +20,12 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payload bytes that an archive file holds about; a file is read back as one value.
 ARCHIVE_BYTES = 32 << 20
-#: Capture time of page 0 in seconds of Unix time; pages come one second apart.
-EPOCH = 1704067200
+#: Capture time of page 0 in seconds of Unix time; pages come one second apart, within the years 1970 to 9999.
+EPOCH, LAST = 1704067200, 253402300799
+#: Payloads from this size on are written to archives of their own; no archive file is longer than LONGEST, about.
+LARGE, LONGEST = 1 << 20, 1 << 30
+#: Captures of a range of the merged index, about: what one task holds.
+RANGE = 1 << 18
 
 INDEX = "url_key string, warc_date string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, offset long, url string"
 
@@ -64,7 +68,8 @@ def record_text(rows: DataFrame) -> Column:
     revisit = F.col("record_type") == "revisit"
     block_bytes = F.when(revisit, F.lit(len(HTTP_HEAD))).otherwise(F.col("payload_bytes") + len(HTTP_HEAD))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">\r\n"))
-    date = F.date_format(F.timestamp_seconds(EPOCH + F.coalesce("page_id", F.lit(-1))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    page = F.greatest(F.least(F.coalesce("page_id", F.lit(-1)), F.lit(LAST - EPOCH)), F.lit(-EPOCH))
+    date = F.date_format(F.timestamp_seconds(EPOCH + page), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.col("record_type"),
         F.lit("\r\nWARC-Record-ID: "), name(F.col("page_id")),
@@ -79,12 +84,24 @@ def record_text(rows: DataFrame) -> Column:
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Write pages (page_id, url, html; other columns are not read) as gzipped WARC files under path."""
+    """Write pages (page_id, url, html; other columns are not read) as gzipped WARC files under path.
+
+    Null html: an empty payload. Null url: no target URI. Repeated rows: a record each. An empty table: no
+    records. Pages captured before 1970 or after 9999 by their ids have the dates of these limits.
+    """
     rows = with_revisits(pages, min_bytes)
-    n, total = pages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
-    per_file = max(1, int(ARCHIVE_BYTES // max(1, total // max(1, n))))
-    lines = rows.select(record_text(rows).alias("value"))
-    lines.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    n, total, most = pages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)), F.max(F.octet_length("html"))).first()
+    per_file = max(1, min(int(ARCHIVE_BYTES // max(1, total // max(1, n))), LONGEST // LARGE))
+
+    def write(some: DataFrame, per_file: int, mode: str) -> None:
+        lines = some.select(record_text(some).alias("value"))
+        lines.write.mode(mode).option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+
+    if (most or 0) < LARGE:
+        write(rows, per_file, "error")
+    else:
+        write(rows.where(F.col("payload_bytes") < LARGE), per_file, "error")
+        write(rows.where(F.col("payload_bytes") >= LARGE), max(1, LONGEST // most), "append")
 
 
 def url_key(url: str | None) -> str:
@@ -139,7 +156,7 @@ def _capture_runs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _order(row: tuple) -> tuple:
-    return row[0], row[1], -1 if row[2] is None else row[2], row[7], row[8]
+    return row[0], row[1], row[2] is not None, row[2] or 0, row[7], row[8]
 
 
 def loser_tree_merge(sorted_runs: list[list], key) -> Iterator:
@@ -180,7 +197,7 @@ def loser_tree_merge(sorted_runs: list[list], key) -> Iterator:
 
 
 def _merged(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The slices of all runs in one key range, merged."""
+    """The sorted slices of all runs in one key range, merged."""
     parts = [b for b in batches if len(b)]
     if not parts:
         return
@@ -189,8 +206,7 @@ def _merged(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     runs: dict[str, list[tuple]] = {}
     for row in rows.itertuples(index=False, name=None):
         runs.setdefault(row[7], []).append(row)
-    slices = [sorted(run, key=_order) for run in runs.values()]  # nearly sorted already: blocks of a run may arrive out of turn
-    out = pd.DataFrame(list(loser_tree_merge(slices, _order)), columns=rows.columns)
+    out = pd.DataFrame(list(loser_tree_merge(list(runs.values()), _order)), columns=rows.columns)
     yield out.astype({c: "Int64" for c in ("page_id", "payload_bytes", "refers_to", "offset")})
 
 
@@ -203,11 +219,14 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 def merge_index(index: DataFrame) -> DataFrame:
     """The globally ordered capture histories: by URL key, then time, then page.
 
-    External merge: the runs are cut at common quantiles of the whole key (so that a URL with very many
-    captures is cut by time), and in each range the slices of all runs go through a loser tree. A
-    range's slices are what one task holds. An empty index gives no rows.
+    External merge: the sorted runs are cut at common quantiles of the whole key (so that a URL with very
+    many captures is cut by time, and equal captures by archive), into ranges of about RANGE captures,
+    however many there are; in each range the slices of all runs, sorted as they are, go through a loser tree.
+    An empty index gives no rows.
     """
-    return index.repartitionByRange("url_key", "warc_date", "page_id").mapInPandas(_merged, INDEX)
+    key = ["url_key", "warc_date", "page_id", "run", "offset"]
+    ranges = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), index.count() // RANGE)
+    return index.repartitionByRange(ranges, *key).sortWithinPartitions("run", *key).mapInPandas(_merged, INDEX)
 
 
 def capture_histories(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -223,5 +242,6 @@ def capture_histories(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged capture index of all pages, read back from the archives: edge cases as for capture_histories()."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return capture_histories(pages, min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "warc_date", "run", "offset")
