@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import json
 import math
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barsmith.llm.bpe import vocabulary
-from barsmith.llm.common import small
+from barsmith.llm.common import batches_of, small
 
 # Words next to credentials, words next to harmless digests, and the formats of issued keys.
 SECRET_WORDS = {
@@ -78,11 +79,12 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _OPERATOR.finditer(text):
         if _NAME.search(text, max(0, m.start() - 24), m.start()) and (v := _VALUE.match(text, m.end())):
             spans.append((1, v.start(1), v.end(1), "assigned"))
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # sorted, without overlaps
     for _, a, b, rule in sorted(spans):
-        if all(b <= x or a >= y for x, y, _ in taken):
-            taken.append((a, b, rule))
-    return iter(sorted(taken))
+        k = bisect.bisect_left(taken, (a,))
+        if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+            taken.insert(k, (a, b, rule))
+    return iter(taken)
 
 
 @functools.cache
@@ -321,10 +323,11 @@ def scan(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, id_c
     Whole texts are scanned. Null and empty texts have no findings; null ids keep theirs; repeated rows
     report theirs each. Other columns are not read; an empty table gives no rows.
     """
+    batches_of(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest or default_forest())  # TREES trees of at most 2**DEPTH leaves
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in small(batches, 1024):
+        for batch in small(batches, 1024, "text"):
             found = scan_texts(batch["text"], shared.value, least)
             rows = [(i, *f) for i, fs in zip(batch["doc_id"], found, strict=True) for f in fs]
             out = pd.DataFrame(rows, columns=["doc_id", "start", "end", "rule", "score"])
@@ -335,11 +338,16 @@ def scan(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, id_c
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every finding in text replaced by mark, and n_chars, if there, counted anew."""
+    """docs with every finding in text replaced by mark, and n_chars, if there, counted anew.
+
+    Null and empty texts, and rows without findings, stay as they are; other columns too; repeated rows come as
+    often as they came; an empty table gives no rows.
+    """
+    batches_of(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in small(batches, 1024):
+        for batch in small(batches, 1024, "text"):
             texts = list(batch["text"])
             for k, found in enumerate(scan_texts(texts, shared.value, least)):
                 for a, b, *_ in reversed(found):
@@ -352,4 +360,5 @@ def redact(docs: DataFrame, forest: Forest | None = None, least: float = 0.5, ma
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings in all documents: edge cases as for scan()."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

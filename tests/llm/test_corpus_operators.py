@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from barsmith.llm import ann, mixing, ngram_join, queries, substrings, topk, warc
 
@@ -163,11 +164,22 @@ def test_mix_meets_targets_and_repeats(spark):
     assert abs(sum(target.values()) - sum(x.size for x in got)) < 1e-6
     assert all(abs(by[s] - target[s]) <= max(2, 0.02 * target[s]) for s in target)
     assert mixing.mix_sources(df.limit(0)).count() == 0
+    first = sorted((x.slot, x.source or "") for x in got if x.slot is not None)
+    for half in (first[:len(first) // 2], first[len(first) // 2:]):  # every source from beginning to end
+        assert {s for _, s in half} >= {"a", "b", "c"}
     docs = df.selectExpr("doc_id", "text", "'en' as lang", "source", "cast(length(text) as long) as n_chars")
     words = sum(len((x.text or "").split()) for x in mixing.mixed_documents(docs).collect())
     assert words == sum(by.values())
 
 
+def test_the_schedule_is_bounded_beside_a_tiny_source(spark):
+    df = spark.createDataFrame([(i, "w " * 5000, "big") for i in range(200)] + [(999, "two words", "small")], "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
+    targets = mixing.source_targets(df.select("source", mixing.word_count(F.col("text")).alias("size")))
+    assert mixing.schedule(targets).count() <= mixing.SLOTS + 2
+    by = {r.source: r for r in mixing.mix_sources(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert all(abs(r.taken - r.target) <= 1 for r in by.values())
+
+
 VECS = "vec_id long, embedding array<float>, label int, dim int"
 
 
@@ -248,10 +260,25 @@ def test_warc_round_trip(spark):
     assert (by[None].record_type, by[None].refers_to) == ("revisit", 2)
     assert (by[3].refers_to, by[4].record_type, by[4].payload_bytes) == (4, "response", 0)
     assert by[1].url_key == "example,b)/x" and sum(x.record_type == "response" and x.page_id == 6 for x in got) == 2
+    far = spark.createDataFrame([(9 * 10**18, "http://c.example/", "a"), (-9 * 10**18, "http://c.example/", "b"), (10**13, "http://c.example/", "a"), (5, "http://c.example/big", "x" * (3 << 20))], "page_id long, url string, html string").withColumn("offset", F.lit("clash"))
+    again = {x.page_id: x for x in warc.capture_histories(far).collect()}
+    assert again[10**13].refers_to == 9 * 10**18 and again[-9 * 10**18].warc_date.startswith("1970") and again[9 * 10**18].warc_date.startswith("9999") and again[5].payload_bytes == 3 << 20
     keys = [(x.url_key, x.warc_date) for x in got]
     assert keys == sorted(keys) and warc.capture_histories(pages.limit(0)).count() == 0
 
 
+def test_capture_histories_of_the_query_are_globally_ordered(spark):
+    got = warc.op10(spark, "/root/testdata/sf0.001").collect()
+    order = [(x.url_key, x.warc_date, x.page_id) for x in got]
+    assert order == sorted(order) and len({x.run for x in got}) >= 1
+    largest = {}
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    for p in pages:
+        largest[p.html or ""] = max(largest.get(p.html or "", -1), p.page_id)
+    want = {p.page_id: (len((p.html or "").encode()), base64.b32encode(hashlib.sha1((p.html or "").encode()).digest()).decode(), "response" if largest[p.html or ""] == p.page_id else "revisit", None if largest[p.html or ""] == p.page_id else largest[p.html or ""]) for p in pages}
+    assert {x.page_id: (x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in got} == want
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 50)), max_size=9))
 def test_loser_tree(runs):

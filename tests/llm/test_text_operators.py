@@ -34,6 +34,20 @@ def test_language_id_learns_and_handles_odd_rows(spark):
     assert langid.keep_identified(table(spark, texts, langs)).columns == table(spark, texts, langs).columns
 
 
+def test_language_id_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.op1(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 100 and sum(x.lang == x.lang_pred for x in got) / len(got) > 0.95
+
+
+def test_the_sample_of_languages_is_bounded(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("concat('the text ', id) as text", "'en' as lang", "'7' as key").union(spark.range(500).selectExpr("concat('der satz ', id)", "'de'", "cast(id as string)"))
+    seen = []
+    monkeypatch.setattr(langid, "ftrl", lambda r, *a, f=langid.ftrl: seen.append(len(r)) or f(r, *a))
+    model = langid.fit(rows, sample=50)
+    assert model.languages == ["de", "en"] and seen[0] <= 51
+
+
 def test_language_id_without_labels_or_rows(spark):
     unlabelled = table(spark, ["some text", None], [None, None])
     assert [r.lang_pred for r in langid.identify(unlabelled).collect()] == ["und", "und"]
@@ -75,17 +89,33 @@ def test_bpe_in_spark_round_trip_and_edges(spark):
     for r in rows:
         want = texts[r.doc_id] or ""
         assert list(r.token_ids) == t.encode(want, add_special_tokens=False).ids and r.text == want
-    d = {r.doc_id: r for r in bpe.digests(out, path).collect()}
+    d = {r.doc_id: r for r in bpe.encode(df, path, leaf=1000, then=bpe.DIGESTS).collect()}
+    for r in d.values():
+        ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert d[0].n_tokens == 0 and d[0].ids_sha256 == d[0].decoded_sha256 == hashlib.sha256(b"").hexdigest()
     assert bpe.encode(df.limit(0), path).count() == 0
 
 
+def test_remembered_words_equal_the_library():
+    path, r = bpe.vocabulary(), random.Random(3)
+    t = bpe.tokenizer(path)
+    words = ["the", "don't", "x'", "'s", "12", "a1", "é!", "…", "“q”", "Then,", "end.", "--", "¿qué?", "漢", "\t", "", "it's'll", "A", "²", "½a"]
+    texts = ["".join(r.choice(words) + r.choice([" ", " ", " ", "\n", "\n\n", ""]) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    texts += [x.strip() for x in texts]
+    for x, ids in zip(texts, bpe.encode_texts(path, texts), strict=True):
+        assert ids.tolist() == t.encode(x, add_special_tokens=False).ids, x
+        assert bpe.decimals(path, ids) == ",".join(map(str, ids.tolist())).encode() and bpe.decoded(path, ids) == x.encode()
+
+
 def test_decoding_equals_the_library_on_any_ids():
     path, r = bpe.vocabulary(), random.Random(1)
     t = bpe.tokenizer(path)
     for _ in range(2000):
         ids = [r.randrange(50257) for _ in range(r.randint(0, 12))]
         assert bpe.decode_ids(path, ids) == t.decode(ids, skip_special_tokens=False)
+        assert bpe.decoded(path, np.array(ids, dtype=np.int32)).decode() == t.decode(ids, skip_special_tokens=False)
 
 
 PAGE = """<html><head><title>x</title><style>p{}</style></head><body><header>Site name</header><div class="cookie-notice">We use cookies on this site, please accept them all</div>
