@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barsmith.functions.columns import day_rank, safe_ratio
+from barsmith.operators.series import running_sums
 
 
 def daily_ic(df: DataFrame, score: str, outcome: str, least: int = 5) -> DataFrame:
@@ -30,12 +33,13 @@ def day_deciles(df: DataFrame, score: str, outcome: str, n: int = 10) -> DataFra
 
 
 def top_k_lift(df: DataFrame, score: str, outcome: str, ks: Sequence[int]) -> DataFrame:
-    """k, lift: mean over days of (mean outcome of the k best) / (mean outcome of the day), days with at least k rows."""
+    """k, lift: mean over days of (mean outcome of the k best) / (mean outcome of the day), days with at least k rows;
+    null where no day has as many."""
     rank = F.row_number().over(Window.partitionBy("date").orderBy(F.desc(score), "ticker"))
     tops = [F.avg(F.when(F.col("r") <= k, F.col(outcome))).alias(f"k{k}") for k in ks]
     days = df.withColumn("r", rank).groupBy("date").agg(F.avg(outcome).alias("m"), F.count(F.lit(1)).alias("n"), *tops)
-    long = days.select("m", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("top")) for k in ks])).alias("x"))
-    return long.where("n >= x.k").groupBy(F.col("x.k").alias("k")).agg(F.avg(safe_ratio(F.col("x.top"), "m")).alias("lift"))
+    long = days.select("m", "n", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("top")) for k in ks])))
+    return long.groupBy("k").agg(F.avg(F.when(F.col("n") >= F.col("k"), safe_ratio("top", "m"))).alias("lift"))
 
 
 def precision_recall_at(df: DataFrame, score: str, label: str, k: int) -> DataFrame:
@@ -53,23 +57,20 @@ def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve by rank sums, ties counting half."""
-    below = F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    c = score_counts(df, score, label).withColumn("below", F.coalesce(below, F.lit(0.0)))
+    c = running_sums(score_counts(df, score, label), "s", ["neg"]).withColumn("below", F.col("run_neg") - F.col("neg"))
     return c.agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
-    run = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    c = score_counts(df, score, label).withColumns({"tp": F.sum("pos").over(run), "all": F.sum(F.col("pos") + F.col("neg")).over(run)})
-    return c.agg((F.sum(F.col("pos") * F.col("tp") / F.col("all")) / F.sum("pos")).alias("average_precision"))
+    c = running_sums(score_counts(df, score, label), "s", ["pos", "neg"], descending=True)
+    return c.agg((F.sum(F.col("pos") * F.col("run_pos") / (F.col("run_pos") + F.col("run_neg"))) / F.sum("pos")).alias("average_precision"))
 
 
 def best_threshold(df: DataFrame, score: str, label: str) -> DataFrame:
     """threshold, f1: the highest threshold with the greatest F1 of "score >= threshold"."""
-    run = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("pos").over(Window.partitionBy(F.lit(1)))
-    c = score_counts(df, score, label).withColumns({"tp": F.sum("pos").over(run), "all": F.sum(F.col("pos") + F.col("neg")).over(run), "total": total})
-    f1 = 2 * F.col("tp") / (F.col("all") + F.col("total"))
+    counts = score_counts(df, score, label)
+    c = running_sums(counts, "s", ["pos", "neg"], descending=True).crossJoin(F.broadcast(counts.agg(F.sum("pos").alias("total"))))  # one row
+    f1 = 2 * F.col("run_pos") / (F.col("run_pos") + F.col("run_neg") + F.col("total"))
     return c.select(F.struct(F.round(f1, 9).alias("f1"), F.col("s").alias("threshold")).alias("x")).agg(F.max("x").alias("x")).select("x.threshold", "x.f1")
 
 
@@ -117,9 +118,9 @@ def stability_index(reference: DataFrame, current: DataFrame, x: str, bins: int
 def ks_distance(df: DataFrame, x: str, group: str) -> DataFrame:
     """Largest gap between the two groups' distribution functions (group 0 and 1)."""
     c = df.groupBy(F.col(x).alias("s")).agg(F.sum(group).cast("double").alias("one"), F.sum(1 - F.col(group)).cast("double").alias("zero"))
-    run, every = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(1))
-    gap = F.abs(F.sum("one").over(run) / F.sum("one").over(every) - F.sum("zero").over(run) / F.sum("zero").over(every))
-    return c.select(gap.alias("g")).agg(F.max("g").alias("ks"))
+    total = c.agg(F.sum("one").alias("ones"), F.sum("zero").alias("zeros"))  # one row
+    gap = F.abs(F.col("run_one") / F.col("ones") - F.col("run_zero") / F.col("zeros"))
+    return running_sums(c, "s", ["one", "zero"]).crossJoin(F.broadcast(total)).agg(F.max(gap).alias("ks"))
 
 
 def ranking_divergence(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
@@ -144,12 +145,21 @@ def block_bootstrap(series: DataFrame, at: str, x: str, block_days: int, replica
 
 
 def permutation_null(df: DataFrame, score: str, outcome: str, replicates: int, seed: int = 0) -> DataFrame:
-    """replicate, ic: the pooled rank correlation after outcomes are shuffled within their day."""
-    d = df.select("date", "ticker", day_rank(score).alias("a"), day_rank(outcome).alias("b")).crossJoin(df.sparkSession.range(replicates).select(F.col("id").alias("replicate")))
-    day = Window.partitionBy("replicate", "date")
-    left = d.select("replicate", "date", "a", F.row_number().over(day.orderBy("ticker")).alias("k"))
-    right = d.select("replicate", "date", "b", F.row_number().over(day.orderBy(F.xxhash64("ticker", "replicate", F.lit(seed)), "ticker")).alias("k"))
-    return left.join(right, ["replicate", "date", "k"]).groupBy("replicate").agg(F.corr("a", "b").alias("ic"))
+    """replicate, ic: the pooled rank correlation after outcomes are shuffled within their day. A day is one
+    group; it sends the sums of each replicate, not its rows."""
+    ranked = df.select("date", "ticker", day_rank(score).cast("double").alias("a"), day_rank(outcome).cast("double").alias("b"))
+
+    def shuffled(day: pd.DataFrame) -> pd.DataFrame:
+        day = day.sort_values("ticker", kind="stable")
+        a, b = day["a"].to_numpy(), day["b"].to_numpy()
+        rng = np.random.default_rng([seed, pd.Timestamp(day["date"].iloc[0]).toordinal()])
+        products = [float(a @ rng.permutation(b)) for _ in range(replicates)]
+        return pd.DataFrame({"replicate": range(replicates), "n": float(len(a)), "sa": a.sum(), "sb": b.sum(), "saa": a @ a, "sbb": b @ b, "sab": products})
+
+    sums = ranked.groupBy("date").applyInPandas(shuffled, "replicate long, n double, sa double, sb double, saa double, sbb double, sab double")
+    s = {c: F.sum(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")}
+    spread = F.sqrt(s["n"] * s["saa"] - s["sa"] * s["sa"]) * F.sqrt(s["n"] * s["sbb"] - s["sb"] * s["sb"])
+    return sums.groupBy("replicate").agg(((s["n"] * s["sab"] - s["sa"] * s["sb"]) / F.nullif(spread, F.lit(0.0))).alias("ic"))
 
 
 def walk_forward_folds(first_year: int, last_year: int, embargo_days: int) -> list[tuple[int, str, str, str]]:
