@@ -182,6 +182,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every 20th vector: edge cases as for search()."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return search(rows, rows.where("vec_id % 20 = 0"), k=20)
 

@@ -312,5 +312,6 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: edge cases as for extract()."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", "n_chars")

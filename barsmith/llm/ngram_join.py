@@ -594,6 +594,7 @@ def mix_in(x: int) -> np.ndarray:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document: edge cases as for linked()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", file_chunk(CHUNK).alias("place"))
     return linked(docs, PERCENT, N, F.col("place"))
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barsmith.llm.common import runs, small, word_hashes, word_spans, written
+from barsmith.llm.common import batches_of, runs, small, word_hashes, word_spans, written
 
 WINDOW = 13
 #: Documents of a chunk; cells of the sketch for each window; bits of a cell's number inside its block.
@@ -43,7 +43,7 @@ def pack(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
-        for batch in small(batches, CHUNK):
+        for batch in small(batches, CHUNK, "text"):
             for chunk, part in batch.groupby("chunk", sort=False):
                 texts = [(t or "").encode() for t in part["text"]]
                 known = part["doc_id"].notna().to_numpy()
@@ -276,6 +276,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, chunk=None) -> DataFr
     Documents with the same id do not make each other lose words. Repeated rows come as often as they
     came. Other columns are not read; an empty table gives no rows.
     """
+    batches_of(docs.sparkSession)
     n_docs, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     bits = max(0, int(total // WORD_BYTES * CELLS - 1).bit_length() - BLOCK_BITS) if total else 0
     if chunk is None:
@@ -295,6 +296,7 @@ def file_chunk(rows: int = CHUNK):
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document: edge cases as for remove_repeated()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", file_chunk().alias("place"))
     found = remove_repeated(docs, WINDOW, F.col("place"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
