@@ -247,8 +247,10 @@ def prefixes(packed: DataFrame, answers: DataFrame, cell_bits: int, classes: np.
             inside = np.arange(len(by)) - first[doc[by]] < longest[doc[by]]
             at = by[inside]
             at = at[met[at]]
+            if not len(at):
+                continue
             at = at[np.argsort(block[at], kind="stable")]
-            cuts = np.flatnonzero(np.concatenate([[True], block[at][1:] != block[at][:-1]])) if len(at) else np.empty(0, dtype=np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], block[at][1:] != block[at][:-1]]))
             for a, b in zip(cuts, np.append(cuts[1:], len(at)), strict=True):
                 used, place = np.unique(doc[at[a:b]], return_inverse=True)
                 out.append((order, int(block[at[a]]), narrow(value[at[a:b]]), place.astype(np.uint16).tobytes(), node[used].tobytes(), size[used].astype(np.uint32).tobytes()))
