@@ -135,6 +135,14 @@ def test_main_text_between_surge_and_dive():
 LONG = "One paragraph of text that goes on for quite a while, so that the windows over it surge."
 
 
+def test_the_surge_decides_where_markup_says_nothing(monkeypatch):
+    links = "".join(f'<li><a href="/{i}">Another page {i}</a></li>' for i in range(6))
+    page = f"<body><div><p>{LONG}</p><ul>{links}</ul><p>{LONG}</p></div><ul>{links}</ul><ul>{links}</ul><section><div>Imprint</div></section></body>"
+    assert html_text.main_text(page) == f"{LONG}\n{LONG}"
+    monkeypatch.setattr(html_text, "SURGE", 5)
+    assert html_text.main_text(page) == f"{LONG}\n{LONG}\nImprint"
+
+
 def test_lines_of_links_dive_with_and_without_an_article():
     links = "".join(f'<li><a href="/{i}">Another page {i}</a></li>' for i in range(6))
     for tag in ("article", "div"):
