@@ -75,3 +75,8 @@ def run_health(log: DataFrame) -> DataFrame:
     """phase, runs, mean and last runtime, and whether the last took over twice the mean."""
     d = log.groupBy("phase").agg(F.count(F.lit(1)).alias("runs"), F.avg("runtime_seconds").alias("mean"), F.max_by("runtime_seconds", F.struct("ts", "event_id")).alias("last"))
     return d.withColumn("slow", F.col("last") > 2 * F.col("mean"))
+
+
+def purge_dates(df: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The dates of df that the calendar does not have."""
+    return df.select("date").distinct().join(calendar.select("date").distinct(), "date", "left_anti")
