@@ -80,3 +80,15 @@ def run_health(log: DataFrame) -> DataFrame:
 def purge_dates(df: DataFrame, calendar: DataFrame) -> DataFrame:
     """The dates of df that the calendar does not have."""
     return df.select("date").distinct().join(calendar.select("date").distinct(), "date", "left_anti")
+
+
+def feature_checks(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """feature, nulls, lowest, highest, in_range for each column that should be there, in one pass; a missing column is an error."""
+    missing = [n for n in ranges if n not in df.columns]
+    if missing:
+        raise KeyError(", ".join(missing))
+    parts = [
+        F.struct(F.lit(n).alias("feature"), F.count_if(F.col(n).isNull()).alias("nulls"), F.min(n).alias("lowest"), F.max(n).alias("highest"), F.coalesce(F.bool_and(F.col(n).between(lo, hi)), F.lit(False)).alias("in_range"))
+        for n, (lo, hi) in ranges.items()
+    ]
+    return df.agg(F.array(*parts).alias("f")).select(F.inline("f"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +37,34 @@ def sections(df: DataFrame, text: str, headings: Sequence[str]) -> DataFrame:
     part = F.explode(F.slice(F.split(marked, "\u0001"), 2, 1 << 20)).alias("__p")
     d = df.select(*[c for c in df.columns if c != text], part)
     return d.select(*[c for c in d.columns if c != "__p"], F.split("__p", "\u0002")[0].alias("heading"), F.regexp_replace(F.split("__p", "\u0002")[1], r"^\s+|\s+$", "").alias("body"))
+
+
+def _found(tree) -> Iterator[tuple[str, dict]]:
+    """Objects with quote, source and strength, at any depth, with their paths."""
+    open_ = [("", tree)]
+    while open_:
+        path, node = open_.pop()
+        if isinstance(node, dict):
+            if {"quote", "source", "strength"} <= node.keys():
+                yield path, node
+            open_ += [(f"{path}.{k}" if path else k, v) for k, v in node.items()]
+        elif isinstance(node, list):
+            open_ += [(f"{path}[{i}]", v) for i, v in enumerate(node)]
+
+
+def evidence(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """key, path, quote, source, strength of every evidence object in a JSON text; text that is no JSON has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, text in zip(batch[key], batch[payload]):
+                try:
+                    tree = json.loads(text) if text else None
+                except ValueError:
+                    continue
+                rows += [(k, path, *(None if e[n] is None else str(e[n]) for n in ("quote", "source", "strength"))) for path, e in _found(tree)]
+            yield pd.DataFrame(rows, columns=[key, "path", "quote", "source", "strength"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, payload).mapInPandas(run, f"`{key}` {kind}, path string, quote string, source string, strength string")

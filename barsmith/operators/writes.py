@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,3 +67,24 @@ def slice_window(df: DataFrame, at: str, days: int, keep: DataFrame | None = Non
     if keep is None:
         return recent
     return recent.unionByName(df.join(keep.select(key), key, "left_semi")).distinct()
+
+
+def reread(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written as Parquet into the shared folder and read again; by: a folder for each value of the column."""
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if by:
+        df.repartition(by).write.partitionBy(by).parquet(path)
+    else:
+        df.write.parquet(path)
+    schema = df.schema  # else Spark would guess the type of the folder's values
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def by_period(df: DataFrame, at: str, start: str, end: str, warmup_days: int, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """fn recomputed for [start, end] alone, from rows that reach warmup_days further back."""
+    first = F.date_sub(F.lit(start).cast("date"), warmup_days)
+    inside = (F.col(at) >= F.lit(start)) & (F.col(at) <= F.lit(end))
+    return fn(df.where((F.col(at) >= first) & (F.col(at) <= F.lit(end)))).where(inside)

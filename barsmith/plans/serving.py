@@ -242,12 +242,12 @@ def v25(spark, sf_dir):
 NAV = "navs as (select date, exp(sum(ln(1 + r)) over (order by date)) as nav from daily)"
 
 
-@rule("v26_nav_drawdown", ("scores",), f"select date, {r('nav')} as nav, {r('nav / greatest(max(nav) over (order by date), 1) - 1')} as drawdown from navs", f"{ENTRIES},\n{EXITS},\n{DAILY},\n{NAV}")
+@rule("v26_nav_drawdown", ("scores",), f"select date, {r('ln(nav)')} as log_nav, {r('nav / greatest(max(nav) over (order by date), 1) - 1')} as drawdown from navs", f"{ENTRIES},\n{EXITS},\n{DAILY},\n{NAV}")
 def v26(spark, sf_dir):
     daily = tr.daily_returns(exits_of(spark, sf_dir), t.bars(spark, sf_dir), 10)  # a row a day
     so_far = day_line().rowsBetween(Window.unboundedPreceding, 0)
     d = daily.select("date", F.exp(F.sum(F.log1p("r")).over(so_far)).alias("nav"))
-    return d.select("date", "nav", (F.col("nav") / F.greatest(F.max("nav").over(so_far), F.lit(1.0)) - 1).alias("drawdown"))
+    return d.select("date", F.log("nav").alias("log_nav"), (F.col("nav") / F.greatest(F.max("nav").over(so_far), F.lit(1.0)) - 1).alias("drawdown"))
 
 
 SEEN = "over (order by date rows between 1259 preceding and current row)"
