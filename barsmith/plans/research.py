@@ -436,3 +436,37 @@ def x7(spark, sf_dir):
     e = edges(spark, sf_dir).where("confidence > 0")
     ends = e.select(F.explode(F.array("party", "strength")).alias("node"), "confidence")
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.sum("confidence").alias("strength"))
+
+
+MONTH = "over (partition by ticker order by date range between interval 1 day following and interval 30 days following)"
+
+
+def month_peak(bars: DataFrame) -> DataFrame:
+    """ticker, date, mfe: the highest high of the next 30 calendar days over the close, less 1 (one frame a ticker, no join)."""
+    day = F.date_diff("date", F.lit("1970-01-01").cast("date"))
+    ahead = Window.partitionBy("ticker").orderBy(day).rangeBetween(1, 30)
+    return bars.select("ticker", "date", (F.max("high").over(ahead) / F.col("close") - 1).alias("mfe"))
+
+
+@rule("l8_stored_labels", ("bars",), f"""select status, count(*) as n from (select case when a.ticker is null then 'missing' when n.date + 30 > e then 'overrun' when abs(a.mfe - n.mfe) > 1e-9 or (a.mfe is null) <> (n.mfe is null) then 'mismatched' else 'ok' end as status
+from (select ticker, date, max(high) {MONTH} / close - 1 as mfe from bars) n left join (select ticker, date, max(high) {MONTH} / close - 1 as mfe from bars where date <= date '1998-06-30') a using (ticker, date), (select max(date) as e from bars)) group by status""")
+def l8_stored(spark, sf_dir):
+    """Labels stored in the middle of 1998 against labels from all bars: missing, mismatched, or with a horizon beyond the table."""
+    b = t.bars(spark, sf_dir)
+    stored = month_peak(b.where("date <= '1998-06-30'")).select("ticker", "date", F.col("mfe").alias("was"), F.lit(True).alias("have"))
+    d = month_peak(b).join(stored, ["ticker", "date"], "left").crossJoin(F.broadcast(b.agg(F.max("date").alias("end"))))  # one row
+    differs = (F.abs(F.col("was") - F.col("mfe")) > 1e-9) | (F.col("was").isNull() != F.col("mfe").isNull())
+    status = F.when(F.col("have").isNull(), "missing").when(F.date_add("date", 30) > F.col("end"), "overrun").when(differs, "mismatched").otherwise("ok")
+    return d.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@rule("c26_job_health", (), f"""select user_id as job, count(*) as runs, {r("avg(cast(event_type <> 'error' as int))")} as success_rate, count(*) filter (where event_type = 'error' and d > e - 7) as failures_7d, date_diff('day', max(d) filter (where event_type <> 'error'), e) as drought_days, date_diff('day', max(d), e) as days_old
+from (select *, cast(ts as date) as d from events), (select max(cast(ts as date)) as e from events) group by user_id, e""", "no as (select 1)")
+def c26_jobs(spark, sf_dir):
+    """Runs of a job (a user of the event log; errors are failures): success rate, last week's failures, days since a success, and since a run."""
+    d = t.table(spark, sf_dir, "events", "user_id", "event_type", "ts").select(F.col("user_id").alias("job"), (F.col("event_type") != "error").alias("ok"), F.to_date("ts").alias("d"))
+    d = d.crossJoin(F.broadcast(d.agg(F.max("d").alias("e"))))  # one row
+    g = d.groupBy("job").agg(
+        F.count(F.lit(1)).alias("runs"), F.avg(F.col("ok").cast("int")).alias("success_rate"), F.count_if(~F.col("ok") & (F.col("d") > F.date_sub("e", 7))).alias("failures_7d"),
+        F.max(F.when(F.col("ok"), F.col("d"))).alias("good"), F.max("d").alias("last"), F.max("e").alias("e"))
+    return g.select("job", "runs", "success_rate", "failures_7d", F.date_diff("e", "good").alias("drought_days"), F.date_diff("e", "last").alias("days_old"))
