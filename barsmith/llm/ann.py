@@ -6,11 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barsmith.llm.common import written
-from barsmith.llm.topk import best_of, blocked, usable
+from barsmith.llm.topk import best_of, dealt, sent_to, usable
 
 #: A code has four bits.
 CENTROIDS = 16
@@ -18,12 +18,12 @@ CENTROIDS = 16
 SUB = 2
 #: Rows that the codebooks are trained on at most (those with the smallest hash of their id).
 TRAIN = 8192
-#: Rows of a block, queries of a block.
-VECTORS, QUERIES = 4096, 1024
-#: Rows of each block that are reranked for a query, as a multiple of k.
-RERANK = 4
+#: Codes of a block, queries of a block.
+VECTORS, QUERIES = 16384, 1024
+#: Rows that are reranked for a query, of all rows, as a multiple of k.
+RERANK = 16
 
-PARTIAL = "query_id long, vec_id long, score double"
+FOUND = "asked long, row long, near float"
 
 
 @dataclass
@@ -101,12 +101,13 @@ def train(x: np.ndarray, rounds: int = 8, seed: int = 7) -> Codebooks:
 def build_index(rows: DataFrame, train_rows: int = TRAIN) -> tuple[DataFrame, dict[int, Codebooks]]:
     """Every row with its packed codes (two codes a byte), and the codebooks of each dimension.
 
-    Only training looks at a bounded sample: the train_rows rows whose ids have the smallest hashes.
+    Only training looks at a bounded sample: the train_rows rows whose ids have the smallest hashes. A dimension
+    that the sample has missed takes the centres of the others' parts, so that all rows have codes.
     """
     sample = rows.select("vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(train_rows).toPandas()
     by_dim: dict[int, list] = {}
     for v in sample["vec"]:
-        by_dim.setdefault(len(v), []).append(np.asarray(v))
+        by_dim.setdefault(len(v), []).append(np.asarray(v, dtype=np.float64))
     books = {d: train(np.stack(v)) for d, v in by_dim.items()}
 
     def encode(batches):
@@ -115,70 +116,89 @@ def build_index(rows: DataFrame, train_rows: int = TRAIN) -> tuple[DataFrame, di
             sizes = batch["vec"].map(len).to_numpy()
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
-                if int(d) in books:
-                    c = books[int(d)].encode(np.stack(batch["vec"].iloc[at]))
-                    c = np.pad(c, ((0, 0), (0, c.shape[1] % 2)))
-                    packed = (c[:, 0::2] << 4) | c[:, 1::2]
-                    for i, row in zip(at, packed, strict=True):
-                        codes[i] = row.tobytes()
-                else:  # a dimension that the sample has missed: no codes, every such row is reranked
-                    codes[at] = b""
+                c = book_of(books, int(d)).encode(np.stack(batch["vec"].iloc[at]).astype(np.float64))
+                c = np.pad(c, ((0, 0), (0, c.shape[1] % 2)))
+                packed = (c[:, 0::2] << 4) | c[:, 1::2]
+                for i, row in zip(at, packed, strict=True):
+                    codes[i] = row.tobytes()
             yield batch.assign(codes=codes)
 
-    return rows.mapInPandas(encode, "vec_id long, vec array<double>, codes binary"), books
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", codes binary"
+    return rows.mapInPandas(encode, schema), books
 
 
-def _scan(books: dict[int, Codebooks], k: int, rerank: int):
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def book_of(books: dict[int, Codebooks], dim: int) -> Codebooks:
+    """The codebooks of a dimension; where there are none, one of all parts of the most trained dimension, spread over its parts."""
+    if dim in books:
+        return books[dim]
+    other = books[max(books)]
+    pooled = np.take(other.centres.reshape(-1, SUB), np.linspace(0, len(other.centres) * CENTROIDS - 1, CENTROIDS).astype(int), axis=0)
+    return Codebooks(np.broadcast_to(pooled, (-(-dim // SUB), CENTROIDS, SUB)).copy(), anisotropic_weight(dim))
+
+
+def share(wanted: int, blocks: int) -> int:
+    """What each block sends, so that the best `wanted` rows of all come through: rows are dealt to blocks at random,
+    and one of these holds so many of them only six standard deviations and ten above its even part."""
+    return int(np.ceil(wanted / blocks + 6 * (wanted / blocks) ** 0.5 + 10)) if blocks > 1 else wanted
+
+
+def _scan(books: dict[int, Codebooks], keep: int):
+    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
         if len(left) and len(right):
-            x, q = np.stack(left["vec"]), np.stack(right["vec"])
+            q = np.stack(right["vec"]).astype(np.float64)
             ids, asks = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-            n, dim = x.shape
-            keep = min(n, rerank * k + 1)  # one more, as a query may meet itself
-            codes = None
-            if dim in books and keep < n:
-                m = len(books[dim].centres)
-                packed = np.frombuffer(b"".join(left["codes"]), dtype=np.uint8).reshape(n, -1)
-                codes = np.empty((n, 2 * packed.shape[1]), dtype=np.uint8)
-                codes[:, 0::2], codes[:, 1::2] = packed >> 4, packed & 15
-                parts = books[dim]._parts(q)
-            for at in range(0, len(asks), 128):
-                part = slice(at, at + 128)
-                if codes is None:
-                    found = np.broadcast_to(np.arange(n), (len(asks[part]), n))
-                else:  # one table of 16 scores for each code and query
-                    score = np.zeros((n, len(asks[part])), dtype=np.float32)
-                    for j in range(m):
-                        score += (books[dim].centres[j] @ parts[part, j].T).astype(np.float32)[codes[:, j]]
-                    found = np.argpartition(score.T, n - keep, axis=1)[:, n - keep:]
-                exact = np.einsum("qrd,qd->qr", x[found], q[part])
-                exact[ids[found] == asks[part, None]] = -np.inf
-                for i in range(len(found)):
-                    best = np.lexsort((ids[found[i]], -exact[i]))[:k]
-                    best = best[exact[i][best] > -np.inf]
-                    out.append(pd.DataFrame({"query_id": asks[at + i], "vec_id": ids[found[i][best]], "score": exact[i][best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    return meet
+            rows, asked = left["row"].to_numpy(), right["asked"].to_numpy()
+            book, n = book_of(books, q.shape[1]), len(left)
+            packed = np.frombuffer(b"".join(left["codes"]), dtype=np.uint8).reshape(n, -1)
+            codes = np.empty((n, 2 * packed.shape[1]), dtype=np.uint8)
+            codes[:, 0::2], codes[:, 1::2] = packed >> 4, packed & 15
+            parts, top = book._parts(q), min(n, keep)
+            for at in range(0, len(asks), 64):
+                part = slice(at, at + 64)
+                near = np.zeros((n, len(asks[part])), dtype=np.float32)
+                for j in range(len(book.centres)):  # a table of 16 scores for each code and query
+                    near += (book.centres[j] @ parts[part, j].T).astype(np.float32)[codes[:, j]]
+                near = near.T
+                near[ids == asks[part, None]] = -np.inf
+                found = np.argpartition(near, n - top, axis=1)[:, n - top:]
+                near = np.take_along_axis(near, found, 1)
+                best = near > -np.inf
+                out.append(pd.DataFrame({"asked": np.repeat(asked[part], best.sum(1)), "row": rows[found][best], "near": near[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"asked": [], "row": [], "near": []}).astype({"asked": "int64", "row": "int64", "near": "float32"})
+
+    return scan
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by inner product, scores exact in doubles.
 
-    Every row is indexed and scanned by its four-bit codes; in each block of about VECTORS rows the
-    rerank * k best by tables get their exact score. A row with the query's vec_id is never its own
-    answer; ties go to the smaller vec_id; with fewer than k other rows all are returned. Rows without
-    an id or a vector, with a zero or an empty one, or with null or non-finite components take no part;
-    a query meets only vectors of its dimension. Repeated rows all count. Other columns are not read.
+    Every row is indexed and scanned by its four-bit codes. Only codes travel to the queries: blocks of about
+    VECTORS rows send their best by tables, the rerank * k best of all rows fetch their vectors by joins and get
+    their exact score. A row with the query's vec_id is never its own answer; ties go to the smaller vec_id; with
+    fewer than k other rows all are returned. Rows without an id or a vector, with a zero or an empty one, or with
+    null or non-finite components take no part; a query meets only vectors of its dimension. Repeated rows all
+    count. Other columns are not read.
     """
     some = lambda r: r.where(F.exists("vec", lambda x: x != 0))
-    rows = some(usable(df, id_col, vec_col))
+    rows = some(usable(df, id_col, vec_col)).withColumn("row", F.monotonically_increasing_id())
     index, books = build_index(rows)
-    left, right = blocked(written(index, "ann-index"), some(usable(queries, id_col, vec_col)), VECTORS, QUERIES)
+    index = written(index, "ann-index")
+    asks = written(some(usable(queries, id_col, vec_col)).withColumn("asked", F.monotonically_increasing_id()), "ann-queries")
+    nv, nq = (max(1, -(-x.count() // per)) for x, per in ((index, VECTORS), (asks, QUERIES)))
+    left = sent_to(dealt(index.select("row", "vec_id", "codes", F.size("vec").alias("dim")), "vb", nv, "row"), "qb", nq)
+    right = sent_to(dealt(asks.withColumn("dim", F.size("vec")), "qb", nq, "asked"), "vb", nv)
     keys = ("dim", "vb", "qb")
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_scan(books, k, rerank), PARTIAL)
-    return best_of(met, k)
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_scan(books, share(rerank * k, nv)), FOUND)
+    order = Window.partitionBy("asked").orderBy(F.desc("near"), "row")
+    best = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rerank * k).select("asked", "row")
+    product = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
+    scored = (
+        best.join(index.select("row", "vec_id", F.col("vec").alias("x")), "row")
+        .join(asks.select("asked", F.col("vec_id").alias("query_id"), F.col("vec").alias("y")), "asked")
+        .select("query_id", "vec_id", product.alias("score"))
+    )
+    return best_of(scored, k)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barsmith.llm.common import written
+
 #: Vectors whose lists are sorted together, and queries that are answered together over them.
 VECTORS, QUERIES = 4096, 1024
 #: Parts of a list that are read in one step.
@@ -22,20 +24,16 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", odd))
 
 
-def blocked(rows: DataFrame, queries: DataFrame, per_block: int, per_query_block: int) -> tuple[DataFrame, DataFrame]:
-    """Rows and queries with the pair of blocks (vb, qb) and the dimension at which they meet.
+def dealt(df: DataFrame, name: str, blocks: int, *key: str) -> DataFrame:
+    """df with a block from 0 to blocks - 1, by hash of the key; without a key rows are dealt one by one, so that
+    repeated ids spread as well."""
+    what = key or (F.monotonically_increasing_id(),)
+    return df.withColumn(name, F.pmod(F.xxhash64(*what), F.lit(blocks)).cast("int"))
 
-    Rows go to blocks of about per_block, queries to blocks of about per_query_block, by hash; each
-    block of rows is sent to every block of queries and the other way round.
-    """
-    n, m = rows.count(), queries.count()
-    nv, nq = max(1, -(-n // per_block)), max(1, -(-m // per_query_block))
-    place = lambda k: F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    dim = F.size("vec").alias("dim")
-    left = rows.select("*", dim, place(nv).alias("vb"), every(nq).alias("qb"))
-    right = queries.select("vec_id", "vec", dim, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(nq)).cast("int").alias("qb"), every(nv).alias("vb"))
-    return left, right
+
+def sent_to(df: DataFrame, name: str, blocks: int) -> DataFrame:
+    """Every row once for each of the blocks."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
 
 def best_of(partial: DataFrame, k: int) -> DataFrame:
@@ -45,7 +43,7 @@ def best_of(partial: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def nra(values: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, steps: int = STEPS) -> np.ndarray:
+def nra(values: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray | float = -np.inf, steps: int = STEPS) -> np.ndarray:
     """Rows that can be among each query's k best: a boolean (query, row) matrix.
 
     values: (rows, lists) whole numbers. Each list (a component) is sorted once and is read from its
@@ -53,8 +51,10 @@ def nra(values: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, steps:
     looked up by row. After each step a row's lower bound takes the worst value of every list where it
     is still unseen, and its upper bound the list's last value read. A query stops when no more rows
     than it needs have an upper bound that reaches its k-th lower bound; rows below that are out. own
-    marks a query's own row. All numbers are whole and under 2**53, so doubles keep them exact.
+    marks a query's own row; floor is what each query's k-th best is known to reach by rows of other blocks.
+    All numbers are whole and under 2**53, so doubles keep them exact.
     """
+    floor = np.broadcast_to(np.asarray(floor, dtype=np.float64), len(queries))
     n, d = values.shape
     order = np.argsort(values, axis=0, kind="stable")
     place = np.empty_like(order)
@@ -86,7 +86,7 @@ def nra(values: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, steps:
         inside = kept[np.ix_(live, rows)]
         worst[~inside] = -np.inf
         kth = np.partition(worst, len(rows) - k, axis=1)[:, len(rows) - k]
-        inside &= best >= kth[:, None]
+        inside &= best >= np.maximum(kth, floor[live])[:, None]
         kept[np.ix_(live, rows)] = inside
         live = live[inside.sum(axis=1) > k]
         read = now
@@ -102,7 +102,7 @@ def _meet(k: int):
             ids, asks = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
             own = asks[:, None] == ids[None, :]
             if np.abs(values).max() * np.abs(queries).max() * values.shape[1] < 2**53:
-                kept = nra(values, queries, own, k)
+                kept = nra(values, queries, own, k, right["floor"].to_numpy())
             else:  # doubles would round: bounds are of no use, whole numbers of any size are
                 kept = ~own
                 values, queries = (np.vectorize(int, otypes=[object])(x) for x in (values, queries))
@@ -127,11 +127,25 @@ def exact_top_k(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     vector, with an empty one, or with null or non-finite components take no part, and a query meets
     only vectors of its own dimension. Repeated rows all count. Other columns are not read. Scores beyond 2**53
     are exact too (without early stops); a score that does not fit into 64 bits is an error.
+
+    Each block of queries reads one block of rows first. The k-th score that a query finds there is a bound that
+    travels with it to the other blocks, whose lists need not be read below it.
     """
-    left, right = blocked(usable(df, id_col, vec_col), usable(queries, id_col, vec_col), VECTORS, QUERIES)
-    keys = ("dim", "vb", "qb")
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_meet(k), PARTIAL)
-    return best_of(met, k)
+    rows, asks = (usable(x, id_col, vec_col).withColumn("dim", F.size("vec")) for x in (df, queries))
+    nv, nq = (max(1, -(-x.count() // per)) for x, per in ((rows, VECTORS), (asks, QUERIES)))
+    left, right = sent_to(dealt(rows, "vb", nv), "qb", nq), dealt(asks, "qb", nq, "vec_id")
+    home = F.pmod(F.xxhash64("qb"), F.lit(nv)).cast("int")
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        keys = ("dim", "vb", "qb")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_meet(k), PARTIAL)
+
+    low = F.lit(float("-inf"))
+    first = written(met(left.where(F.col("vb") == home), right.withColumn("vb", home).withColumn("floor", low)), "top-k-first")
+    floors = best_of(first, k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score").cast("double")).alias("floor"))
+    bounded = right.join(floors, right["vec_id"] == floors["query_id"], "left").select(*right.columns, F.coalesce("floor", low).alias("floor"))
+    rest = met(left.where(F.col("vb") != home), sent_to(bounded, "vb", nv).where(F.col("vb") != home))
+    return best_of(first.unionByName(rest), k)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,19 +251,53 @@ def test_nra_stops_early_and_keeps_ties():
     assert kept[0, 3] and kept[0, 7] and kept.sum() < 20
 
 
+def test_bounds_of_another_block_lose_nothing():
+    rng = np.random.default_rng(3)
+    values, queries = np.floor(100 * rng.normal(size=(400, 6))), np.floor(100 * rng.normal(size=(5, 6)))
+    own, scores = np.zeros((5, 400), dtype=bool), queries @ values.T
+    floor = np.sort(scores, axis=1)[:, -4]
+    kept = topk.nra(values, queries, own, 10, floor)
+    assert (kept | (scores < floor[:, None])).all() and kept.sum() <= topk.nra(values, queries, own, 10).sum()
+
+
+def test_exact_top_k_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "VECTORS", 20)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rng = np.random.default_rng(5)
+    rows = [(i % 40 if i < 160 else 0, [float(x) for x in rng.integers(-3, 4, size=4)], 0, 1) for i in range(240)]
+    df = spark.createDataFrame(rows, VECS)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.exact_top_k(df, df.where("vec_id % 10 = 0"), k=6).collect())
+    want = []
+    for q in (0, 10, 20, 30):
+        pairs = sorted((-int(1024 * np.array(x) @ (1024 * np.array(y))), i) for j, x, *_ in rows if j == q for i, y, *_ in rows if i != q)[:6]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(pairs)]
+    assert got == sorted(want)
+
+
 def test_anisotropic_search_recall_and_exact_scores(spark, monkeypatch):
-    monkeypatch.setattr(ann, "VECTORS", 150)
-    rows, df = vectors(spark, 600, d=16, seed=2)
+    monkeypatch.setattr(ann, "VECTORS", 1000)
+    monkeypatch.setattr(ann, "QUERIES", 100)
+    rows, df = vectors(spark, 6000, d=16, seed=2)
     df, rows = df.where("vec_id is null or vec_id <> 3"), [r for r in rows if r[0] != 3]
     got = [tuple(r) for r in ann.search(df, df.where("vec_id % 20 = 0"), k=20).collect()]
-    want = ranked(rows, lambda q: q % 20 == 0, 20, lambda x, y: float(x @ y), False)
-    pairs = {(q, i) for q, _, i, _ in want}
-    assert len(got) == len(want) and len(pairs & {(q, i) for q, _, i, _ in got}) / len(pairs) >= 0.9
-    exact = {(q, i): s for q, _, i, s in ranked(rows, lambda q: q % 20 == 0, 10**6, lambda x, y: float(x @ y), False)}
-    assert all(abs(exact[q, i] - s) < 1e-9 for q, _, i, s in got)
+    ok = [(i, np.array(v, dtype=np.float64)) for i, v, *_ in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    ids, all_of = np.array([i for i, v in ok if len(v) == 16]), np.stack([v for _, v in ok if len(v) == 16])
+    scores = {i: all_of @ v for i, v in ok if i % 20 == 0}
+    pairs = {(q, i) for q, s in scores.items() for i in ids[ids != q][np.argsort(-s[ids != q])[:20]]}
+    assert len(got) == len(pairs) and len(pairs & {(q, i) for q, _, i, _ in got}) / len(pairs) >= 0.9
+    place = {int(i): n for n, i in enumerate(ids)}
+    assert all(abs(scores[q][place[i]] - s) < 1e-9 for q, _, i, s in got)
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_search_of_few_rows_finds_all(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TRAIN", 4)
+    rows, df = vectors(spark, 30, d=4, seed=4)
+    got = sorted((r.query_id, r.vec_id) for r in ann.search(df, df.where("vec_id in (0, 20, 34)"), k=50).collect())
+    ok = [(i, len(v)) for i, v, *_ in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    assert got == sorted((q, i) for q, d in ok if q in (0, 20, 34) for i, e in ok if i != q and d == e)
+
+
 def test_parallel_residuals_weigh_more(monkeypatch):
     x = np.random.default_rng(0).normal(size=(800, 64))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
