@@ -192,9 +192,11 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_scan(books, share(rerank * k, nv)), FOUND)
     order = Window.partitionBy("asked").orderBy(F.desc("near"), "row")
     best = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rerank * k).select("asked", "row")
-    product = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
+    # vectors that came as floats travel as floats, which loses nothing; the products are of doubles
+    light = F.col("vec").cast("array<float>" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>")
+    product = F.aggregate(F.zip_with(F.col("x").cast("array<double>"), "y", lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
     scored = (
-        best.join(index.select("row", "vec_id", F.col("vec").alias("x")), "row")
+        best.join(index.select("row", "vec_id", light.alias("x")), "row")
         .join(asks.select("asked", F.col("vec_id").alias("query_id"), F.col("vec").alias("y")), "asked")
         .select("query_id", "vec_id", product.alias("score"))
     )
