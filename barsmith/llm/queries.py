@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barsmith.llm import ann, bpe, html_text, langid, mixing, ngram_join, secrets, substrings, topk, warc
+from barsmith.llm import ann, bpe, html_text, langid, mixing, ngram_join, secrets, substrings, topk, warc, whitening
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8,
     "op9_ann_search": ann.op9,
     "op10_warc": warc.op10,
+    "op13_whitening": whitening.op13,
 }
 
 ORACLE_SQL = {
