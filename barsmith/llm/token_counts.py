@@ -309,15 +309,15 @@ def count_prefixes(docs: DataFrame, path: str, text_col: str = "text", then=COUN
     new = [x.split()[0] for x in added.split(", ")]
     names = [c for c in docs.columns if c not in new]
     quoted = lambda c: "`" + c.replace("`", "``") + "`"
-    kept = docs.select(*map(quoted, names))
-    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in kept.schema)
+    kept = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)))  # Spark resolves no dots here
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
+    text = f"c{names.index(text_col)}"
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for part in small([batch], 256, text_col):
-                yield part.assign(**columns(text_counts(path, [x or "" for x in part[text_col]])))
+        for part in small(batches, 256, text):
+            yield part.assign(**columns(text_counts(path, [x or "" for x in part[text]])))
 
-    return kept.mapInPandas(run, f"{schema}, {added}")
+    return kept.mapInPandas(run, f"{schema}, {added}").toDF(*names, *new)
 
 
 def truncate(docs: DataFrame, path: str, budget: int, text_col: str = "text") -> DataFrame:
