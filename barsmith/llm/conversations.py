@@ -561,9 +561,11 @@ dealt as (
 hurt as (
   select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
   from dealt, unnest(case kind when 0 then [] when 3 then [0, 1] else [0] end) as c(copy)),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as p from hurt),
 seen as (
-  select *, row_number() over w as p, left(role, 1) as initial, left(lag(role) over w, 1) || left(role, 1) as pair,
-         not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, row_number() over (partition by conv_id, role, text order by turn nulls first) > 1 as again,
+  select *, left(role, 1) as initial, left(lag(role) over w, 1) || left(role, 1) as pair,
+         not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, row_number() over (partition by conv_id, role, text order by p) > 1 as again,
          right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) not in ('.', '!', '?') as open
   from placed window w as (partition by conv_id order by p)),
 faults as (
