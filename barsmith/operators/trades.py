@@ -35,12 +35,13 @@ def label_exits(entries: DataFrame, bars: DataFrame, stop: float, trail: float,
     return out.select("ticker", "entry_date", "entry_price", F.col("x.date").alias("exit_date"), F.col("x.reason").alias("reason"), F.col("x.fill").alias("exit_price"))
 
 
-def admit(trades: DataFrame, slots: int) -> DataFrame:
-    """Greedy admission per book: trades in order of entry (then ticker) take a free slot until they exit.
-    One book's trades are one group; books run in parallel."""
+def admit(trades: DataFrame, slots: int, priority: str | None = None) -> DataFrame:
+    """Greedy admission per book: trades in order of entry (then of falling priority, then ticker) take a free slot
+    until they exit. One book's trades are one group; books run in parallel."""
 
     def one(book: pd.DataFrame) -> pd.DataFrame:
-        book = book.sort_values(["entry_date", "ticker"])
+        by = ["entry_date", *([priority] if priority else []), "ticker"]
+        book = book.sort_values(by, ascending=[b != priority for b in by])
         busy: list = []
         taken = []
         for entry, exit_ in zip(book["entry_date"], book["exit_date"], strict=True):

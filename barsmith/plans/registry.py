@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barsmith.plans import factors, features, markets, relational, research, screening, serving, signals, statistics, timeline  # noqa: F401
+from barsmith.plans import books, factors, features, markets, relational, research, screening, serving, signals, statistics, timeline  # noqa: F401
 from barsmith.plans.base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "a9_v8_trade_outcomes"
