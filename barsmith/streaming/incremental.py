@@ -1,15 +1,16 @@
-"""Incremental forms on Structured Streaming: deduplicated appends, upserts and trade sessions by micro-batch."""
+"""Incremental forms on Structured Streaming: deduplicated appends, last writes, windows, and keyed state by ticker."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import datetime as dt
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from barsmith.operators.sessions import step_sessions
-from barsmith.operators.writes import insert_or_replace
+_DAY_MS = 86_400_000
+_EPOCH = dt.date(1970, 1, 1)
 
 
 def first_writes(stream: DataFrame, keys: Sequence[str], at: str, delay: str) -> DataFrame:
@@ -22,36 +23,106 @@ def window_counts(stream: DataFrame, at: str, key: str, width: str, delay: str)
     return stream.withWatermark(at, delay).groupBy(F.window(at, width), key).agg(F.count(F.lit(1)).alias("n")).select("window.start", key, "n")
 
 
-class Versions:
-    """A table as numbered Parquet versions in a folder: a batch writes version k + 1 from version k, so a batch
-    that runs again after a failure writes the same version again."""
+def last_writes(stream: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """The last row, by `at`, of each key (update mode: a key comes again when it changes)."""
+    rest = [c for c in stream.columns if c not in keys]
+    return stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("x")).select(*keys, "x.*")
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder, schema
 
-    def read(self, version: int) -> DataFrame:
-        if version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v={version}")
+class _InOrder(StatefulProcessor):
+    """Days of a ticker, taken in the order of their date however they arrive.
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/v={version}")
+    A day waits in map state until its timer, at the day itself, fires: then the watermark has passed it and nothing
+    earlier can come. What has been seen so far is one row of value state. Both live in the state store, so a query
+    that starts again from its checkpoint goes on where it was.
+    """
 
+    fields: Sequence[str]  # boolean columns of a day
+    state: str  # schema of the value state
+    start: tuple
 
-def by_batch(stream: DataFrame, table: Versions, step: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Run (state, batch) -> state over the available input; batch k makes version k."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "day int", ", ".join(f"{f} boolean" for f in self.fields))
+        self.now = handle.getValueState("now", self.state)
 
-    def run(batch: DataFrame, number: int) -> None:
-        table.write(step(table.read(number - 1), batch), number)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for r in rows:
+            day = (r["date"] - _EPOCH).days
+            self.waiting.updateValue((day,), tuple(bool(r[f]) for f in self.fields))
+            self.handle.registerTimer(day * _DAY_MS)
+        return iter([])
 
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs() // _DAY_MS
+        ready = sorted((k[0], tuple(v)) for k, v in self.waiting.iterator() if k[0] <= passed)
+        now = tuple(self.now.get()) if self.now.exists() else self.start
+        for day, flags in ready:
+            now, events = self.step(now, _EPOCH + dt.timedelta(day), *flags)
+            self.waiting.removeKey((day,))
+            for event in events:
+                yield Row(ticker=key[0], **event)
+        self.now.update(now)
 
+    def step(self, now: tuple, day: dt.date, *flags: bool) -> tuple[tuple, list[dict]]:
+        raise NotImplementedError
 
-def upsert_stream(stream: DataFrame, table: Versions, keys: Sequence[str], checkpoint: str) -> StreamingQuery:
-    """The last write of every key. Rows of one batch have distinct keys."""
-    return by_batch(stream, table, lambda old, new: insert_or_replace(old, new, keys), checkpoint)
 
+class Sessions(_InOrder):
+    """Value state: sessions so far, entry day of the open one, last day of the run of holds."""
 
-def session_stream(days: DataFrame, table: Versions, checkpoint: str) -> StreamingQuery:
-    """Trade sessions kept up to date; every batch is one day (ticker, date, hold, signal)."""
-    return by_batch(days, table, step_sessions, checkpoint)
+    fields, state, start = ("hold", "signal"), "n int, entry date, last date", (0, None, None)
+    schema = "ticker string, event string, session_id int, entry_date date, exit_date date, last_hold date"
+
+    def step(self, now: tuple, day: dt.date, hold: bool, signal: bool) -> tuple[tuple, list[dict]]:
+        n, entry, last = now
+        if not hold:
+            closed = [] if entry is None else [{"event": "close", "session_id": n, "entry_date": entry, "exit_date": day, "last_hold": last}]
+            return (n, None, None), closed
+        if entry is None and signal:
+            return (n + 1, day, day), [{"event": "open", "session_id": n + 1, "entry_date": day, "exit_date": None, "last_hold": day}]
+        return (n, entry, day), []
+
+
+class Membership(_InOrder):
+    """Value state: is the ticker a member, was it ever, fails in a row."""
+
+    fields, state, start = ("passes",), "active boolean, seen boolean, fails int", (False, False, 0)
+    schema = "ticker string, effective_date date, is_active boolean"
+
+    def __init__(self, grace: int) -> None:
+        self.grace = grace
+
+    def step(self, now: tuple, day: dt.date, passes: bool) -> tuple[tuple, list[dict]]:
+        active, seen, fails = now
+        if passes:
+            return (True, True, 0), [] if active else [{"effective_date": day, "is_active": True}]
+        if active and fails + 1 >= self.grace:
+            return (False, seen, fails + 1), [{"effective_date": day, "is_active": False}]
+        return (active, seen, fails + 1), []
+
+
+def _by_ticker(days: DataFrame, processor: _InOrder, delay: str) -> DataFrame:
+    timed = days.withColumn("ts", F.col("date").cast("timestamp")).withWatermark("ts", delay)
+    return timed.groupBy("ticker").transformWithState(processor, processor.schema, "Append", "EventTime")
+
+
+def session_events(days: DataFrame, delay: str) -> DataFrame:
+    """Trade sessions as they open and close: stream (ticker, date, hold, signal) in any order within `delay`.
+
+    One "open" row at the first signal of a run of holds, one "close" row at the first day after the run; together
+    they are the rows of trade_sessions() over all days that the watermark has passed. Of repeated days the last one
+    counts; days that come later than delay are dropped. Needs the RocksDB state store (see use_rocksdb()).
+    """
+    return _by_ticker(days, Sessions(), delay)
+
+
+def membership_events(days: DataFrame, grace: int, delay: str) -> DataFrame:
+    """The membership log as it grows: stream (ticker, date, passes) in any order within `delay`; entry at a pass, exit at
+    the grace-th fail in a row. Order, repeats and late days as for session_events()."""
+    return _by_ticker(days, Membership(grace), delay)
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keyed state with timers is kept by this state store alone."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

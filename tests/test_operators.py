@@ -93,14 +93,6 @@ def test_quality_verdicts(spark):
 
 
 def test_streams(spark, tmp_path):
-    source = f"{tmp_path}/in"
-    spark.createDataFrame([("A", day(0), True, True), ("B", day(0), True, False)], "ticker string, date date, hold boolean, signal boolean").coalesce(1).write.parquet(f"{source}/d=0")
-    spark.createDataFrame([("A", day(1), False, False), ("B", day(1), True, True)], "ticker string, date date, hold boolean, signal boolean").coalesce(1).write.parquet(f"{source}/d=1")
-    schema = "ticker string, date date, hold boolean, signal boolean"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
-    table = incremental.Versions(spark, f"file://{tmp_path}/state", "ticker string, entry_date date, exit_date date")
-    incremental.session_stream(stream, table, f"{tmp_path}/check").awaitTermination(120)
-    assert sorted(map(tuple, table.read(1).collect()), key=str) == [("A", day(0), day(1)), ("B", day(1), None)]
     rows = [(dt.datetime(2024, 1, 1, 0, m), "x") for m in (0, 0, 30, 59)]
     spark.createDataFrame(rows, "ts timestamp, k string").write.parquet(f"{tmp_path}/events")
     events = spark.readStream.schema("ts timestamp, k string").parquet(f"{tmp_path}/events")
