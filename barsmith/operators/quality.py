@@ -92,3 +92,18 @@ def feature_checks(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> Dat
         for n, (lo, hi) in ranges.items()
     ]
     return df.agg(F.array(*parts).alias("f")).select(F.inline("f"))
+
+
+def panel_gaps(panels: DataFrame, key: str, calendar: DataFrame) -> DataFrame:
+    """key, missing, first_missing, last_missing: calendar days between a panel's first and last day without any row of it.
+
+    Calendar days get numbers, one row a day; a panel's gaps are the jumps in the numbers of its own days. So no panel
+    meets the calendar's every day, only its own."""
+    number = F.row_number().over(Window.orderBy("date"))
+    days = calendar.select("date").distinct().withColumn("n", number)  # one row a day
+    mine = panels.select(key, "date").distinct().join(days, "date")
+    line = Window.partitionBy(key).orderBy("n")
+    jumps = mine.withColumns({"next": F.lead("n").over(line)}).where(F.col("next") > F.col("n") + 1)
+    ends = jumps.groupBy(key).agg(F.sum(F.col("next") - F.col("n") - 1).alias("missing"), (F.min("n") + 1).alias("first_n"), (F.max("next") - 1).alias("last_n"))
+    first, last = days.select(F.col("n").alias("first_n"), F.col("date").alias("first_missing")), days.select(F.col("n").alias("last_n"), F.col("date").alias("last_missing"))
+    return ends.join(first, "first_n").join(last, "last_n").select(key, "missing", "first_missing", "last_missing")

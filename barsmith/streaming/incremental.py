@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +32,9 @@ def last_writes(stream: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
 class _InOrder(StatefulProcessor):
     """Days of a ticker, taken in the order of their date however they arrive.
 
-    A day waits in map state until its timer, at the day itself, fires: then the watermark has passed it and nothing
-    earlier can come. What has been seen so far is one row of value state. Both live in the state store, so a query
-    that starts again from its checkpoint goes on where it was.
+    Days wait in list state until a timer, at the last day of the batch that brought them, fires: then the watermark has
+    passed them and nothing earlier can come. What has been seen so far is one row of value state. Both live in the
+    state store, so a query that starts again from its checkpoint goes on where it was.
     """
 
     fields: Sequence[str]  # boolean columns of a day
@@ -43,25 +43,31 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "day int", ", ".join(f"{f} boolean" for f in self.fields))
+        self.waiting = handle.getListState("waiting", "day int, " + ", ".join(f"{f} boolean" for f in self.fields))
         self.now = handle.getValueState("now", self.state)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for r in rows:
-            day = (r["date"] - _EPOCH).days
-            self.waiting.updateValue((day,), tuple(bool(r[f]) for f in self.fields))
-            self.handle.registerTimer(day * _DAY_MS)
+        days = [((r["date"] - _EPOCH).days, *(bool(r[f]) for f in self.fields)) for r in rows]
+        self.waiting.appendList(days)
+        self.handle.registerTimer(max(d[0] for d in days) * _DAY_MS)  # one timer a batch
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() // _DAY_MS
-        ready = sorted((k[0], tuple(v)) for k, v in self.waiting.iterator() if k[0] <= passed)
+        waiting = [tuple(d) for d in self.waiting.get()]
+        ready = {d[0]: d[1:] for d in waiting if d[0] <= passed}  # of repeated days the last one
+        if not ready:
+            return
         now = tuple(self.now.get()) if self.now.exists() else self.start
-        for day, flags in ready:
-            now, events = self.step(now, _EPOCH + dt.timedelta(day), *flags)
-            self.waiting.removeKey((day,))
+        for day in sorted(ready):
+            now, events = self.step(now, _EPOCH + dt.timedelta(day), *ready[day])
             for event in events:
                 yield Row(ticker=key[0], **event)
+        left = [d for d in waiting if d[0] > passed]
+        if left:
+            self.waiting.put(left)
+        else:
+            self.waiting.clear()
         self.now.update(now)
 
     def step(self, now: tuple, day: dt.date, *flags: bool) -> tuple[tuple, list[dict]]:
@@ -126,3 +132,22 @@ def membership_events(days: DataFrame, grace: int, delay: str) -> DataFrame:
 def use_rocksdb(spark: SparkSession) -> None:
     """Keyed state with timers is kept by this state store alone."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def replay(days: DataFrame, make: Callable[[DataFrame], DataFrame], cuts: Sequence[str], folder: str) -> DataFrame:
+    """What make(stream) appends while a table of days (with ticker and date) comes in batches cut at the given dates,
+    with a last batch of a far day that moves the watermark over all of them. The batches, the checkpoint and the
+    output are in the folder, which driver and executors share. A batch has as many files as a shuffle has partitions."""
+    spark = days.sparkSession
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = [None, *cuts, None]
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        part = days if lo is None else days.where(F.col("date") >= F.lit(lo).cast("date"))
+        part = part if hi is None else part.where(F.col("date") < F.lit(hi).cast("date"))
+        part.coalesce(files).write.mode("append").parquet(f"{folder}/in")
+    end = days.agg(F.max("date").alias("date")).select(*[F.date_add("date", 3650).alias(c) if c == "date" else F.lit(None).cast(k).alias(c) for c, k in days.dtypes])
+    end.write.mode("append").parquet(f"{folder}/in")
+    out = make(spark.readStream.schema(days.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"))
+    run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check")
+    run.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
