@@ -133,7 +133,8 @@ def exact_top_k(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     """
     rows, asks = (usable(x, id_col, vec_col).withColumn("dim", F.size("vec")) for x in (df, queries))
     nv, nq = (max(1, -(-x.count() // per)) for x, per in ((rows, VECTORS), (asks, QUERIES)))
-    left, right = sent_to(dealt(rows, "vb", nv), "qb", nq), dealt(asks, "qb", nq, "vec_id")
+    # Both jobs below must see a row in one and the same block: the dealing follows how files are read, so it is written.
+    left, right = sent_to(written(dealt(rows, "vb", nv), "top-k-rows"), "qb", nq), dealt(asks, "qb", nq, "vec_id")
     home = F.pmod(F.xxhash64("qb"), F.lit(nv)).cast("int")
 
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
