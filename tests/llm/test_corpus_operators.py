@@ -194,7 +194,59 @@ def test_the_schedule_is_bounded_beside_a_tiny_source(spark):
     targets = mixing.source_targets(df.select("source", mixing.word_count(F.col("text")).alias("size")))
     assert mixing.schedule(targets).count() <= mixing.SLOTS + 2
     by = {r.source: r for r in mixing.mix_sources(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
-    assert all(abs(r.taken - r.target) <= 1 for r in by.values())
+    assert all(abs(r.taken - r.target) <= 3 * mixing.block_words(1_000_002) for r in by.values()) and by["small"].taken == 6
+
+
+def test_the_schedule_decides_the_mix(spark, monkeypatch):
+    rows = [(i, " ".join(["w"] * (1 + i % 40)), "abcdef"[i % 6 if i % 7 else 0]) for i in range(4000)] + [(None, "same words here", "b")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = df.selectExpr("doc_id", "text", "'en' as lang", "source", "cast(length(text) as long) as n_chars")
+    monkeypatch.setattr(mixing, "SLOTS", 512)
+    got = mixing.mix_sources(df).collect()
+    shares = {x.source: x.target for x in got}
+    total = sum(shares.values())
+    block = mixing.block_words(total)
+    by = Counter()
+    for x in got:
+        by[x.source] += x.taken
+    assert block > 100 and all(by[s] % block == 0 or by[s] == 3 * sum(x.size for x in got if x.source == s) for s in by)  # whole blocks, or all there is
+    assert all(abs(by[s] - shares[s]) <= 4 * block for s in by)
+    pieces = sorted((x.slot, x.source, x.words) for x in mixing.placements(df).where("words > 0").collect())
+    seen, all_words = Counter(), sum(p[2] for p in pieces)
+    for k, (_, source, words) in enumerate(pieces):  # every prefix of the slots is near the shares
+        seen[source] += words
+        if k % 200 == 199:
+            now = sum(seen.values())
+            assert all(abs(seen[s] - now * by[s] / all_words) <= 6 * block for s in by)
+    mixed = mixing.mixed_documents(docs)
+    assert sum(len(x.text.split()) for x in mixed.collect()) == sum(by.values())
+    tenth = Counter(x.source for x in mixed.limit(mixed.count() // 10).collect())
+    assert set(tenth) == set(by)
+    monkeypatch.setattr(mixing, "STEP", 1)  # points in order: the sources come one after the other
+    other = mixing.mix_sources(df).collect()
+    assert {x.source: 0 for x in other if x.slot is not None and x.slot < 40} == {"a": 0}
+    assert sorted(map(str, other)) != sorted(map(str, got))
+
+
+
+def test_top_k_deals_rows_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(topk, "VECTORS", 64)
+    rows = [(i, [float((i * 37 + j * 11) % 101) / 101 - 0.5 for j in range(6)]) for i in range(600)]
+    schema = "vec_id long, embedding array<double>"
+    for k in range(3):
+        spark.createDataFrame(rows[200 * k:200 * k + 200], schema).repartition(5).write.mode("append").parquet(f"{tmp_path}/vectors")
+    df = spark.read.parquet(f"{tmp_path}/vectors")
+    key = "spark.sql.files.minPartitionNum"
+    found = topk.exact_top_k(df, df.where("vec_id % 9 = 0"))
+    spark.conf.set(key, "1")  # the files are read in another packing from here on
+    try:
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in found.collect()}
+    finally:
+        spark.conf.unset(key)
+    whole = [[int(np.floor(1024 * x)) for x in v] for _, v in rows]
+    for q in range(0, 600, 9):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in range(600) if i != q)[:10]
+        assert [got[q, r] for r in range(1, 11)] == [(i, -s) for s, i in best]
 
 
 VECS = "vec_id long, embedding array<float>, label int, dim int"
