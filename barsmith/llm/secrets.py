@@ -49,13 +49,16 @@ ISSUED = {
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _ISSUED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in ISSUED.items() if k != "private_key"))
 _PRIVATE_KEY = re.compile(ISSUED["private_key"])
-_RANDOM = re.compile(r"(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}")
+_RANDOM = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 _IN_URL = re.compile(r"://[^\s/:@\"'<>]{0,128}:([^\s/\"'<>]{3,256})@(?=[\w\[])")
 _OPERATOR = re.compile(r"[:=]")
 _NAME = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?)[\"']?[ \t]*:?$", re.IGNORECASE)
 _VALUE = re.compile(r"[ \t]*[\"']?([^\s\"'<>,;=]{6,})")
 #: Characters around a candidate in which neighbouring words are looked for.
 NEAR = 48
+#: Characters from which on an assigned value is one value, whatever is assigned inside it.
+LONG_VALUE = 4096
 #: The forest: trees, depth, fewest findings in a leaf; labelled findings it is fitted on at most.
 TREES, DEPTH, LEAST, LABELLED = 30, 8, 3, 6000
 
@@ -75,10 +78,14 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
         spans += [(1, m.start(1), m.end(1), "url") for m in _IN_URL.finditer(text)]
     for run in _RUN.finditer(text):
         spans += [(0, m.start(), m.end(), m.lastgroup) for m in _ISSUED.finditer(text, run.start(), run.end())]
-        spans += [(2, m.start(), m.end(), "random") for m in _RANDOM.finditer(text, run.start(), run.end())]
+        for m in _RANDOM.finditer(text, run.start(), run.end()):
+            if _DIGIT.search(text, *m.span()) and _LETTER.search(text, *m.span()):
+                spans.append((2, m.start(), m.end(), "random"))
+    covered = 0  # end of the last very long value: what is assigned inside it is part of it
     for m in _OPERATOR.finditer(text):
-        if _NAME.search(text, max(0, m.start() - 24), m.start()) and (v := _VALUE.match(text, m.end())):
+        if m.end() >= covered and _NAME.search(text, max(0, m.start() - 24), m.start()) and (v := _VALUE.match(text, m.end())):
             spans.append((1, v.start(1), v.end(1), "assigned"))
+            covered = v.end(1) if v.end(1) - v.start(1) > LONG_VALUE else covered
     taken: list[tuple[int, int, str]] = []  # sorted, without overlaps
     for _, a, b, rule in sorted(spans):
         k = bisect.bisect_left(taken, (a,))

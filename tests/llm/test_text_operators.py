@@ -1,5 +1,7 @@
 """Language ID, BPE, HTML, secrets: edge cases, exactness against the library, held-out accuracy."""
 
+import re
+import time
 import hashlib
 import random
 
@@ -212,3 +214,20 @@ def test_passwords_in_urls_and_private_keys_of_any_form():
         assert [text[a:b] for a, b, _, _ in secrets.scan_texts([text], forest, 0.5)[0]] == [secret], text
     for text in ("postgres://user:password@host/db", "https://example.com:8080/a@b", "mysql://root:${DB_PASSWORD}@db/x", f"the line {begin} opens a block of words"):
         assert secrets.scan_texts([text], forest, 0.5) == [[]], text
+
+
+@pytest.mark.parametrize("text", ["A" * 10**6, "GATTACA" * 150_000, "-" * 10**6, "/" * 10**6, "a/b_c-" * 160_000, "password:" * 110_000, "0123456789" * 100_000, "x1" * 500_000])
+def test_candidates_of_long_runs_take_linear_time(text):
+    began = time.time()
+    found = list(secrets.candidates(text))
+    assert time.time() - began < 5 and len(found) <= 2
+
+
+def test_random_candidates_as_one_by_one():
+    """Against the definition: a maximal run of at least 16 characters that has a letter and a digit, with its padding."""
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("ab1A/_-=. \n") for _ in range(120))
+        runs = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]+={0,2}", text)]
+        want = [(a, b) for a, b in runs if len(text[a:b].rstrip("=")) >= 16 and re.search("[0-9]", text[a:b]) and re.search("[A-Za-z]", text[a:b])]
+        assert [(a, b) for a, b, rule in secrets.candidates(text) if rule == "random"] == want
