@@ -63,9 +63,11 @@ def next_event(left: DataFrame, events: DataFrame, key: str, at: str, event_at:
 
 
 def fill_calendar(series: DataFrame, key: str, at: str, values: Sequence[str], calendar: DataFrame) -> DataFrame:
-    """Every key on every calendar day from its first row on, values carried forward."""
+    """Every key on every calendar day from its first row on, values carried forward. The calendar travels as one array of
+    its days, of which each key takes those from its first row on."""
     spans = series.groupBy(key).agg(F.min(at).alias("__lo"))
-    grid = spans.join(calendar.select(F.col(at)), calendar[at] >= spans["__lo"]).select(key, at)
+    days = calendar.agg(F.collect_set(at).alias("__days"))  # one row, an entry a day
+    grid = spans.crossJoin(F.broadcast(days)).select(key, F.explode(F.filter("__days", lambda d: d >= F.col("__lo"))).alias(at))
     joined = grid.join(series.select(key, at, *values), [key, at], "left")
     w = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(key, at, *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values])

@@ -33,8 +33,9 @@ def canonical_key(name) -> Column:
 
 def sections(df: DataFrame, text: str, headings: Sequence[str]) -> DataFrame:
     """df's rows by section: heading (exact line) and the body up to the next heading."""
-    marked = F.regexp_replace(F.concat(F.lit("\n"), F.col(text), F.lit("\n")), "\n(" + "|".join(headings) + ")\n", "\u0001$1\u0002")
-    part = F.explode(F.slice(F.split(marked, "\u0001"), 2, 1 << 20)).alias("__p")
+    marked = F.regexp_replace(F.concat(F.lit("\n"), F.col(text), F.lit("\n")), "\n(" + "|".join(headings) + ")(?=\n)", "\u0001$1\u0002")
+    parts = F.split(marked, "\u0001")
+    part = F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("__p")
     d = df.select(*[c for c in df.columns if c != text], part)
     return d.select(*[c for c in d.columns if c != "__p"], F.split("__p", "\u0002")[0].alias("heading"), F.regexp_replace(F.split("__p", "\u0002")[1], r"^\s+|\s+$", "").alias("body"))
 

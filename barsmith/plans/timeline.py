@@ -142,10 +142,9 @@ def l6(spark, sf_dir):
 
 @query("l8_label_audit", with_views("bars", sql=f"""select a.ticker, a.date, {rounded_sql('max(b.high) / a.close - 1')} as mfe from bars a join bars b on a.ticker = b.ticker and b.date > a.date and b.date <= a.date + 30 group by a.ticker, a.date, a.close"""))
 def l8(spark, sf_dir):
-    x = t.bars(spark, sf_dir)
-    y = x.select(F.col("ticker").alias("k"), F.col("date").alias("d"), F.col("high").alias("h"))
-    near = (F.col("k") == F.col("ticker")) & (F.col("d") > F.col("date")) & (F.col("d") <= F.date_add("date", 30))
-    return x.join(y, near).groupBy("ticker", "date", "close").agg(F.max("h").alias("h")).select("ticker", "date", rounded(F.col("h") / F.col("close") - 1).alias("mfe"))
+    ahead = Window.partitionBy("ticker").orderBy(F.unix_date("date")).rangeBetween(1, 30)
+    d = t.bars(spark, sf_dir).withColumn("h", F.max("high").over(ahead)).where("h is not null")
+    return d.select("ticker", "date", rounded(F.col("h") / F.col("close") - 1).alias("mfe"))
 
 
 ENTRIES = """entries as (select ticker, date as entry_date, score from (select * from scores where score >= 0.95 qualify row_number() over (partition by date order by score desc, ticker) <= 2) qualify row_number() over (partition by ticker order by date) = 1)"""

@@ -84,6 +84,8 @@ def test_text_jobs(spark):
     r = d.select(text.grounded(text.normalise(F.col("q")), text.normalise(F.col("doc"))).alias("g"), text.canonical_key(F.col("name")).alias("k")).first()
     assert r.g and r.k == "foo-bar"
     assert [(x.heading, x.body) for x in text.sections(d.select("report"), "report", ["Risks", "Summary"]).collect()] == [("Risks", "a b"), ("Summary", "c")]
+    close = spark.createDataFrame([("x\nRisks\nSummary\nc\nRisks",)], "report string")
+    assert [(x.heading, x.body) for x in text.sections(close, "report", ["Risks", "Summary"]).collect()] == [("Risks", ""), ("Summary", "c"), ("Risks", "")]
 
 
 def test_quality_verdicts(spark):
