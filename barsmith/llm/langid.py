@@ -15,7 +15,7 @@ from barsmith.llm.common import batches_of, mix, small, written
 #: N-grams of these lengths are hashed into so many features.
 LENGTHS, FEATURES = (1, 2, 3), 1 << 16
 #: Labelled documents that the classifier is fitted on at most: of each language (those with the smallest hash),
-#: and in all; languages at most (the model has FEATURES weights for each).
+#: and in all; languages that it learns at most (the model has FEATURES weights for each): the most frequent ones.
 SAMPLE, SAMPLED, LANGUAGES = 1500, 60_000, 500
 #: Parts of a language that are ranked by themselves first.
 PARTS = 64
@@ -126,21 +126,21 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def fit(train: DataFrame, sample: int = SAMPLE) -> Model | None:
+def fit(train: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> Model | None:
     """A model from rows text, lang (neither null) and key (any column that tells rows apart).
 
     Document counts for IDF are over all rows. The regression sees at most sample keys of each language and
     SAMPLED in all, those with the smallest hashes, and is fitted on the driver. They are ranked in PARTS parts
     of each language first, so that no task ranks a whole language. Of rows of one key and language the
-    smallest text counts. None if there are no rows; more than LANGUAGES languages are an error.
+    smallest text counts. None if there are no rows. Of more than LANGUAGES values of lang the most frequent are
+    learnt (ties: the first by code point): a label column of noise costs nothing but its noise.
     """
     df, n = document_counts(train)
     if not n:
         return None
-    known = train.select("lang").distinct().count()
-    if known > LANGUAGES:
-        raise ValueError(f"{known} languages; a model holds {LANGUAGES}")
-    sample = min(sample, max(1, SAMPLED // known))
+    learnt = written(train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).select("lang"), "languages")
+    sample = min(sample, max(1, SAMPLED // learnt.count()))
+    train = train.join(F.broadcast(learnt), "lang", "left_semi")  # at most LANGUAGES rows
     part = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(PARTS))
     first = lambda rows, by: rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("key"), "key"))).where(F.col("__rank") <= sample)
     keys = first(train.select("key", "lang", part.alias("__part")).distinct(), ["lang", "__part"])

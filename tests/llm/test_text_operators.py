@@ -50,6 +50,15 @@ def test_the_sample_of_languages_is_bounded(spark, monkeypatch):
     assert model.languages == ["de", "en"] and seen[0] <= 51
 
 
+def test_of_many_languages_the_most_frequent_are_learnt(spark):
+    """A label column of noise: 501 values, of which two are frequent."""
+    words = {"x": "the cat sat on the mat", "y": "der hund lief durch den wald"}
+    rows = [(f"{words[c]} {k}", c, f"{c}{k}") for c in words for k in range(60)] + [(f"some text {k}", f"noise{k:03}", f"n{k}") for k in range(499)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string, key string"), most=3)
+    assert model.languages == ["noise000", "x", "y"]
+    assert [model.languages[int(model.scores(t).argmax())] for t in words.values()] == ["x", "y"]
+
+
 def test_language_id_without_labels_or_rows(spark):
     unlabelled = table(spark, ["some text", None], [None, None])
     assert [r.lang_pred for r in langid.identify(unlabelled).collect()] == ["und", "und"]
