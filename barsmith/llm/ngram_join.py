@@ -47,43 +47,42 @@ CELLS, GRAM_BYTES = 8, 6
 #: Documents that are asked for their sets by a broadcast list at most (16 bytes each); more go by a join.
 FEW = 1 << 21
 #: Bits of an n-gram's hash; bits of a set's parity bitmap.
-GRAM_BITS, BITMAP = 48, 512
+GRAM_BITS, BITMAP = 64, 512
 #: What a chunk gets: the set of a node, a pair whose other set is sent, a pair of its own.
 SET, FAR, LOCAL = 0, 1, 2
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_SHIFT, _MASK = np.uint64(GRAM_BITS), np.uint64((1 << GRAM_BITS) - 1)
 
 
 def shingle_sets(texts: list[bytes], n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """(document place, hash of GRAM_BITS bits) of all distinct n-grams, by document and hash; texts with fewer
-    than n words have their whole sequence as the only one. At most 65,536 texts."""
+    than n words have their whole sequence as the only one."""
     data = np.frombuffer(b"\n".join(texts).translate(_LOWER), dtype=np.uint8)
     starts, ends = word_spans(data)
     firsts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     count = np.diff(np.searchsorted(starts, firsts))
-    doc = np.repeat(np.arange(len(texts), dtype=np.uint64), count)
     words = word_hashes(data, starts, ends)
     grams = runs(words, n)
-    key = doc << _SHIFT
-    whole = doc[n - 1:] == doc[:len(grams)] if len(grams) else np.empty(0, dtype=bool)
-    keys = [(key[:len(grams)] | (grams >> np.uint64(64 - GRAM_BITS)))[whole]]
     first = np.cumsum(count) - count
-    for k in range(1, n):
-        few = np.flatnonzero(count == k)
-        if len(few):
-            one = np.array([runs(words[a:a + k], k, k)[0] for a in first[few]], dtype=np.uint64)
-            keys.append((few.astype(np.uint64) << _SHIFT) | (one >> np.uint64(64 - GRAM_BITS)))
-    found = np.sort(np.concatenate(keys))
-    if len(found):
-        found = found[np.concatenate([[True], found[1:] != found[:-1]])]
-    return (found >> _SHIFT).astype(np.int64), found & _MASK
-
-
-def nodes_of(docs: np.ndarray, values: np.ndarray, n_docs: int, clashes: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    value = np.empty(int(np.where(count >= n, count - n + 1, np.minimum(count, 1)).sum()), dtype=np.uint64)
+    doc = np.empty(len(value), dtype=np.int64)
+    at = 0
+    for i in np.flatnonzero(count):  # sorted one by one: short arrays, and no bits of the hash given up for the place
+        a, k = int(first[i]), int(count[i])
+        own = np.sort(grams[a:a + k - n + 1]) if k >= n else runs(words[a:a + k], k, k)
+        value[at:at + len(own)], doc[at:at + len(own)] = own, i
+        at += len(own)
+    if len(value):
+        new = np.concatenate([[True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])])
+        doc, value = doc[new], value[new]
+    return doc, value
+
+
+def nodes_of(docs: np.ndarray, values: np.ndarray, n_docs: int, clashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A 64-bit id of each document's set, 64 bits more (from two sums over its members), and its size.
 
-    clashes: ids that sets of different second halves share; such sets take an id made of both halves.
+    clashes: ids that sets of different second halves share; such sets take an id made of both halves, as
+    renamed() gives it.
     """
     size = np.bincount(docs, minlength=n_docs)
     at = np.concatenate([[0], np.cumsum(size)])
@@ -92,10 +91,21 @@ def nodes_of(docs: np.ndarray, values: np.ndarray, n_docs: int, clashes: dict |
         total = np.concatenate([[np.uint64(0)], np.cumsum(mix(values + np.uint64(salt)))])
         sums.append(mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64)))
     node, half = sums[0].astype(np.int64), sums[1].astype(np.int64)
-    if clashes:
-        for i in np.flatnonzero(np.isin(node, np.fromiter(clashes, dtype=np.int64))):
-            node[i] = mix(sums[0][i:i + 1] ^ mix(sums[1][i:i + 1]))[0].astype(np.int64)
-    return node, half, size
+    return node if clashes is None else told_apart(node, half, clashes), half, size
+
+
+def told_apart(node: np.ndarray, half: np.ndarray, clashes: np.ndarray) -> np.ndarray:
+    """The ids of sets, those among clashes replaced."""
+    node = node.copy()
+    for i in np.flatnonzero(np.isin(node, clashes)):
+        seed = xxhash.xxh64_intdigest(node[i].tobytes(), seed=42)
+        node[i] = np.uint64(xxhash.xxh64_intdigest(half[i].tobytes(), seed=seed)).astype(np.int64)
+    return node
+
+
+def renamed():
+    """The id that told_apart() gives a set whose first 64 bits another set has too."""
+    return F.xxhash64("node", "half")
 
 
 def bitmaps_of(docs: np.ndarray, values: np.ndarray, n_docs: int) -> list[bytes]:
@@ -215,15 +225,16 @@ def shared_cells(rows: DataFrame, bits: int, n: int) -> DataFrame:
     return found.groupBy("block").applyInPandas(merge_sketches, "chunk long, block long, answer binary")
 
 
-def prefixes(packed: DataFrame, answers: DataFrame, cell_bits: int, classes: np.ndarray, floor: float, clashes: dict, bits: int, percent: int, n: int) -> DataFrame:
+def prefixes(packed: DataFrame, answers: DataFrame, cell_bits: int, classes: np.ndarray, floor: float, bits: int, percent: int, n: int) -> DataFrame:
     """Prefix entries of each chunk's nodes under each order that other documents may share, by blocks of n-grams.
+    answers: what shared_cells() gives, and the chunk's clashing ids of sets as rows of their own (clash).
     Entries of n-grams in cells with more than HOT hits go, by node, to one of as many blocks more as keep a
     block's share at HOT."""
     known = packed.sparkSession.sparkContext.broadcast(classes)  # one byte for each of SKETCH cells
     hot_from = max(1, int(np.ceil(np.log2(max(HOT / floor, 1)))))
     names = ["ord", "block", "grams", "places", "nodes", "sizes"]
 
-    def entries(texts: list[bytes], shared: np.ndarray, out: list) -> None:
+    def entries(texts: list[bytes], shared: np.ndarray, clashes: np.ndarray, out: list) -> None:
         doc, value = shingle_sets(texts, n)
         node, _, size = nodes_of(doc, value, len(texts), clashes)
         once = np.zeros(len(texts), dtype=bool)
@@ -253,32 +264,22 @@ def prefixes(packed: DataFrame, answers: DataFrame, cell_bits: int, classes: np.
             cuts = np.flatnonzero(np.concatenate([[True], block[at][1:] != block[at][:-1]]))
             for a, b in zip(cuts, np.append(cuts[1:], len(at)), strict=True):
                 used, place = np.unique(doc[at[a:b]], return_inverse=True)
-                out.append((order, int(block[at[a]]), narrow(value[at[a:b]]), place.astype(np.uint16).tobytes(), node[used].tobytes(), size[used].astype(np.uint32).tobytes()))
+                out.append((order, int(block[at[a]]), value[at[a:b]].tobytes(), place.astype(np.uint16).tobytes(), node[used].tobytes(), size[used].astype(np.uint32).tobytes()))
 
     def run(parts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
+        clashes = answers["clash"].dropna().to_numpy(dtype=np.int64) if len(answers) else np.empty(0, dtype=np.int64)
+        answers = answers[answers["answer"].notna()]
         shared = [int(b) << BLOCK_BITS | get(x) for b, x in zip(answers["block"], answers["answer"], strict=True)]
         shared = np.unique(np.concatenate(shared)) if shared else np.empty(0, dtype=np.int64)
         for i in range(len(parts) if len(shared) else 0):
-            entries(unpack(parts.iloc[i:i + 1])[2], shared, out)
+            entries(unpack(parts.iloc[i:i + 1])[2], shared, clashes, out)
         return pd.DataFrame(out, columns=names)
 
     met = packed.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return met.applyInPandas(run, "ord int, block long, grams binary, places binary, nodes binary, sizes binary")
 
 
-def narrow(values: np.ndarray) -> bytes:
-    """N-grams as 6 bytes each."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BITS // 8].tobytes()
-
-
-def wide(data: bytes) -> np.ndarray:
-    few = np.frombuffer(data, dtype=np.uint8).reshape(-1, GRAM_BITS // 8)
-    out = np.zeros((len(few), 8), dtype=np.uint8)
-    out[:, :GRAM_BITS // 8] = few
-    return out.reshape(-1).view("<u8")
-
-
 def prefix_lists(group: pd.DataFrame) -> pd.DataFrame:
     """Lists of the block with at least two nodes, by size: equal lists once, with how many there are. Of a hot
     n-gram, whose list lies in several blocks, all is sent, lists of one node too."""
@@ -286,7 +287,7 @@ def prefix_lists(group: pd.DataFrame) -> pd.DataFrame:
     gram, node, size = [], [], []
     for g, p, n, s in zip(group["grams"], group["places"], group["nodes"], group["sizes"], strict=True):
         place = np.frombuffer(p, dtype=np.uint16)
-        gram.append(wide(g))
+        gram.append(np.frombuffer(g, dtype=np.uint64))
         node.append(np.frombuffer(n, dtype=np.int64)[place])
         size.append(np.frombuffer(s, dtype=np.uint32)[place].astype(np.int64))
     gram, node, size = np.concatenate(gram), np.concatenate(node), np.concatenate(size)
@@ -352,7 +353,7 @@ def _fetch(n: int):
         place = {k: i for i, k in enumerate(texts)}
         doc, value = shingle_sets(list(texts.values()), n)
         at = np.searchsorted(doc, np.arange(len(texts) + 1))
-        sets = [narrow(value[at[place[k]]:at[place[k] + 1]]) for k in asked["key"]]
+        sets = [value[at[place[k]]:at[place[k] + 1]].tobytes() for k in asked["key"]]
         return pd.DataFrame({"node": asked["node"].to_numpy(dtype=np.int64), "shingles": sets})
 
     return fetch
@@ -380,7 +381,7 @@ def _compare(percent: int, n: int):
         far = dict(zip(sent["a"], sent["shingles"], strict=True))
         linked = []
         for kind, a, b, key_a, key_b in zip(pairs["kind"], pairs["a"], pairs["b"], pairs["key_a"], pairs["key_b"], strict=True):
-            x, y = own(key_a) if kind == LOCAL else wide(far[a]), own(key_b)
+            x, y = own(key_a) if kind == LOCAL else np.frombuffer(far[a], dtype=np.uint64), own(key_b)
             common = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * common >= percent * (len(x) + len(y) - common):
                 linked.append((a, b))
@@ -561,21 +562,19 @@ def linked(docs: DataFrame, percent: int = PERCENT, n: int = N, chunk=None) -> D
     first = written(signed(rows, n), "shingle-sets")
     sigs = first.where("node is not null").drop("slice", "counts")
     # Sets of one id but another second half: at 10**10 sets a few are to be expected.
-    twice = sigs.where("size > 0").groupBy("node").agg(F.min("half").alias("lo"), F.max("half").alias("hi")).where("lo <> hi").select("node").limit(1 << 20).collect()
-    if len(twice) == 1 << 20:
-        raise ValueError("over a million ids of sets clash: these are no hashes")
-    clashes = {r["node"]: True for r in twice}
-    if clashes:
-        renamed = F.udf(lambda node, half: int(mix(mix_in(node) ^ mix(mix_in(half)))[0].astype(np.int64)), "long")
-        sigs = sigs.withColumn("node", F.when(F.col("node").isin(list(clashes)), renamed("node", "half")).otherwise(F.col("node")))
+    twice = sigs.where("size > 0").groupBy("node").agg((F.min("half") != F.max("half")).alias("twice")).where("twice")
+    sigs = sigs.join(written(twice, "clashes"), "node", "left").withColumn("clash", F.when(F.col("twice"), F.col("node")))
+    sigs = sigs.withColumn("node", F.when(F.col("twice"), renamed()).otherwise(F.col("node"))).drop("twice")
     home = F.min(F.struct("chunk", "key", "size", "bitmap")).alias("home")
     homes = written(sigs.where("size > 0").groupBy("node").agg(home, F.min("doc_id").alias("least")).select("node", "home.*", "least"), "nodes")
     bits = max(0, int(total // GRAM_BYTES * (100 - percent) // 100 // ENTRIES).bit_length())
     classes, floor = frequency_classes(first.where("slice is not null").select("slice", "counts"))
     cell_bits = min(GRAM_BITS - BLOCK_BITS, max(0, int(total // GRAM_BYTES * CELLS - 1).bit_length() - BLOCK_BITS)) if total else 0
-    answers = written(shared_cells(rows, cell_bits, n), "shared-cells")
+    answers = written(shared_cells(rows, cell_bits, n).withColumn("clash", F.lit(None).cast("string")), "shared-cells")
+    # as text, since pandas would make doubles of a column of numbers with nulls
+    answers = answers.unionByName(sigs.where("clash is not null").select("chunk", F.col("clash").cast("string").alias("clash")).distinct(), allowMissingColumns=True)
     packed = pack(rows)
-    lists = prefixes(packed, answers, cell_bits, classes, floor, clashes, bits, percent, n).groupBy("ord", "block").applyInPandas(prefix_lists, "ord int, list long, weight long, node long, size long")
+    lists = prefixes(packed, answers, cell_bits, classes, floor, bits, percent, n).groupBy("ord", "block").applyInPandas(prefix_lists, "ord int, list long, weight long, node long, size long")
     lists = written(lists.join(homes.select("node", "bitmap"), "node"), "prefix-lists")
 
     # Any choice here is right; likely links are chosen, as sets travel for each. Step 2 finds what this misses.
@@ -591,10 +590,6 @@ def linked(docs: DataFrame, percent: int = PERCENT, n: int = N, chunk=None) -> D
     return full.unionByName(sigs.where("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def mix_in(x: int) -> np.ndarray:
-    return np.array([x], dtype=np.int64).astype(np.uint64)
-
-
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document: edge cases as for linked()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", file_chunk(CHUNK).alias("place"))

@@ -159,10 +159,30 @@ def test_jaccard_of_documents_that_share_little(spark):
 def test_ids_of_sets_that_clash_take_both_halves():
     docs, values = ngram_join.shingle_sets([b"a b c d e", b"a b c d f", b"a b c d e"])
     node, half, size = ngram_join.nodes_of(docs, values, 3)
-    again, _, _ = ngram_join.nodes_of(docs, values, 3, {int(node[0]): True})
+    again, _, _ = ngram_join.nodes_of(docs, values, 3, node[:1])
     assert again[0] == again[2] != node[0] and again[1] == node[1] and half[0] == half[2] != half[1] and list(size) == [2, 2, 2]
 
 
+def test_sets_whose_ids_clash_stay_apart(spark, monkeypatch):
+    """Eight ids for all sets: every one clashes, in tasks and in tables alike."""
+
+    def few(docs, values, n_docs, clashes=None, f=ngram_join.nodes_of, apart=ngram_join.told_apart):
+        node, half, size = f(docs, values, n_docs)
+        return node & 7 if clashes is None else apart(node & 7, half, clashes), half, size
+
+    monkeypatch.setattr(ngram_join, "nodes_of", few)
+    monkeypatch.setattr(ngram_join, "CHUNK", 40)
+    texts = near_copies()[1900:2050]
+    got = ngram_join.linked(corpus(spark, texts)).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == fast_links(texts)
+
+
+def test_sets_of_many_words_are_counted_exactly():
+    text = " ".join(map(str, range(3_000_000))).encode()
+    docs, values = ngram_join.shingle_sets([b"a b", text, b"", b"a b c a b c a b c"])
+    assert list(np.bincount(docs)) == [1, 3_000_000 - 3, 0, 3] and int(values.max()) >> 48
+
+
 def test_jaccard_of_empty_tables(spark):
     assert ngram_join.linked(corpus(spark, []).limit(0)).count() == 0
     assert [x.component_id for x in ngram_join.linked(corpus(spark, ["a b c d e", "a b c d e"], [5, 3])).collect()] == [3, 3]
