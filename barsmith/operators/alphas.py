@@ -94,11 +94,14 @@ def scale(x: str, day: str = "date"):
     return F.col(x) / F.nullif(F.sum(F.abs(F.col(x))).over(Window.partitionBy(day)), F.lit(0.0))
 
 
+def last_stage(d: DataFrame) -> DataFrame:
+    """What follows the ranks of a day: rolled ranks, scaled ones, and sums of ranks of rolled ranks."""
+    return ranked_stage(d).withColumn("alpha060", -(2 * scale("r_t60a") - scale("r_t60b"))).withColumn("alpha015", -ts_sum("r_t15", 3))
+
+
 def alphas(bars: DataFrame) -> DataFrame:
     """ticker, date and the factors of FORMULAS."""
-    d = ranked_stage(day_stage(ticker_stage(inputs(bars))))
-    d = d.withColumn("alpha060", -(2 * scale("r_t60a") - scale("r_t60b"))).withColumn("alpha015", -ts_sum("r_t15", 3))
-    return d.select("ticker", "date", *FORMULAS)
+    return last_stage(day_stage(ticker_stage(inputs(bars)))).select("ticker", "date", *FORMULAS)
 
 
 def winsorised(df: DataFrame, names, lo: float = 0.001, hi: float = 0.999) -> DataFrame:
