@@ -8,9 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barsmith.functions import columns as c
+from barsmith.operators import regimes as rg
 from barsmith.plans.base import query, with_views
 from barsmith.plans.features import rounded, rounded_sql
-from barsmith.plans.markets import WIDE, filled
+from barsmith.plans.markets import PILLARS, WIDE, filled, pillars
 from barsmith.sources import tables as t
 
 Z, PCT, VETO = 120, 250, 2.0
@@ -65,3 +66,49 @@ def m22(spark, sf_dir):
     regime = F.when(F.col("net_income") > 0, "BULL").otherwise("BEAR")
     days = t.fundamentals(spark, sf_dir).select("ticker", "period_end", regime.alias("regime"), F.explode(F.sequence("period_end", F.date_add("period_end", 120))).alias("day"))
     return days.groupBy("ticker", "day").agg(F.max(F.struct("period_end", "regime")).alias("x")).select("ticker", "day", F.col("x.period_end").alias("period_end"), F.col("x.regime").alias("regime"))
+
+
+# A day's true regime: the benchmark more than 2 % above or below its mean of 200 days. The trend pillar is the score.
+TRUTH = f"""{WIDE},
+{PILLARS},
+truth as (select date, case when spy_close > 1.02e0 * m then 'BULL' when spy_close < 0.98e0 * m then 'BEAR' else 'FLAT' end as regime from (select *, avg(spy_close) over (order by date rows between 199 preceding and current row) as m from bench)),
+days as (select date, regime, {rounded_sql('trend')} as score from truth join pillars using (date) where trend is not null),
+runs as (select *, sum(turn) over (order by date) as run from (select *, cast(regime is distinct from lag(regime) over (order by date) as int) as turn from days)),
+lags as (select *, first_signal is not null as detected, date_diff('day', start_date, coalesce(first_signal, end_date)) as lag_days
+  from (select min(date) as start_date, max(date) as end_date, min(date) filter (where score < {rg.SIGNAL}) as first_signal from runs where regime = 'BEAR' group by run))"""
+VIEWS = ("macro", "bars", "bench")
+
+
+def days_of(spark, sf_dir):
+    mean = F.avg("spy_close").over(Window.orderBy("date").rowsBetween(-199, 0))
+    regime = F.when(F.col("spy_close") > 1.02 * mean, "BULL").when(F.col("spy_close") < 0.98 * mean, "BEAR").otherwise("FLAT")
+    truth = t.benchmark_series(spark, sf_dir).select("date", regime.alias("regime"))
+    return truth.join(pillars(spark, sf_dir), "date").where("trend is not null").select("date", "regime", rounded(F.col("trend")).alias("score"))
+
+
+@query("m20_reaction_lags", with_views(*VIEWS, more=TRUTH, sql="select start_date, end_date, first_signal, detected, lag_days from lags"))
+def m20_lags(spark, sf_dir):
+    return rg.reaction_lags(days_of(spark, sf_dir))
+
+
+@query("m20_score_by_regime", with_views(*VIEWS, more=TRUTH, sql=f"""select regime, n_days, {', '.join(f'{rounded_sql(x)} as {n}' for n, x in (("mean", "a"), ("std", "s"), ("min", "lo"), ("max", "hi"), ("share", "n_days / sum(n_days) over ()")))}
+from (select regime, count(*) as n_days, avg(score) as a, stddev_samp(score) as s, min(score) as lo, max(score) as hi from days group by regime)"""))
+def m20_scores(spark, sf_dir):
+    d = rg.score_by_regime(days_of(spark, sf_dir))
+    return d.select("regime", "n_days", *[rounded(F.col(n)).alias(n) for n in ("mean", "std", "min", "max", "share")])
+
+
+AUC = "(select (sum(rank) filter (where is_it) - sum(cast(is_it as int)) * (sum(cast(is_it as int)) + 1) / 2.0) / (sum(cast(is_it as int)) * sum(1 - cast(is_it as int))) from (select regime = '{x}' as is_it, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as rank from days))"
+FITNESS = f"""{TRUTH},
+two as (select score, regime = 'BULL' as high from days where regime <> 'FLAT'),
+gaps as (select sum(cast(high as int)) over (order by score) * 1.0 / sum(cast(high as int)) over () - sum(1 - cast(high as int)) over (order by score) * 1.0 / sum(1 - cast(high as int)) over () as gap from two),
+sep as (select 1 - {AUC.format(x='BEAR')} as auc_low, {AUC.format(x='BULL')} as auc_high, (select max(abs(gap)) from gaps) as ks,
+  (select (avg(score) filter (where high) - avg(score) filter (where not high)) / sqrt(((count(*) filter (where high) - 1) * var_samp(score) filter (where high) + (count(*) filter (where not high) - 1) * var_samp(score) filter (where not high)) / (count(*) - 2)) from two) as cohens_d,
+  (select count(*) from lags) as n_periods, (select avg(lag_days) from lags) as avg_lag, (select max(lag_days) from lags) as max_lag)"""
+
+
+@query("m20_fitness", with_views(*VIEWS, more=FITNESS, sql=f"""select n_periods, cast(max_lag as int) as max_lag, {', '.join(f'{rounded_sql(n)} as {n}' for n in ('auc_low', 'auc_high', 'cohens_d', 'ks', 'avg_lag'))},
+{rounded_sql(f'0.6e0 * auc_low + 0.4e0 * auc_high - {rg.LAG_COST}e0 * greatest(coalesce(avg_lag, 0) - {rg.FREE_LAG}, 0)')} as fitness from sep"""))
+def m20_fitness(spark, sf_dir):
+    d = rg.fitness(days_of(spark, sf_dir))
+    return d.select("n_periods", "max_lag", *[rounded(F.col(n)).alias(n) for n in ("auc_low", "auc_high", "cohens_d", "ks", "avg_lag", "fitness")])
