@@ -126,3 +126,39 @@ def drift_report(df: DataFrame, features: Sequence[str], reference: Column, peri
     out = met.groupBy("feature", "period").agg(F.max("total").alias("n"), F.sum((b - a) * F.ln(b / a)).alias("psi"))
     status = F.when(F.col("n") < least, "thin").when(F.col("psi") < 0.1, "stable").when(F.col("psi") < 0.25, "moderate").otherwise("major")
     return out.withColumn("status", status)
+
+
+def _gates(df: DataFrame, score: str, thresholds: Sequence[float]) -> DataFrame:
+    """df once for every threshold that its score reaches: partial aggregation takes in the copies before any shuffle."""
+    reached = F.filter(F.array(*[F.lit(float(x)) for x in thresholds]), lambda x: x <= F.col(score))
+    return df.withColumn("threshold", F.explode(reached))
+
+
+def gate_rows(df: DataFrame, score: str, label: str, outcome: str, at: str, thresholds: Sequence[float], cuts: Sequence[float]) -> DataFrame:
+    """A row for each threshold, of the rows with score >= threshold: n_pass, coverage, precision, lift (over the share of
+    positives), recall, per_month, mean_outcome, median_outcome (of outcomes to four decimals, which bounds what a task
+    holds) and p_over_<k>, the share of outcomes over the k-th cut.
+
+    label: 0, 1 or null (counts in n_pass alone). Null scores pass nowhere. A threshold that nothing reaches has
+    n_pass, coverage and per_month 0 and nulls; an empty table likewise, with a null coverage.
+    """
+    y, x = F.col(label), F.col(outcome)
+    share = lambda cut: F.avg((x > cut).cast("double"))
+    months = F.greatest(F.datediff(F.max(at), F.min(at)) / 30.4375, F.lit(1.0))
+    passed = _gates(df, score, thresholds).groupBy("threshold").agg(
+        F.count(F.lit(1)).alias("n_pass"), F.avg(y).alias("precision"), F.sum(y).alias("hits"), (F.count(F.lit(1)) / months).alias("per_month"), F.avg(x).alias("mean_outcome"),
+        F.percentile(F.round(x, 4), F.lit(0.5)).alias("median_outcome"), *[share(cut).alias(f"p_over_{k}") for k, cut in enumerate(cuts, 1)])
+    every = df.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("positives"), F.avg(y).alias("prevalence")).withColumn("threshold", F.explode(F.array(*[F.lit(float(v)) for v in thresholds])))
+    zero = lambda n: F.coalesce(F.col(n), F.lit(0))
+    return every.join(passed, "threshold", "left").select(
+        "threshold", zero("n_pass").alias("n_pass"), (zero("n_pass") / F.nullif(F.col("n"), F.lit(0))).alias("coverage"), "precision", (F.col("precision") / F.nullif(F.col("prevalence"), F.lit(0.0))).alias("lift"),
+        (F.col("hits") / F.nullif(F.col("positives"), F.lit(0))).alias("recall"), F.coalesce(F.col("per_month"), F.lit(0.0)).alias("per_month"), "mean_outcome", "median_outcome", *[f"p_over_{k}" for k in range(1, len(cuts) + 1)])
+
+
+def gate_stability(df: DataFrame, score: str, label: str, at: str, thresholds: Sequence[float]) -> DataFrame:
+    """For each threshold, over the precisions of the calendar years in which labelled rows reach it: n_years, variance
+    (sample), lowest, highest, range; with fewer than two years only n_years. Thresholds without any have no row."""
+    years = _gates(df.where(F.col(label).isNotNull()), score, thresholds).groupBy("threshold", F.year(at).alias("year")).agg(F.avg(label).alias("precision"))
+    d = years.groupBy("threshold").agg(F.count(F.lit(1)).alias("n_years"), F.var_samp("precision").alias("variance"), F.min("precision").alias("lo"), F.max("precision").alias("hi"))
+    some = lambda x: F.when(F.col("n_years") > 1, x)
+    return d.select("threshold", "n_years", "variance", some(F.col("lo")).alias("lowest"), some(F.col("hi")).alias("highest"), some(F.col("hi") - F.col("lo")).alias("range"))

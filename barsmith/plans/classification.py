@@ -136,3 +136,21 @@ def t25(spark, sf_dir):
     p = scored(spark, sf_dir).select("ticker", "date", "score").join(t.bars(spark, sf_dir).select("ticker", "date", "close", "volume"), ["ticker", "date"])
     d = cl.drift_report(p, ("score", "close", "volume"), F.col("date") < F.lit("1998-01-01").cast("date"), F.trunc("date", "year"))
     return d.withColumn("psi", rounded(F.col("psi")))
+
+
+GATES, CUTS = (0.1, 0.3, 0.5, 0.7, 0.9, 0.99, 1.5), (0.3, 0.5, 1.0)
+GATE_SQL = f"gates as (select cast(unnest([{', '.join(map(str, GATES))}]) as double) as threshold)"
+
+
+@report("t12_gate_rows", f"""select threshold, coalesce(n_pass, 0) as n_pass, {r('coalesce(n_pass, 0) * 1.0 / n')} as coverage, {r('prec')} as precision, {r('prec / prevalence')} as lift, {r('hits * 1.0 / positives')} as recall,
+{r('coalesce(n_pass / greatest(span / 30.4375e0, 1), 0)')} as per_month, {r('mean')} as mean_outcome, {r('median')} as median_outcome, {', '.join(f'{r(f"p{k}")} as p_over_{k}' for k in range(1, len(CUTS) + 1))}
+from gates cross join (select count(*) as n, sum(up) as positives, avg(up) as prevalence from p) left join (select threshold, count(*) as n_pass, avg(up) as prec, sum(up) as hits, date_diff('day', min(date), max(date)) as span, avg(fwd) as mean,
+quantile_cont(round(fwd, 4), 0.5) as median, {', '.join(f'avg(cast(fwd > {x}e0 as int)) as p{k}' for k, x in enumerate(CUTS, 1))} from p join gates on score >= threshold group by 1) using (threshold)""", GATE_SQL)
+def t12_rows(p):
+    return cl.gate_rows(p, "score", "up", "fwd", "date", GATES, CUTS)
+
+
+@report("t12_gate_stability", f"""select threshold, count(*) as n_years, {r('var_samp(prec)')} as variance, {r('case when count(*) > 1 then min(prec) end')} as lowest, {r('case when count(*) > 1 then max(prec) end')} as highest,
+{r('case when count(*) > 1 then max(prec) - min(prec) end')} as range from (select threshold, year(date) as y, avg(up) as prec from p join gates on score >= threshold group by 1, 2) group by threshold""", GATE_SQL)
+def t12_years(p):
+    return cl.gate_stability(p, "score", "up", "date", GATES)

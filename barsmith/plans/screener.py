@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from barsmith.operators import screener as sc
-from barsmith.plans.base import LINE, over, prior
+from barsmith.plans.base import LINE, following, over, prior
 from barsmith.plans.factors import ALPHA_SQL, STAGE1
 from barsmith.plans.features import rounded_sql as r
 from barsmith.plans.screening import EMA, rule
@@ -44,3 +44,14 @@ WHOLE = {"ticker", "date", "volume", "rs_rating", "close_above_sma200", "rs_line
 @rule("v1_screener_table", ("bars", "bench", "profiles"), f"select {', '.join(n if n in WHOLE else f'{r(n)} as {n}' for n in SHOWN)} from s4 join factors using (ticker, date) join em using (ticker, date)", f"{STAGE1},\n{EMA},\n{TABLE}")
 def screener(spark, sf_dir):
     return sc.screener_table(t.bars(spark, sf_dir), t.benchmark_series(spark, sf_dir), t.profiles(spark, sf_dir)).select(*SHOWN)
+
+
+HORIZONS, FEATURES = (63, 126), ("rs", "price_vs_sma_50", "price_vs_sma_200", "dist_from_52w_high", "vol_ratio", "volatility_20d", "natr", "vcp_ratio", "rs_line_delta")
+LABELS = [f"{n}_{h}" for h in HORIZONS for n in ("fwd", "mfe", "mae")]
+LABEL_SQL = ", ".join(f"{x} as {n}_{h}" for h in HORIZONS for n, x in (("n", f"count(close) {following(h)}"), ("fwd", f"lead(close, {h}) {LINE}"), ("mfe", f"max(high) {following(h)}"), ("mae", f"min(low) {following(h)}")))
+
+
+@rule("l3_label_panel", ("bars", "bench", "profiles"), f"select ticker, date, {', '.join(f'{r(n)} as {n}' for n in ('close', *FEATURES))}, "
+      + ", ".join(f"{r(f'case when n_{n[4:]} = {n[4:]} then {n} / nullif(close, 0) - 1 end')} as {n}" for n in LABELS) + ", " + ", ".join(f"n_{h} = {h} as full_{h}" for h in HORIZONS) + f" from (select *, {LABEL_SQL} from s3)", f"{STAGE1},\n{TABLE}")
+def label_panel(spark, sf_dir):
+    return sc.label_panel(t.bars(spark, sf_dir), t.benchmark_series(spark, sf_dir), HORIZONS, FEATURES)

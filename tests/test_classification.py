@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import statistics
 
 import numpy as np
 import pytest
@@ -93,3 +94,24 @@ def test_drift(spark):
     edges = np.quantile([x for p, x in rows if p == 0], [k / 10 for k in range(1, 10)])
     share = lambda p: [max(1e-6, np.mean([sum(x > edges) == b for q, x in rows if q == p])) for b in range(10)]
     assert got[2].psi == pytest.approx(sum((b - a) * math.log(b / a) for a, b in zip(share(0), share(2), strict=True)))
+
+
+def test_gate_rows_against_a_loop(spark):
+    r = random.Random(3)
+    rows = [(r.choice([None, *[k / 10 for k in range(10)]]), r.choice([0, 1, None]), r.choice([None, r.gauss(0, 0.5)]), dt.date(2020, 1, 1) + dt.timedelta(r.randrange(900))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "score double, up int, gain double, date date")
+    got = {x.threshold: x for x in cl.gate_rows(df, "score", "up", "gain", "date", (0.2, 0.5, 2.0), (0.1, 0.4)).collect()}
+    positives, labelled = sum(u or 0 for _, u, *_ in rows), [u for _, u, *_ in rows if u is not None]
+    for t in (0.2, 0.5):
+        some = [x for x in rows if x[0] is not None and x[0] >= t]
+        y, gain, days = [x[1] for x in some if x[1] is not None], [x[2] for x in some if x[2] is not None], [x[3] for x in some]
+        g = got[t]
+        assert g.n_pass == len(some) and g.coverage == pytest.approx(len(some) / 400) and g.precision == pytest.approx(sum(y) / len(y)) and g.recall == pytest.approx(sum(y) / positives)
+        assert g.lift == pytest.approx(sum(y) / len(y) / (sum(labelled) / len(labelled))) and g.per_month == pytest.approx(len(some) / ((max(days) - min(days)).days / 30.4375))
+        assert g.mean_outcome == pytest.approx(sum(gain) / len(gain)) and g.median_outcome == pytest.approx(statistics.median(gain), abs=1e-4) and g.p_over_2 == pytest.approx(sum(v > 0.4 for v in gain) / len(gain))
+    assert (got[2.0].n_pass, got[2.0].per_month, got[2.0].precision, got[2.0].p_over_1) == (0, 0, None, None)
+    years = {x.threshold: x for x in cl.gate_stability(df, "score", "up", "date", (0.5, 2.0)).collect()}
+    by = [[x[1] for x in rows if x[0] is not None and x[0] >= 0.5 and x[1] is not None and x[3].year == y] for y in (2020, 2021, 2022)]
+    prec = [sum(v) / len(v) for v in by if v]
+    assert list(years) == [0.5] and years[0.5].n_years == len(prec) and years[0.5].variance == pytest.approx(statistics.variance(prec)) and years[0.5].range == pytest.approx(max(prec) - min(prec))
+    assert cl.gate_rows(df.limit(0), "score", "up", "gain", "date", (0.2,), (0.1,)).select("n_pass", "coverage").first() == (0, None)
