@@ -1,7 +1,9 @@
-"""The whole screener table (V1), with its SQL."""
+"""The whole screener table (V1), labels beside its columns (L3) and periods of its entities (C3), with their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from barsmith.operators import screener as sc
 from barsmith.plans.base import LINE, following, over, prior
 from barsmith.plans.factors import ALPHA_SQL, STAGE1
@@ -55,3 +57,18 @@ LABEL_SQL = ", ".join(f"{x} as {n}_{h}" for h in HORIZONS for n, x in (("n", f"c
       + ", ".join(f"{r(f'case when n_{n[4:]} = {n[4:]} then {n} / nullif(close, 0) - 1 end')} as {n}" for n in LABELS) + ", " + ", ".join(f"n_{h} = {h} as full_{h}" for h in HORIZONS) + f" from (select *, {LABEL_SQL} from s3)", f"{STAGE1},\n{TABLE}")
 def label_panel(spark, sf_dir):
     return sc.label_panel(t.bars(spark, sf_dir), t.benchmark_series(spark, sf_dir), HORIZONS, FEATURES)
+
+
+SPARSE = 24
+
+
+@rule("c3_entity_periods", ("fundamentals", "profiles"), f"""select sector, count(*) as entities, {r('avg(n)')} as avg_periods, min(n) as fewest, max(n) as most, count(*) filter (where n < {SPARSE}) as sparse, {r('count(*) filter (where n < ' + str(SPARSE) + ') * 1.0 / count(*)')} as sparse_share,
+count(*) filter (where n = 0) as without, cast(sum(n) as bigint) as n_rows from (select p.ticker, any_value(sector) as sector, count(distinct period_end) as n from profiles p left join fundamentals f using (ticker) group by p.ticker) group by sector""")
+def entity_periods(spark, sf_dir):
+    """Periods of each entity of the profiles by sector: their mean and ends, entities with few or none of them, and rows of a sector."""
+    kept = t.fundamentals(spark, sf_dir).groupBy("ticker").agg(F.count_distinct("period_end").alias("n"))
+    d = t.profiles(spark, sf_dir).select("ticker", "sector").join(kept, "ticker", "left").fillna(0, ["n"])
+    few = F.count_if(F.col("n") < SPARSE)
+    return d.groupBy("sector").agg(
+        F.count(F.lit(1)).alias("entities"), F.avg("n").alias("avg_periods"), F.min("n").alias("fewest"), F.max("n").alias("most"), few.alias("sparse"), (few / F.count(F.lit(1))).alias("sparse_share"),
+        F.count_if(F.col("n") == 0).alias("without"), F.sum("n").alias("n_rows"))
