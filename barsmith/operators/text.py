@@ -20,9 +20,12 @@ def normalise(x) -> Column:
 
 
 def grounded(quote, document, least: int = 12) -> Column:
-    """Is every fragment of the quote (between ellipses, short ones left out) in the document? Both normalised."""
-    parts = F.filter(F.transform(F.split(quote, r"\.\.\."), lambda p: F.trim(p)), lambda p: F.length(p) >= least)
-    return (F.size(parts) > 0) & F.forall(parts, lambda p: F.contains(document, p))
+    """Is every fragment of the quote (between ellipses, short ones left out) in the document? Both normalised.
+    A quote of short fragments alone must be there as a whole; an empty one is in any."""
+    same = lambda x: F.translate(x, "ς", "σ")  # noqa: E731  a sigma at the end of a cut quote
+    parts = F.filter(F.transform(F.split(same(quote), r"\.\.\."), lambda p: F.trim(p)), lambda p: F.length(p) >= least)
+    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(same(quote)))
+    return F.forall(parts, lambda p: F.contains(same(document), p))
 
 
 def canonical_key(name) -> Column:

@@ -398,10 +398,12 @@ def x6(spark, sf_dir):
 
 
 def verified(spark, sf_dir) -> DataFrame:
-    """Claims with verified: is the quote found in the answer's own text?"""
-    source = t.table(spark, sf_dir, "conversations", "conv_id", "turn", "text").where("turn % 2 = 0").select(F.col("conv_id").alias("run_id"), "turn", "text")
-    d = claims(spark, sf_dir).join(source, ["run_id", "turn"], "left")
-    return d.withColumn("verified", F.coalesce(tx.grounded(tx.normalise("quote"), tx.normalise("text")), F.lit(False)))
+    """Claims with verified: is the quote found in the answer's own text? Repeated turns give texts, not rows."""
+    source = t.table(spark, sf_dir, "conversations", "conv_id", "turn", "text").where("turn % 2 = 0")
+    texts = source.groupBy(F.col("conv_id").alias("run_id"), "turn").agg(F.collect_set("text").alias("texts"))
+    d = claims(spark, sf_dir).join(texts, ["run_id", "turn"], "left")
+    found = F.exists("texts", lambda x: tx.grounded(tx.normalise("quote"), tx.normalise(x)))
+    return d.withColumn("verified", F.coalesce(found, F.lit(False))).drop("texts")
 
 
 @rule("x4_fidelity", (), f"select run_id, count(*) as claims, count(*) filter (where turn % 2 = 0) as verified, {r('count(*) filter (where turn % 2 = 0) * 1.0 / count(*)')} as fidelity from claims group by run_id", CLAIMS)

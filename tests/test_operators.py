@@ -88,6 +88,22 @@ def test_text_jobs(spark):
     assert [(x.heading, x.body) for x in text.sections(close, "report", ["Risks", "Summary"]).collect()] == [("Risks", ""), ("Summary", "c"), ("Risks", "")]
 
 
+def test_short_quotes_are_grounded(spark):
+    d = spark.createDataFrame([("oh. yes.", "Oh.  Yes.", True), ("yes... no...", "yes... no... well", True), ("no way", "yes", False), ("", "", True), ("λόγος", "λόγοςα", True)], "q string, doc string, want boolean")
+    assert all(r.got == r.want for r in d.select("want", text.grounded(text.normalise(F.col("q")), text.normalise(F.col("doc"))).alias("got")).collect())
+
+
+def test_fidelity_of_short_and_repeated_turns(spark, duck, tmp_path):
+    from barsmith.plans import registry
+
+    rows = [(1, 0, "user", "Yes."), (1, 0, "user", "Yes."), (1, 1, "assistant", "No."), (1, 2, "user", ""), (2, 4, "user", "a... b... c"), (2, 6, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duck.cursor()
+    con.execute(f"create temp view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE_SQL["x4_fidelity"]).fetchall()
+    assert sorted(map(tuple, registry.QUERIES["x4_fidelity"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_quality_verdicts(spark):
     d = line(spark, [1.0, -1.0, None])
     assert quality.verdict(d, "bad", F.count_if(F.col("close") <= 0), 0, 5).first().status == "WARN"
