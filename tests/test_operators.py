@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,31 @@ def test_text_jobs(spark):
     assert [(x.heading, x.body) for x in text.sections(close, "report", ["Risks", "Summary"]).collect()] == [("Risks", ""), ("Summary", "c"), ("Risks", "")]
 
 
+def test_exact_quantiles_without_all_values_in_one_place(spark):
+    from barsmith.operators.series import exact_quantiles
+
+    rng = np.random.default_rng(5)
+    rows = [(float(a), None if k % 9 == 0 else float(b), 1.0, None) for k, (a, b) in enumerate(zip(rng.normal(size=3000), rng.integers(0, 4, 3000), strict=True))]
+    d = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    names, qs = ["a", "b", "c", "d"], [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = exact_quantiles(d, names, qs, accuracy=200, margin=3)
+    want = d.agg(*[F.percentile(n, qs).alias(n) for n in names]).first()
+    assert all(got.first()[n] is None if want[n] is None else got.first()[n] == pytest.approx(want[n], abs=1e-12) for n in names)
+    assert "percentile(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert exact_quantiles(d.limit(0), names, qs).first()["a"] is None
+    assert exact_quantiles(d.limit(1), ["a"], [0.5]).first()["a"] is not None
+
+
+def test_day_rank_sorts_once(spark):
+    from barsmith.functions.columns import day_rank
+
+    d = spark.createDataFrame([(1, x) for x in (2.0, 2.0, None, 1.0, float("nan"), float("nan"), -0.0, 0.0)], "date int, x double")
+    got = d.select("x", day_rank("x").alias("r"))
+    place = {str(r.x): r.r for r in got.collect()}
+    assert place == {"2.0": 4.5 / 7, "None": None, "1.0": 3 / 7, "nan": 6.5 / 7, "-0.0": 1.5 / 7, "0.0": 1.5 / 7}
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Window ") == 1
+
+
 def test_short_quotes_are_grounded(spark):
     d = spark.createDataFrame([("oh. yes.", "Oh.  Yes.", True), ("yes... no...", "yes... no... well", True), ("no way", "yes", False), ("", "", True), ("λόγος", "λόγοςα", True)], "q string, doc string, want boolean")
     assert all(r.got == r.want for r in d.select("want", text.grounded(text.normalise(F.col("q")), text.normalise(F.col("doc"))).alias("got")).collect())
