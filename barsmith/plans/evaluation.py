@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barsmith.operators import evaluation as ev
+from barsmith.operators.series import exact_quantiles
 from barsmith.operators.writes import reread
 from barsmith.plans.base import LINE, over, query, with_views
 from barsmith.plans.features import rounded, rounded_sql
@@ -80,7 +81,7 @@ def t42(spark, sf_dir):
 
     bars = t.bars(spark, sf_dir)
     v = bars.select("ticker", "date", (F.col("close") / F.lag("close", 5).over(panel()) - 1).alias("R5"), (F.col("close") / F.avg("close").over(panel().rowsBetween(-19, 0)) - 1).alias("r20"))
-    cuts = v.agg(F.percentile("R5", [0.25, 0.5, 0.75]).alias("c5"), F.percentile("r20", [0.25, 0.5, 0.75]).alias("c20"))
+    cuts = exact_quantiles(v, ["R5", "r20"], [0.25, 0.5, 0.75]).select(F.col("R5").alias("c5"), F.col("r20").alias("c20"))
     node = lambda k, n, f, cut, left, right, value: F.struct(*[F.lit(x).cast(kind).alias(name) if not hasattr(x, "_jc") else x.cast(kind).alias(name) for x, kind, name in ((k, "int", "tree"), (n, "int", "node"), (f, "string", "feature"), (cut, "double", "threshold"), (left, "int", "left"), (right, "int", "right"), (value, "double", "value"))])
     rows = []
     for k in (1, 2, 3):
