@@ -1,4 +1,4 @@
-"""Approximate maximum inner product search: score-aware anisotropic quantisation, four-bit table scans, exact reranking."""
+"""Maximum inner product search: score-aware anisotropic quantisation, four-bit table scans with bounds, exact reranking."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barsmith.llm.common import written
@@ -19,11 +19,11 @@ SUB = 2
 #: Rows that the codebooks are trained on at most (those with the smallest hash of their id).
 TRAIN = 8192
 #: Codes of a block, queries of a block.
-VECTORS, QUERIES = 16384, 1024
-#: Rows that are reranked for a query, of all rows, as a multiple of k.
+VECTORS, QUERIES = 16384, 4096
+#: Rows of a block that are reranked first for a query, as a multiple of k.
 RERANK = 16
 
-FOUND = "asked long, row long, near float"
+FOUND = "query_id long, vec_id long, score double"
 
 
 @dataclass
@@ -62,6 +62,17 @@ class Codebooks:
         return codes
 
 
+    def decode(self, codes: np.ndarray, dim: int) -> np.ndarray:
+        """What the codes stand for: (rows, dim)."""
+        return np.concatenate([self.centres[j][codes[:, j]] for j in range(len(self.centres))], axis=1)[:, :dim]
+
+
+def length(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows, of any size of components."""
+    top = np.maximum(np.abs(x).max(axis=1), 1e-300)
+    return top * np.sqrt(((x / top[:, None]) ** 2).sum(axis=1))
+
+
 def anisotropic_weight(dim: int, threshold: float = 0.2) -> float:
     """Ratio of the parallel to the orthogonal penalty for inner products above threshold (unit vectors)."""
     return max(1.0, (dim - 1) * threshold**2 / (1 - threshold**2))
@@ -99,7 +110,10 @@ def train(x: np.ndarray, rounds: int = 8, seed: int = 7) -> Codebooks:
 
 
 def build_index(rows: DataFrame, train_rows: int = TRAIN) -> tuple[DataFrame, dict[int, Codebooks]]:
-    """Every row with its packed codes (two codes a byte), and the codebooks of each dimension.
+    """Every row with its packed codes (two codes a byte), its slack, and the codebooks of each dimension.
+
+    slack times a query's length is what the tables' score of the row can be wrong by: the length of what the codes
+    leave out, and the rounding of tables and sums to single precision.
 
     Only training looks at a bounded sample: the train_rows rows whose ids have the smallest hashes. A dimension
     that the sample has missed takes the centres of the others' parts, so that all rows have codes.
@@ -112,18 +126,21 @@ def build_index(rows: DataFrame, train_rows: int = TRAIN) -> tuple[DataFrame, di
 
     def encode(batches):
         for batch in batches:
-            codes = np.empty(len(batch), dtype=object)
+            codes, slack = np.empty(len(batch), dtype=object), np.empty(len(batch))
             sizes = batch["vec"].map(len).to_numpy()
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
-                c = book_of(books, int(d)).encode(np.stack(batch["vec"].iloc[at]).astype(np.float64))
+                book, x = book_of(books, int(d)), np.stack(batch["vec"].iloc[at]).astype(np.float64)
+                c = book.encode(x)
+                told = book.decode(c, int(d))
+                slack[at] = length(x - told) * (1 + 1e-9) + (len(book.centres) + 2) * 1.2e-7 * length(told)
                 c = np.pad(c, ((0, 0), (0, c.shape[1] % 2)))
                 packed = (c[:, 0::2] << 4) | c[:, 1::2]
                 for i, row in zip(at, packed, strict=True):
                     codes[i] = row.tobytes()
-            yield batch.assign(codes=codes)
+            yield batch.assign(codes=codes, slack=slack)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", codes binary"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", codes binary, slack double"
     return rows.mapInPandas(encode, schema), books
 
 
@@ -136,75 +153,79 @@ def book_of(books: dict[int, Codebooks], dim: int) -> Codebooks:
     return Codebooks(np.broadcast_to(pooled, (-(-dim // SUB), CENTROIDS, SUB)).copy(), anisotropic_weight(dim))
 
 
-def share(wanted: int, blocks: int) -> int:
-    """What each block sends, so that the best `wanted` rows of all come through: rows are dealt to blocks at random,
-    and one of these holds so many of them only six standard deviations and ten above its even part."""
-    return int(np.ceil(wanted / blocks + 6 * (wanted / blocks) ** 0.5 + 10)) if blocks > 1 else wanted
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with one query, added up in order of the components: equal rows have equal ones."""
+    out = np.zeros(len(x))
+    for j in range(len(q)):
+        out += x[:, j] * q[j]
+    return out
 
 
-def _scan(books: dict[int, Codebooks], keep: int):
+def _scan(books: dict[int, Codebooks], k: int, first: int):
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
         if len(left) and len(right):
-            q = np.stack(right["vec"]).astype(np.float64)
-            ids, asks = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-            rows, asked = left["row"].to_numpy(), right["asked"].to_numpy()
+            x, q = (np.stack(side["vec"]).astype(np.float64) for side in (left, right))
+            ids, asks, slack = left["vec_id"].to_numpy(), right["vec_id"].to_numpy(), left["slack"].to_numpy()
             book, n = book_of(books, q.shape[1]), len(left)
             packed = np.frombuffer(b"".join(left["codes"]), dtype=np.uint8).reshape(n, -1)
             codes = np.empty((n, 2 * packed.shape[1]), dtype=np.uint8)
             codes[:, 0::2], codes[:, 1::2] = packed >> 4, packed & 15
-            parts, top = book._parts(q), min(n, keep)
+            parts, top, sizes = book._parts(q), min(n, max(first, k)), length(q)
+            blur = 1e-15 * (q.shape[1] + 8) * sizes * length(x).max()  # what products may differ by with the order of sums
             for at in range(0, len(asks), 64):
                 part = slice(at, at + 64)
                 near = np.zeros((n, len(asks[part])), dtype=np.float32)
                 for j in range(len(book.centres)):  # a table of 16 scores for each code and query
                     near += (book.centres[j] @ parts[part, j].T).astype(np.float32)[codes[:, j]]
-                near = near.T
-                near[ids == asks[part, None]] = -np.inf
-                found = np.argpartition(near, n - top, axis=1)[:, n - top:]
-                near = np.take_along_axis(near, found, 1)
-                best = near > -np.inf
-                out.append(pd.DataFrame({"asked": np.repeat(asked[part], best.sum(1)), "row": rows[found][best], "near": near[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"asked": [], "row": [], "near": []}).astype({"asked": "int64", "row": "int64", "near": "float32"})
+                own = ids == asks[part, None]
+                near = np.where(own, -np.inf, near.T.astype(np.float64))
+                ahead = np.argpartition(near, n - top, axis=1)[:, n - top:]
+                exact = np.where(np.take_along_axis(own, ahead, 1), -np.inf, np.einsum("btd,bd->bt", x[ahead], q[part]))
+                floor = np.partition(exact, top - k, axis=1)[:, top - k] - blur[part] if top >= k else np.full(len(near), -np.inf)  # k rows reach it
+                could = ~(near + slack * sizes[part, None] + 1e-36 < floor[:, None]) & ~own
+                alive = np.flatnonzero(could.any(axis=0))
+                could, score = could[:, alive], q[part] @ x[alive].T
+                for m in range(len(near)):
+                    rows = alive[could[m] & ~(score[m] < floor[m])]
+                    if len(rows) > k:
+                        best = q[at + m] @ x[rows].T
+                        rows = rows[~(best < np.partition(best, len(rows) - k)[len(rows) - k] - 2 * blur[at + m])]
+                    exactly = products(x[rows], q[at + m])
+                    best = np.lexsort((ids[rows], -exactly))[:k]
+                    out.append(pd.DataFrame({"query_id": asks[at + m], "vec_id": ids[rows][best], "score": exactly[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return scan
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found by inner product, scores exact in doubles.
+    """query_id, rank, vec_id, score: the k nearest by inner product, scores exact in doubles.
 
-    Every row is indexed and scanned by its four-bit codes. Only codes travel to the queries: blocks of about
-    VECTORS rows send their best by tables, the rerank * k best of all rows fetch their vectors by joins and get
-    their exact score. A row with the query's vec_id is never its own answer; ties go to the smaller vec_id; with
+    Every row is indexed and scanned by its four-bit codes. A block of about VECTORS rows reranks the best rerank * k
+    by tables first; the k-th exact score of these is a floor, and every row whose table score and slack reach it is
+    reranked too. So no row that belongs to the k best is left out, whatever the vectors are; where they lie so that
+    codes tell little (long residuals), more rows are reranked. A block sends k rows a query.
+    A row with the query's vec_id is never its own answer; ties go to the smaller vec_id; with
     fewer than k other rows all are returned. Rows without an id or a vector, with a zero or an empty one, or with
     null or non-finite components take no part; a query meets only vectors of its dimension. Repeated rows all
     count. Other columns are not read.
     """
     some = lambda r: r.where(F.exists("vec", lambda x: x != 0))
-    rows = some(usable(df, id_col, vec_col)).withColumn("row", F.monotonically_increasing_id())
-    index, books = build_index(rows)
+    index, books = build_index(some(usable(df, id_col, vec_col)).withColumn("row", F.monotonically_increasing_id()))
     index = written(index, "ann-index")
     asks = written(some(usable(queries, id_col, vec_col)).withColumn("asked", F.monotonically_increasing_id()), "ann-queries")
     nv, nq = (max(1, -(-x.count() // per)) for x, per in ((index, VECTORS), (asks, QUERIES)))
-    left = sent_to(dealt(index.select("row", "vec_id", "codes", F.size("vec").alias("dim")), "vb", nv, "row"), "qb", nq)
-    right = sent_to(dealt(asks.withColumn("dim", F.size("vec")), "qb", nq, "asked"), "vb", nv)
-    keys = ("dim", "vb", "qb")
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_scan(books, share(rerank * k, nv)), FOUND)
-    order = Window.partitionBy("asked").orderBy(F.desc("near"), "row")
-    best = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rerank * k).select("asked", "row")
     # vectors that came as floats travel as floats, which loses nothing; the products are of doubles
     light = F.col("vec").cast("array<float>" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>")
-    product = F.aggregate(F.zip_with(F.col("x").cast("array<double>"), "y", lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
-    scored = (
-        best.join(index.select("row", "vec_id", light.alias("x")), "row")
-        .join(asks.select("asked", F.col("vec_id").alias("query_id"), F.col("vec").alias("y")), "asked")
-        .select("query_id", "vec_id", product.alias("score"))
-    )
-    return best_of(scored, k)
+    left = sent_to(dealt(index.select("row", "vec_id", light.alias("vec"), "codes", "slack", F.size("vec").alias("dim")), "vb", nv, "row"), "qb", nq)
+    right = sent_to(dealt(asks.withColumn("dim", F.size("vec")), "qb", nq, "asked"), "vb", nv)
+    keys = ("dim", "vb", "qb")
+    return best_of(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_scan(books, k, rerank * k), FOUND), k)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 nearest found of every 20th vector: edge cases as for search()."""
+    """The 20 nearest of every 20th vector: edge cases as for search()."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return search(rows, rows.where("vec_id % 20 = 0"), k=20)
 

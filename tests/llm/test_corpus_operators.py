@@ -362,6 +362,23 @@ def test_anisotropic_search_recall_and_exact_scores(spark, monkeypatch):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_search_of_near_copies_and_uneven_lengths(spark, monkeypatch):
+    """Rows that codes hardly tell apart: near and exact copies, lengths of many sizes, directions that the sample lacks."""
+    monkeypatch.setattr(ann, "VECTORS", 900)
+    monkeypatch.setattr(ann, "QUERIES", 40)
+    monkeypatch.setattr(ann, "TRAIN", 64)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1, 16)) + 1e-4 * rng.normal(size=(2000, 16))
+    x = np.concatenate([x, np.repeat(rng.normal(size=(1, 16)), 500, axis=0), rng.normal(size=(500, 16)) * 10.0 ** rng.integers(-6, 6, (500, 1))])[rng.permutation(3000)]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.search(df, df.where("vec_id % 20 = 0"), k=20).collect()}
+    assert len(got) == 150 * 20
+    for i in range(0, 3000, 20):
+        scores = ann.products(x, x[i])
+        best = [int(n) for n in np.lexsort((np.arange(3000), -scores)) if n != i][:20]
+        assert [got[i, k] for k in range(1, 21)] == [(n, scores[n]) for n in best]
+
+
 def test_search_of_few_rows_finds_all(spark, monkeypatch):
     monkeypatch.setattr(ann, "TRAIN", 4)
     rows, df = vectors(spark, 30, d=4, seed=4)
