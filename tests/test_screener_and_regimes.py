@@ -73,3 +73,11 @@ def test_regimes_without_runs(spark):
     flat = spark.createDataFrame([(DAY, 1.0, "FLAT")], "date date, score double, regime string")
     assert rg.reaction_lags(flat).count() == 0 and rg.reaction_lags(flat.limit(0)).count() == 0
     assert rg.fitness(flat).select("n_periods", "avg_lag").first() == (0, None)
+
+
+def test_wide_rows_are_exchanged_once(spark):
+    """The table as shown: wide rows go to their day once; before, they went on by ticker for one rolled rank."""
+    from barsmith.plans import registry
+
+    plan = registry.QUERIES["v1_screener_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("hashpartitioning(date") < plan.index("hashpartitioning(ticker")  # a plan begins with its last step
