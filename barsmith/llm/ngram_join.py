@@ -11,7 +11,9 @@ Only the components are asked for, so a group of near copies need not be spelt o
 
 1. every list of nodes with a prefix n-gram has leaders, that other nodes of the list are like as far as the
    parity bitmaps of the two sets tell. A node's best two leaders are verified and joined into components;
-2. in lists that still hold several components, nodes of different components (and of compatible size) are
+2. in lists that still hold several components, a node's most like one of another component is verified, a pair a
+   node; again for up to ROUNDS rounds: nodes that link with many of a group, but with none of the leaders, join it;
+3. in lists that even then hold several components, nodes of different components (and of compatible size) are
    held against each other inside the task: a pair leaves it only if the bitmaps leave a link possible. Pairs that share enough prefix n-grams for a link under every order are verified. A link
    between two nodes of one component changes nothing, every other link is among those pairs, so none is lost.
 
@@ -42,6 +44,8 @@ ENTRIES, HOT = 1 << 20, 1 << 18
 ROWS, PART = 1 << 16, 1 << 12
 #: Leaders of a list at most; nodes without one are left to step 2.
 LEADERS = 8
+#: Rounds of step 2 at most; what they leave is left to step 3.
+ROUNDS = 3
 #: Cells of the growing sketch for each n-gram; bytes of text that one takes at least, on average.
 CELLS, GRAM_BYTES = 8, 6
 #: Documents that are asked for their sets by a broadcast list at most (16 bytes each); more go by a join.
@@ -436,6 +440,21 @@ class Lists:
         """The fewest members in which the two sets differ."""
         return np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(axis=1, dtype=np.int64)
 
+    def meeting(self, percent: int):
+        """Rows (i, j) of a list that are apart and may link by size and bitmap, with how they differ, a few at a time."""
+        size, rows = self.size, np.arange(len(self.size))
+        place = self.list << 32
+        last = np.searchsorted(place | size, place | np.minimum(100 * size // percent, (1 << 32) - 1), side="right")
+        reach = last - rows - 1
+        for first, end in _spans(reach):
+            i = np.repeat(rows[first:end], reach[first:end])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(reach[first:end]) - reach[first:end], reach[first:end])
+            ok = self.apart(i, j)
+            i, j = i[ok], j[ok]
+            differ = self.differ(i, j)
+            ok = differ <= most_different(size[i], size[j], percent)
+            yield i[ok], j[ok], differ[ok]
+
 
 def _leaders(percent: int):
     """Likely links (node, leader, differ): in every list the first node that no leader may link with becomes a
@@ -474,19 +493,8 @@ def _across(percent: int):
 
     def across(group: pd.DataFrame) -> pd.DataFrame:
         t = Lists(group)
-        size, rows = t.size, np.arange(len(t.size))
-        place = t.list << 32
-        last = np.searchsorted(place | size, place | np.minimum(100 * size // percent, (1 << 32) - 1), side="right")
-        reach = last - rows - 1
-        found = []
-        for first, end in _spans(reach):
-            i = np.repeat(rows[first:end], reach[first:end])
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(reach[first:end]) - reach[first:end], reach[first:end])
-            ok = t.apart(i, j)
-            i, j = i[ok], j[ok]
-            ok = t.differ(i, j) <= most_different(size[i], size[j], percent)
-            found.append(np.stack([i[ok], j[ok]]))
-        i, j = np.concatenate(found, axis=1)
+        size = t.size
+        i, j = np.concatenate([np.empty((2, 0), dtype=np.int64), *(np.stack(x[:2]) for x in t.meeting(percent))], axis=1)
         a, b = np.minimum(t.node[i], t.node[j]), np.maximum(t.node[i], t.node[j])
         by = np.lexsort((b, a))
         a, b, i, j = a[by], b[by], i[by], j[by]
@@ -498,6 +506,26 @@ def _across(percent: int):
     return across
 
 
+def _nearest(percent: int):
+    """For each node of a task's lists the one of another component that is most like it by the bitmaps (node, other, differ)."""
+
+    def nearest(group: pd.DataFrame) -> pd.DataFrame:
+        t = Lists(group)
+        best, to = np.full(len(t.node), np.iinfo(np.int64).max), np.full(len(t.node), -1)
+        for i, j, differ in t.meeting(percent):
+            for x, y in ((i, j), (j, i)):
+                by = np.lexsort((differ, x))
+                row, first = np.unique(x[by], return_index=True)
+                at = by[first]
+                ok = differ[at] < best[row]
+                best[row[ok]], to[row[ok]] = differ[at[ok]], y[at[ok]]
+        row = np.flatnonzero(to >= 0)
+        found = pd.DataFrame({"node": t.node[row], "other": t.node[to[row]], "differ": best[row]})
+        return found.sort_values(["node", "differ", "other"]).drop_duplicates("node").astype("int64")
+
+    return nearest
+
+
 def _spans(reach: np.ndarray, most: int = 1 << 20):
     """Runs of rows which have about so many pairs in all."""
     first, total = 0, np.cumsum(reach)
@@ -529,13 +557,25 @@ def likely(lists: DataFrame, percent: int) -> DataFrame:
     return written(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "likely")
 
 
+def unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of tasks of those lists that hold several components."""
+    known = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = known.groupBy("ord", "list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("ord", "list", "n")
+    return dealt(known.join(mixed, ["ord", "list"]))
+
+
+def closest(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components: for each node the one that is most like it, at most one pair a node."""
+    some = unsettled(lists.where("ord = 0"), labels)
+    met = some.groupBy("ord", "task").applyInPandas(_nearest(percent), "node long, other long, differ long")
+    best = met.groupBy("node").agg(F.min(F.struct("differ", "other"))["other"].alias("other"))
+    return written(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "closest")
+
+
 def candidates(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share enough prefix n-grams under every order and may link by
     size and bitmap."""
-    known = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = known.groupBy("ord", "list").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("ord", "list", "n")
-    some = dealt(known.join(mixed, ["ord", "list"]))
-    met = some.groupBy("ord", "task").applyInPandas(_across(percent), "ord int, a long, b long, sizes long, larger long, shared long")
+    met = unsettled(lists, labels).groupBy("ord", "task").applyInPandas(_across(percent), "ord int, a long, b long, sizes long, larger long, shared long")
     enough = least_shared(F.col("larger"), F.col("sizes") - F.col("larger"), percent)
     under = [F.sum(F.when(F.col("ord") == k, F.col("shared"))).alias(f"shared_{k}") for k in range(ORDERS)]
     pairs = met.groupBy("a", "b", "sizes", "larger").agg(*under)
@@ -577,9 +617,15 @@ def linked(docs: DataFrame, percent: int = PERCENT, n: int = N, chunk=None) -> D
     lists = prefixes(packed, answers, cell_bits, classes, floor, bits, percent, n).groupBy("ord", "block").applyInPandas(prefix_lists, "ord int, list long, weight long, node long, size long")
     lists = written(lists.join(homes.select("node", "bitmap"), "node"), "prefix-lists")
 
-    # Any choice here is right; likely links are chosen, as sets travel for each. Step 2 finds what this misses.
+    # Any choice here is right; likely links are chosen, as sets travel for each. Step 3 finds what this misses.
     links = written(verified(likely(lists, percent), rows, homes, percent, n), "links")
     labels = components(links)
+    for _ in range(ROUNDS):
+        more = written(verified(closest(lists, labels, percent), rows, homes, percent, n), "links")
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        labels = components(links)
     more = verified(candidates(lists, labels, percent), rows, homes, percent, n)
     labels = components(links.unionByName(written(more, "links")))
 

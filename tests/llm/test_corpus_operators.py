@@ -133,6 +133,15 @@ def test_candidates_of_a_large_group_stay_few(spark, monkeypatch):
     assert made[0].count() < 10 * len(texts)
 
 
+def test_pairs_of_a_large_group_are_joined_before_all_are_held_against_each_other(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(ngram_join, "candidates", lambda *a, f=ngram_join.candidates: made.append(f(*a)) or made[-1])
+    texts = near_copies()
+    got = ngram_join.linked(corpus(spark, texts)).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == fast_links(texts)
+    assert made[0].count() < 2 * len(texts)  # 23,246 without the rounds of closest()
+
+
 def fast_links(texts, n=4, percent=85):
     sets = [{tuple(t.split()[k:k + n]) for k in range(len(t.split()) - n + 1)} for t in texts]
     number = {}
