@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,53 +31,73 @@ def last_writes(stream: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     return stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("x")).select(*keys, "x.*")
 
 
+#: Keys of the state store: tickers are dealt to so many buckets. It cannot change between runs from one checkpoint.
+BUCKETS = 1024
+
+
+def _pack(frame: pd.DataFrame) -> bytes:
+    batch, sink = pa.RecordBatch.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
+
+
 class _InOrder(StatefulProcessor):
-    """Days of a ticker, taken in the order of their date however they arrive.
+    """Days of the tickers of a bucket, each ticker's taken in the order of their date however they arrive.
 
-    Days wait in list state until a timer, at the last day of the batch that brought them, fires: then the watermark has
-    passed them and nothing earlier can come. What has been seen so far is one row of value state. Both live in the
-    state store, so a query that starts again from its checkpoint goes on where it was.
+    A row of state costs far more than the work on a day, so the days that a batch brings to a bucket wait as one row of a
+    list until a timer, at the last of them, fires: then the watermark has passed them and nothing earlier can come. What
+    has been seen so far is one row a ticker in another list. Both live in the state store, so a query that starts again
+    from its checkpoint goes on where it was.
     """
 
     fields: Sequence[str]  # boolean columns of a day
-    state: str  # schema of the value state
+    state: str  # schema of what is known of a ticker
     start: tuple
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "day int, " + ", ".join(f"{f} boolean" for f in self.fields))
-        self.now = handle.getValueState("now", self.state)
+        self.waiting = handle.getListState("waiting", "days binary")
+        self.now = handle.getListState("now", f"ticker string, {self.state}")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        days = [((r["date"] - _EPOCH).days, *(bool(r[f]) for f in self.fields)) for r in rows]
-        self.waiting.appendList(days)
-        self.handle.registerTimer(max(d[0] for d in days) * _DAY_MS)  # one timer a batch
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        days = pd.concat([r[["ticker", "day", *self.fields]] for r in rows])
+        self.waiting.appendValue((_pack(days),))
+        self.handle.registerTimer(int(days["day"].max()) * _DAY_MS)  # one timer a batch
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() // _DAY_MS
-        waiting = [tuple(d) for d in self.waiting.get()]
-        ready = {d[0]: d[1:] for d in waiting if d[0] <= passed}  # of repeated days the last one
-        if not ready:
+        waiting = [_unpack(x[0]) for x in self.waiting.get()]
+        if not waiting:
             return
-        now = tuple(self.now.get()) if self.now.exists() else self.start
-        for day in sorted(ready):
-            now, events = self.step(now, _EPOCH + dt.timedelta(day), *ready[day])
-            for event in events:
-                yield Row(ticker=key[0], **event)
-        left = [d for d in waiting if d[0] > passed]
-        if left:
-            self.waiting.put(left)
-        else:
+        days = pd.concat(waiting)
+        ready, left = days[days["day"] <= passed], days[days["day"] > passed]
+        if ready.empty:
+            return
+        ready = ready.drop_duplicates(["ticker", "day"], keep="last").sort_values(["ticker", "day"])
+        known, out = {ticker: tuple(now) for ticker, *now in self.now.get()}, []
+        for ticker, day, *flags in zip(*(ready[c].tolist() for c in ready), strict=True):
+            known[ticker], events = self.step(known.get(ticker, self.start), _EPOCH + dt.timedelta(day), *flags)
+            out += [{"ticker": ticker, **event} for event in events]
+        if left.empty:
             self.waiting.clear()
-        self.now.update(now)
+        else:
+            self.waiting.put([(_pack(left),)])
+        self.now.put([(ticker, *now) for ticker, now in known.items()])
+        if out:
+            yield pd.DataFrame(out)
 
     def step(self, now: tuple, day: dt.date, *flags: bool) -> tuple[tuple, list[dict]]:
         raise NotImplementedError
 
 
 class Sessions(_InOrder):
-    """Value state: sessions so far, entry day of the open one, last day of the run of holds."""
+    """State of a ticker: sessions so far, entry day of the open one, last day of the run of holds."""
 
     fields, state, start = ("hold", "signal"), "n int, entry date, last date", (0, None, None)
     schema = "ticker string, event string, session_id int, entry_date date, exit_date date, last_hold date"
@@ -91,7 +113,7 @@ class Sessions(_InOrder):
 
 
 class Membership(_InOrder):
-    """Value state: is the ticker a member, was it ever, fails in a row."""
+    """State of a ticker: is it a member, was it ever, fails in a row."""
 
     fields, state, start = ("passes",), "active boolean, seen boolean, fails int", (False, False, 0)
     schema = "ticker string, effective_date date, is_active boolean"
@@ -110,7 +132,10 @@ class Membership(_InOrder):
 
 def _by_ticker(days: DataFrame, processor: _InOrder, delay: str) -> DataFrame:
     timed = days.withColumn("ts", F.col("date").cast("timestamp")).withWatermark("ts", delay)
-    return timed.groupBy("ticker").transformWithState(processor, processor.schema, "Append", "EventTime")
+    flags = [F.coalesce(f, F.lit(False)).alias(f) for f in processor.fields]
+    bucket = F.pmod(F.xxhash64("ticker"), F.lit(BUCKETS)).cast("int")
+    dealt = timed.select(bucket.alias("bucket"), "ticker", F.unix_date("date").alias("day"), *flags, "ts")
+    return dealt.groupBy("bucket").transformWithStateInPandas(processor, processor.schema, "Append", "EventTime")
 
 
 def session_events(days: DataFrame, delay: str) -> DataFrame:

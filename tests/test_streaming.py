@@ -82,3 +82,32 @@ def test_last_writes(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     inc.last_writes(stream, ["k"], "at").writeStream.format("memory").queryName("last_rows").outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(map(tuple, spark.table("last_rows").collect())) == [("a", 3, "z"), ("b", 5, "y")]
+
+
+def test_a_bucket_keeps_the_days_of_a_batch_as_one_row_of_state():
+    import pandas as pd
+
+    class List(list):
+        get, put, appendValue = lambda self: list(self), lambda self, rows: self.__setitem__(slice(None), rows), list.append
+
+    class Handle:
+        def __init__(self):
+            self.lists, self.timers = {}, []
+
+        def getListState(self, name, schema):
+            return self.lists.setdefault(name, List())
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 5 * 86_400_000
+
+    handle, bucket = Handle(), inc.Membership(2)
+    bucket.init(handle)
+    days = [(f"T{k}", day, k % 2 == day % 2) for k in range(50) for day in (4, 3, 9)]
+    list(bucket.handleInputRows((1,), iter([pd.DataFrame(days, columns=["ticker", "day", "passes"])]), None))
+    assert len(handle.lists["waiting"]) == 1 and handle.timers == [9 * 86_400_000]
+    got = pd.concat(bucket.handleExpiredTimer((1,), Times(), None))
+    assert len(got) == 50 and got["is_active"].all() and len(handle.lists["waiting"]) == 1 and len(handle.lists["now"]) == 50
