@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barsmith.functions.columns import no_nan
+from barsmith.operators.series import along
 
 
 def swing_kinds(x: np.ndarray, reversal: np.ndarray) -> np.ndarray:
     """1 at bars that are swing highs of x, -1 at swing lows, 0 elsewhere: an extreme counts once x has come back
     from it by the reversal of the bar then reached; the last, unconfirmed extreme does not."""
     kinds = np.zeros(len(x), dtype=int)
+    x, reversal = np.asarray(x).tolist(), np.asarray(reversal).tolist()  # numbers of Python: each is read by itself
     leg, best = (1 if len(x) > 1 and x[1] >= x[0] else -1), 0
     for i in range(1, len(x)):
         move = leg * (x[i] - x[best])
@@ -28,14 +30,21 @@ def swing_kinds(x: np.ndarray, reversal: np.ndarray) -> np.ndarray:
 
 
 def swings(df: DataFrame, x: str, reversal: str) -> DataFrame:
-    """ticker, date, swing (see swing_kinds) of every row of df. A ticker's history is one group, a row a day."""
+    """ticker, date, swing (see swing_kinds) of every row of df."""
+    return with_swings(df.select("ticker", "date", x, reversal), x, reversal).select("ticker", "date", "swing")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date", kind="stable")
-        kinds = swing_kinds(group[x].to_numpy(float), group[reversal].to_numpy(float))
-        return group[["ticker", "date"]].assign(swing=kinds)
 
-    return df.select("ticker", "date", x, reversal).groupBy("ticker").applyInPandas(run, "ticker string, date date, swing int")
+def with_swings(df: DataFrame, x: str, reversal: str) -> DataFrame:
+    """df with swing (see swing_kinds). A ticker's history is in one task, a row a day."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", swing int"
+
+    def run(rows: pd.DataFrame, group: pd.Series) -> pd.DataFrame:
+        values, back = rows[x].to_numpy(float), rows[reversal].to_numpy(float)
+        ends = np.flatnonzero(np.diff(group.to_numpy())) + 1
+        kinds = [swing_kinds(a, b) for a, b in zip(np.split(values, ends), np.split(back, ends), strict=True)]
+        return rows.assign(swing=np.concatenate(kinds))
+
+    return along(df, "ticker", "date", run, schema)
 
 
 def newey_west_t(values: Column, lag: int = 5) -> Column:

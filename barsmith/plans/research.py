@@ -117,7 +117,7 @@ pivots as (select l.ticker, l.date, l.x, l.k, coalesce(m.kind, 0) as swing from
 def swing_input(spark, sf_dir) -> DataFrame:
     """Log closes with a reversal of the mean range of 14 bars over the close."""
     reversal = F.coalesce(F.avg(F.col("high") - F.col("low")).over(c.back(14)) / F.col("close"), F.lit(0.02))
-    return t.bars(spark, sf_dir).select("ticker", "date", F.log("close").alias("x"), reversal.alias("rev"))
+    return t.bars(spark, sf_dir, lines=True).select("ticker", "date", F.log("close").alias("x"), reversal.alias("rev"))
 
 
 @rule("g11_swing_pivots", ("bars",), "select ticker, date, swing from pivots", SWINGS)
@@ -129,12 +129,13 @@ def g11(spark, sf_dir):
 from (select *, cast(k as double) as kd from pivots) window w as (partition by ticker order by date rows between 62 preceding and current row)""", SWINGS)
 def g12(spark, sf_dir):
     """Pivots, slope (per 1000 bars) and fit of the log price over 63 bars, and the sign of the change over 252."""
-    x = swing_input(spark, sf_dir)
     k, w = F.row_number().over(panel()).cast("double"), c.back(63)
-    d = x.join(sg.swings(x, "x", "rev"), ["ticker", "date"]).withColumn("k", k)
     whole = lambda v: F.when(F.col("k") >= 63, v)
-    return d.select("ticker", "date", (F.col("swing") == 1).alias("pivot_high"), (F.col("swing") == -1).alias("pivot_low"), whole(1000 * F.regr_slope("x", "k").over(w)).alias("slope_63"),
-                    whole(F.regr_r2("x", "k").over(w)).alias("slope_r2_63"), F.signum(F.col("x") - F.lag("x", 252).over(panel())).cast("int").alias("prior_slope_sign"))
+    d = swing_input(spark, sf_dir).withColumn("k", k).select(
+        "ticker", "date", "x", "rev", whole(1000 * F.regr_slope("x", "k").over(w)).alias("slope_63"), whole(F.regr_r2("x", "k").over(w)).alias("slope_r2_63"),
+        F.signum(F.col("x") - F.lag("x", 252).over(panel())).cast("int").alias("prior_slope_sign"))
+    d = sg.with_swings(d, "x", "rev")
+    return d.select("ticker", "date", (F.col("swing") == 1).alias("pivot_high"), (F.col("swing") == -1).alias("pivot_low"), "slope_63", "slope_r2_63", "prior_slope_sign")
 
 
 @rule("g4_other_kinds_enrolled", ("bars", "profiles"), f"""select ticker, min(date) as first_date, {r('arg_max(close, date)')} as last_close from bars

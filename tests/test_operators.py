@@ -158,3 +158,51 @@ def test_tickers_keep_long_keys(spark, tmp_path):
     for view in (tables.bars, tables.profiles, tables.fundamentals, tables.shares, tables.scores, tables.fills):
         assert sorted(r["ticker"] for r in view(spark, str(tmp_path)).select("ticker").collect()) == want
     assert tables.scores(spark, str(tmp_path)).where("score is null").count() == 0
+
+
+def test_rolled_and_swings_of_many_short_and_long_lines(spark):
+    import datetime as dt
+    import math
+    import random
+
+    import numpy as np
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from barsmith.operators import series as se
+    from barsmith.operators import signals as sg
+
+    r = random.Random(3)
+    rows = [(f"T{k}", dt.date(2020, 1, 1) + dt.timedelta(d), None if r.random() < 0.05 else r.uniform(1, 9)) for k in range(300) for d in range(1 if k % 3 else 90)]
+    r.shuffle(rows)
+    df = spark.createDataFrame([(None, *x[1:]) if x[0] == "T0" else x for x in rows], "ticker string, date date, close double")
+    w = Window.partitionBy("ticker").orderBy("date").rowsBetween(-6, 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = se.rolled(df, "ticker", "date", {"mean": ("close", "mean", 7), "top": ("close", "max", 7), "low": ("close", "min", 7)}, [3])
+        want = se.ema(df, "ticker", "date", "close", [3]).select("ticker", "date", "close", F.avg("close").over(w), F.max("close").over(w), F.min("close").over(w), "ema_3")
+        key = lambda x: (x[0] or "", x[1])
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+        lines = {}
+        for x in sorted(got.collect(), key=key):
+            lines.setdefault(x.ticker, []).append(x)
+        for line in (x for x in lines.values() if all(y.close is not None for y in x[:9])):
+            e = line[0].close
+            for x in line[1:9]:
+                e = x.close / 2 + e / 2
+                assert math.isclose(x.ema_3, e)
+        full = df.where("close is not null and ticker is not null").withColumn("rev", F.lit(2.0))
+        kinds = {(x.ticker, x.date): x.swing for x in sg.swings(full, "close", "rev").collect()}
+        for ticker in ("T3", "T4", "T297"):
+            line = sorted((x for x in full.collect() if x.ticker == ticker), key=lambda x: x.date)
+            assert [kinds[ticker, x.date] for x in line] == sg.swing_kinds(np.array([x.close for x in line]), np.full(len(line), 2.0)).tolist()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ticker_features_are_exchanged_once_and_called_by_batch(spark):
+    from barsmith.plans import registry
+
+    for name, exchanges in (("v1_screener_features", 2), ("g12_trend_segments", 1)):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInPandas" not in plan and plan.count("Exchange hashpartitioning") == exchanges
