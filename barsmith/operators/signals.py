@@ -34,8 +34,8 @@ def swings(df: DataFrame, x: str, reversal: str) -> DataFrame:
     return with_swings(df.select("ticker", "date", x, reversal), x, reversal).select("ticker", "date", "swing")
 
 
-def with_swings(df: DataFrame, x: str, reversal: str) -> DataFrame:
-    """df with swing (see swing_kinds). A ticker's history is in one task, a row a day."""
+def with_swings(df: DataFrame, x: str, reversal: str, dealt: bool = False) -> DataFrame:
+    """df with swing (see swing_kinds). A ticker's history is in one task, a row a day. dealt: as for along()."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", swing int"
 
     def run(rows: pd.DataFrame, group: pd.Series) -> pd.DataFrame:
@@ -44,7 +44,7 @@ def with_swings(df: DataFrame, x: str, reversal: str) -> DataFrame:
         kinds = [swing_kinds(a, b) for a, b in zip(np.split(values, ends), np.split(back, ends), strict=True)]
         return rows.assign(swing=np.concatenate(kinds))
 
-    return along(df, "ticker", "date", run, schema)
+    return along(df, "ticker", "date", run, schema, dealt)
 
 
 def newey_west_t(values: Column, lag: int = 5) -> Column:

@@ -134,7 +134,7 @@ def g12(spark, sf_dir):
     d = swing_input(spark, sf_dir).withColumn("k", k).select(
         "ticker", "date", "x", "rev", whole(1000 * F.regr_slope("x", "k").over(w)).alias("slope_63"), whole(F.regr_r2("x", "k").over(w)).alias("slope_r2_63"),
         F.signum(F.col("x") - F.lag("x", 252).over(panel())).cast("int").alias("prior_slope_sign"))
-    d = sg.with_swings(d, "x", "rev")
+    d = sg.with_swings(d, "x", "rev", dealt=True)
     return d.select("ticker", "date", (F.col("swing") == 1).alias("pivot_high"), (F.col("swing") == -1).alias("pivot_low"), "slope_63", "slope_r2_63", "prior_slope_sign")
 
 

@@ -30,11 +30,16 @@ LONG = "lg as (" + " union all ".join(f"select date, ticker, '{n}' as feature, {
 
 def featured(spark, sf_dir):
     w, close = panel(), F.col("close")
-    return t.scores(spark, sf_dir).select(
+    return t.scores(spark, sf_dir, lines=True).select(
         "ticker", "date", (F.lead("close", 5).over(w) / close - 1).alias("fwd"), (close / F.lag("close", 10).over(w) - 1).alias("mom"),
         (F.stddev_samp("close").over(c.back(10)) / F.nullif(F.avg("close").over(c.back(10)), F.lit(0.0))).alias("vol"), "score")
 
 
+def ranked_days(spark, sf_dir):
+    """Feature rows of full windows, dealt out by day: every rank is a sort, and a task holds the sorts of all ranked columns."""
+    return featured(spark, sf_dir).where("mom is not null and vol is not null").repartition(t.parts(spark, sf_dir), "date")
+
+
 def unpivoted(spark, sf_dir):
     return featured(spark, sf_dir).unpivot(["ticker", "date", "fwd"], list(FEATURES), "feature", "x").where("x is not null and fwd is not null")
 
@@ -51,7 +56,7 @@ PAIRS = [("mom", "vol"), ("mom", "score"), ("vol", "score")]
 
 @rule("t5_redundant_features", ("scores",), " union all ".join(f"select '{a}' as f, '{b}' as g, {r('corr(ra, rb)')} as spearman, abs(corr(ra, rb)) > 0.5 as redundant from (select {rk(a)} as ra, {rk(b)} as rb from ft where mom is not null and vol is not null)" for a, b in PAIRS), FEATURED)
 def t5(spark, sf_dir):
-    d = featured(spark, sf_dir).where("mom is not null and vol is not null").select(*[day_rank(n).alias(n) for n in FEATURES])
+    d = ranked_days(spark, sf_dir).select(*[day_rank(n).alias(n) for n in FEATURES])
     one = d.agg(*[F.struct(F.lit(a).alias("f"), F.lit(b).alias("g"), F.corr(a, b).alias("spearman"), (F.abs(F.corr(a, b)) > 0.5).alias("redundant")).alias(f"{a}_{b}") for a, b in PAIRS])
     return one.select(F.inline(F.array(*[f"{a}_{b}" for a, b in PAIRS])))
 
@@ -110,7 +115,7 @@ def _parity(a, b):
 
 @rule("t36_composite_baseline", ("scores",), f"select ticker, date, {r(f'({rk('mom')} + {rk('vol')}) / 2')} as composite from ft where mom is not null and vol is not null", FEATURED)
 def t36(spark, sf_dir):
-    return featured(spark, sf_dir).where("mom is not null and vol is not null").select("ticker", "date", ((day_rank("mom") + day_rank("vol")) / 2).alias("composite"))
+    return ranked_days(spark, sf_dir).select("ticker", "date", ((day_rank("mom") + day_rank("vol")) / 2).alias("composite"))
 
 
 stat("t38_leadership_profile", f"select year(date) as era, {r('avg(fwd) filter (where score >= 0.9) - avg(fwd) filter (where score < 0.1)')} as spread, {r('avg(fwd) filter (where score >= 0.9)')} as top from p group by 1")(
