@@ -206,3 +206,14 @@ def test_ticker_features_are_exchanged_once_and_called_by_batch(spark):
     for name, exchanges in (("v1_screener_features", 2), ("g12_trend_segments", 1)):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapGroupsInPandas" not in plan and plan.count("Exchange hashpartitioning") == exchanges
+
+
+def test_days_and_tickers_are_dealt_to_more_tasks_as_the_table_grows(spark, monkeypatch):
+    from barsmith.plans import registry
+    from barsmith.sources import tables
+
+    monkeypatch.setattr(tables, "SHARE", 500)  # of about 6,000 line items
+    for name in ("t5_redundant_features", "t36_composite_baseline", "v1_screener_features"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+        assert len(dealt) == 2 and not any(", 4)" in line for line in dealt)
