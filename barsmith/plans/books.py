@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barsmith.operators import books as k
 from barsmith.operators import trades as b
+from barsmith.operators.writes import reread
 from barsmith.plans.base import query, with_views
 from barsmith.plans.features import rounded, rounded_sql
 from barsmith.sources import tables as t
@@ -58,8 +59,16 @@ def entries_of(spark, sf_dir):
     return k.gated_entries(t.scores(spark, sf_dir).select("ticker", "date", "score"), LEAST, PER_DAY, WARMUP, exposure_of(spark, sf_dir))
 
 
+def entered(spark, sf_dir):
+    """The entries, and the bars of their tickers: at most PER_DAY of a day, so they are sent to all tasks. Written once, as exits and
+    curves read them again and again."""
+    entries = reread(entries_of(spark, sf_dir), "entries")
+    some = t.bars(spark, sf_dir).join(F.broadcast(entries.select("ticker").distinct()), "ticker", "left_semi")
+    return entries, reread(some, "entered-bars")
+
+
 def trades_of(spark, sf_dir, *policies):
-    return k.path_exits(entries_of(spark, sf_dir), t.bars(spark, sf_dir), RULES, policies or k.POLICIES)
+    return k.path_exits(*entered(spark, sf_dir), RULES, policies or k.POLICIES)
 
 
 @query("b1_gated_entries", with_views("scores", "bench", more=f"{EXPOSURE},\n{ENTRIES}", sql="select ticker, entry_date, round(score, 6) as score from entries"))
@@ -99,12 +108,15 @@ curve as (select *, product(1 + daily_return) over (order by date) as growth fro
 
 
 def curve_of(spark, sf_dir):
-    return k.equity_curve(trades_of(spark, sf_dir, POLICY), t.bars(spark, sf_dir), SIZE, STARTER, exposure_of(spark, sf_dir))
+    """The trades of POLICY, written once, and their curve."""
+    entries, some = entered(spark, sf_dir)
+    trades = reread(k.path_exits(entries, some, RULES, (POLICY,)), "trades")
+    return trades, k.equity_curve(trades, some, SIZE, STARTER, exposure_of(spark, sf_dir))
 
 
 @query("b5_equity_curve", with_views("scores", "bench", more=f"{BOOK},\n{CURVE}", sql=f"select date, open_trades, {rounded_sql('daily_return')} as daily_return, {rounded_sql('growth')} as growth from curve"))
 def b5(spark, sf_dir):
-    return curve_of(spark, sf_dir).select("date", "open_trades", rounded(F.col("daily_return")).alias("daily_return"), rounded(F.col("growth")).alias("growth"))
+    return curve_of(spark, sf_dir)[1].select("date", "open_trades", rounded(F.col("daily_return")).alias("daily_return"), rounded(F.col("growth")).alias("growth"))
 
 
 METRICS = ("sharpe", "ann_return", "ann_vol", "total_return", "max_drawdown", "calmar")
@@ -117,5 +129,6 @@ m as (select avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) as sharpe, pow(arg_m
 w as (select count(*) as n_trades, avg(cast(exit_price / entry_price - 1 - {COST} > 0 as int)) as win_rate, avg(exit_price / entry_price - 1 - {COST}) as avg_pnl from trades where policy = '{POLICY}')""",
     sql=f"select {', '.join(f'{rounded_sql(x)} as {x}' for x in METRICS[:5])}, {rounded_sql('ann_return / nullif(-max_drawdown, 0)')} as calmar, days, n_trades, {rounded_sql('win_rate')} as win_rate, {rounded_sql('avg_pnl')} as avg_pnl from m, w"))
 def b6(spark, sf_dir):
-    both = k.curve_metrics(curve_of(spark, sf_dir)).crossJoin(k.trade_metrics(trades_of(spark, sf_dir, POLICY), COST))  # one row each
+    trades, curve = curve_of(spark, sf_dir)
+    both = k.curve_metrics(curve).crossJoin(k.trade_metrics(trades, COST))  # one row each
     return both.select(*[rounded(F.col(x)).alias(x) for x in METRICS], "days", "n_trades", rounded(F.col("win_rate")).alias("win_rate"), rounded(F.col("avg_pnl")).alias("avg_pnl"))
