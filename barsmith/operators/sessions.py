@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barsmith.functions.columns import panel
+from barsmith.operators.writes import reread
 
 
 def running():
@@ -48,6 +49,21 @@ def trade_sessions(days: DataFrame, hold: Column, signal: Column) -> DataFrame:
     return runs.select("ticker", number.alias("session_id"), "entry_date", "exit_date", "last_hold")
 
 
+def sessions_and_day(days: DataFrame, hold: Column, signal: Column, end: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions (ticker, entry_date, exit_date, as trade_sessions() tells them) and the last day's rows (ticker, date, hold, signal), from
+    one pass over the days: a row for each run of days that hold, or do not, which is written once. end: one row, the last day."""
+    d = days.select("ticker", "date", F.coalesce(hold, F.lit(False)).alias("h"), F.coalesce(signal, F.lit(False)).alias("s"))
+    start = F.col("h") & ~F.coalesce(F.lag("h").over(panel()), F.lit(False))
+    d = d.withColumns({"next_date": F.lead("date").over(panel()), "start": start.cast("int")}).withColumn("run", F.sum("start").over(running()))
+    last = F.col("date") == F.col("end")
+    runs = d.join(F.broadcast(end)).groupBy("ticker", "run", "h").agg(
+        F.min(F.when(F.col("s"), F.col("date"))).alias("entry_date"), F.max_by("next_date", "date").alias("exit_date"),
+        F.max(F.when(last, F.col("date"))).alias("date"), F.max(F.when(last, F.col("s"))).alias("signal"))
+    runs = reread(runs.where("h and entry_date is not null or date is not null"), "runs")
+    sessions = runs.where("h and entry_date is not null").select("ticker", "entry_date", "exit_date")
+    return sessions, runs.where("date is not null").select("ticker", "date", F.col("h").alias("hold"), "signal")
+
+
 def step_sessions(state: DataFrame, day: DataFrame) -> DataFrame:
     """Sessions after one more day: state (ticker, entry_date, exit_date), day (ticker, date, hold, signal).
 

@@ -156,11 +156,10 @@ before as (select ticker, entry_date, case when exit_date < e then exit_date end
 lastday as (select *, coalesce(close > s5 and close > s15, false) as h from flagged where date = (select max(date) from bars))""")
 def g7(spark, sf_dir):
     """The sessions known before the table's last day, taken one day on."""
-    f = flagged(spark, sf_dir)
-    end = t.bars(spark, sf_dir).agg(F.max("date").alias("end"))  # one row
-    state = sessions_of(spark, sf_dir).crossJoin(F.broadcast(end)).where("entry_date < end")
+    end = t.table(spark, sf_dir, "lineitem", "l_shipdate").agg(F.max(F.to_date("l_shipdate")).alias("end"))  # one row
+    sessions, day = se.sessions_and_day(flagged(spark, sf_dir), hold(), F.col("breakout_ok"), end)
+    state = sessions.crossJoin(F.broadcast(end)).where("entry_date < end")
     state = state.select("ticker", "entry_date", F.when(F.col("exit_date") < F.col("end"), F.col("exit_date")).alias("exit_date"))
-    day = f.join(F.broadcast(end), F.col("date") == F.col("end")).select("ticker", "date", F.coalesce(hold(), F.lit(False)).alias("hold"), F.coalesce("breakout_ok", F.lit(False)).alias("signal"))
     return se.step_sessions(state, day)
 
 

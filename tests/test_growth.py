@@ -19,3 +19,20 @@ def test_a_curve_and_its_trades_are_made_once(spark, monkeypatch):
     made = []
     monkeypatch.setattr(books.k, "path_exits", lambda *a, f=books.k.path_exits: made.append(1) or f(*a))
     assert plan(spark, "b6_equity_metrics").count("l_suppkey") <= 8 and made == [1]  # what is left are the benchmark's days
+
+
+def test_the_daily_step_passes_the_bars_once(spark):
+    assert "Window" not in plan(spark, "g7_daily_step")
+
+
+def test_sessions_and_the_last_day_come_from_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    from barsmith.operators import sessions as s
+
+    rows = [("a", d, h, g) for d, h, g in ((1, True, False), (2, True, True), (3, False, False), (4, True, True), (5, True, False))] + [("b", d, h, True) for d, h in ((3, False), (4, True), (5, False))] + [("c", 4, True, True)]
+    d = spark.createDataFrame(rows, "ticker string, d int, h boolean, g boolean").withColumn("date", F.date_from_unix_date("d"))
+    sessions, day = s.sessions_and_day(d, F.col("h"), F.col("g"), d.agg(F.max("date").alias("end")))
+    want = s.trade_sessions(d, F.col("h"), F.col("g")).select("ticker", "entry_date", "exit_date")
+    assert sorted(map(str, sessions.collect())) == sorted(map(str, want.collect())) and want.count() == 4
+    assert sorted((r.ticker, r.hold, r.signal) for r in day.collect()) == [("a", True, False), ("b", False, True)]
