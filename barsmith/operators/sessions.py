@@ -38,15 +38,18 @@ def active_on(log: DataFrame, on: Column) -> DataFrame:
     return log.where(F.col("effective_date") <= on).groupBy("ticker").agg(F.max_by("is_active", "effective_date").alias("a")).where("a").select("ticker")
 
 
-def trade_sessions(days: DataFrame, hold: Column, signal: Column) -> DataFrame:
+def trade_sessions(days: DataFrame, hold: Column, signal: Column, closes: bool = False) -> DataFrame:
     """ticker, session_id, entry_date, exit_date, last_hold: maximal runs of hold with a signal inside; entry at
-    the first signal, exit at the bar after the run (null if it is open)."""
-    d = days.select("ticker", "date", F.coalesce(hold, F.lit(False)).alias("h"), F.coalesce(signal, F.lit(False)).alias("s"))
+    the first signal, exit at the bar after the run (null if it is open). closes: also entry_close and exit_close, so that returns need
+    no join with the bars."""
+    d = days.select("ticker", "date", *(["close"] if closes else []), F.coalesce(hold, F.lit(False)).alias("h"), F.coalesce(signal, F.lit(False)).alias("s"))
     start = F.col("h") & ~F.coalesce(F.lag("h").over(panel()), F.lit(False))
+    prices = [F.min_by("close", F.when(F.col("s"), F.col("date"))).alias("entry_close"), F.max_by("next_close", "date").alias("exit_close")] if closes else []
+    d = d.withColumn("next_close", F.lead("close").over(panel())) if closes else d
     d = d.withColumn("next_date", F.lead("date").over(panel())).withColumn("run", F.sum(start.cast("int")).over(running())).where("h")
-    runs = d.groupBy("ticker", "run").agg(F.min(F.when(F.col("s"), F.col("date"))).alias("entry_date"), F.max("date").alias("last_hold"), F.max_by("next_date", "date").alias("exit_date")).where("entry_date is not null")
+    runs = d.groupBy("ticker", "run").agg(F.min(F.when(F.col("s"), F.col("date"))).alias("entry_date"), F.max("date").alias("last_hold"), F.max_by("next_date", "date").alias("exit_date"), *prices).where("entry_date is not null")
     number = F.row_number().over(Window.partitionBy("ticker").orderBy("entry_date"))
-    return runs.select("ticker", number.alias("session_id"), "entry_date", "exit_date", "last_hold")
+    return runs.select("ticker", number.alias("session_id"), "entry_date", "exit_date", "last_hold", *(["entry_close", "exit_close"] if closes else []))
 
 
 def sessions_and_day(days: DataFrame, hold: Column, signal: Column, end: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -27,8 +27,8 @@ def hold():
     return (F.col("close") > F.col("s5")) & (F.col("close") > F.col("s15"))
 
 
-def sessions_of(spark, sf_dir):
-    return s.trade_sessions(flagged(spark, sf_dir), hold(), F.col("breakout_ok"))
+def sessions_of(spark, sf_dir, closes=False):
+    return s.trade_sessions(flagged(spark, sf_dir), hold(), F.col("breakout_ok"), closes)
 
 
 @query("g1_membership_log", with_views("bars", more=f"""d as (select ticker, date, cast(close >= 500 as int) as ok from bars),

@@ -36,3 +36,7 @@ def test_sessions_and_the_last_day_come_from_one_pass(spark):
     want = s.trade_sessions(d, F.col("h"), F.col("g")).select("ticker", "entry_date", "exit_date")
     assert sorted(map(str, sessions.collect())) == sorted(map(str, want.collect())) and want.count() == 4
     assert sorted((r.ticker, r.hold, r.signal) for r in day.collect()) == [("a", True, False), ("b", False, True)]
+
+
+def test_bootstrap_trades_are_made_once(spark):
+    assert "l_suppkey" not in plan(spark, "t28_bootstrap_intervals")
