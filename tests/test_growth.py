@@ -40,3 +40,18 @@ def test_sessions_and_the_last_day_come_from_one_pass(spark):
 
 def test_bootstrap_trades_are_made_once(spark):
     assert "l_suppkey" not in plan(spark, "t28_bootstrap_intervals")
+
+
+def test_long_windows_of_labels_visit_no_row_again_and_again(spark):
+    frames = [abs(int(x)) for x in re.findall(r"RowFrame, (-?\d+)|currentrow\$\(\), (-?\d+)", plan(spark, "l3_label_panel")) for x in x if x]
+    assert "MapInPandas" in plan(spark, "l3_label_panel") and max(frames) < 63
+
+
+def test_rolls_of_the_next_rows(spark):
+    from barsmith.operators import series as se
+
+    x = {"a": [3.0, None, 1.0, 2.0], "b": [5.0], "c": [1.0, 4.0, 2.0]}
+    d = spark.createDataFrame([(k, i, v) for k, line in x.items() for i, v in enumerate(line)], "k string, i int, close double")
+    got = {(r.k, r.i): (r.hi, r.lo) for r in se.rolled(d, "k", "i", {"hi": ("close", "max", -2), "lo": ("close", "min", -2)}).collect()}
+    some = lambda f, line: f(v for v in line if v is not None) if any(v is not None for v in line) else None
+    assert got == {(k, i): (some(max, line[i + 1:i + 3]), some(min, line[i + 1:i + 3])) for k, line in x.items() for i in range(len(line))}
