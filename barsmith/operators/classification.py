@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barsmith.operators.series import running_sums
+from barsmith.operators.series import exact_quantiles, running_sums
 from barsmith.operators.writes import reread
 
 
@@ -109,13 +109,18 @@ def largest_disagreements(pairs: DataFrame, most: int, tolerance: int = 0) -> Da
 def drift_report(df: DataFrame, features: Sequence[str], reference: Column, period: Column, bins: int = 10, least: int = 30, floor: float = 1e-6) -> DataFrame:
     """feature, period, n, psi, status of every period outside the reference against it: the population stability index over
     bins of equal reference counts, shares of at least `floor`; "stable" under 0.1, "moderate" under 0.25, else "major",
-    and "thin" with fewer than `least` rows. Features are unpivoted once; their edges are one row each."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])
-    long = df.select(F.explode(pairs).alias("p"), reference.alias("early"), period.alias("period")).select("p.feature", "p.x", "early", "period").where(F.col("x").isNotNull() & F.col("early").isNotNull())
-    old = long.where("early").groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
-    edges = old.groupBy("feature").agg(F.percentile("x", [k / bins for k in range(1, bins)], F.col("n")).alias("q"))  # counted values
-    binned = long.join(F.broadcast(edges), "feature").withColumn("bin", F.size(F.filter("q", lambda e: F.col("x") > e)))
-    counts = binned.groupBy("feature", F.when(~F.col("early"), F.col("period")).alias("period"), "bin").agg(F.count(F.lit(1)).alias("n"))
+    and "thin" with fewer than `least` rows. df is written once, as it is read three times: edges come from exact_quantiles(),
+    all features' in one row, so that no task holds the values of a feature."""
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in features], reference.alias("early"), period.alias("period")).where("early is not null")
+    rows = reread(rows, "drift-rows")
+    q = exact_quantiles(rows.where("early"), features, [k / bins for k in range(1, bins)])
+    wide = rows.crossJoin(F.broadcast(q.select(*[F.col(c).alias(f"q_{i}") for i, c in enumerate(features)])))
+    place = lambda i, c: sum(((F.col(c) > F.col(f"q_{i}")[k]).cast("int") for k in range(bins - 1)), F.lit(0))
+    bins_of = F.array(*[F.struct(F.lit(i).alias("feature"), F.when(F.col(f"q_{i}").isNotNull(), place(i, c)).alias("bin")) for i, c in enumerate(features)])
+    binned = wide.select(F.when(~F.col("early"), F.col("period")).alias("period"), F.inline(bins_of)).where("bin is not null")
+    counts = binned.groupBy("feature", "period", "bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = reread(counts.withColumn("feature", F.array(*map(F.lit, features))[F.col("feature")]), "drift-counts")
+    edges = counts.where("period is null").select("feature").distinct()
     every = Window.partitionBy("feature", "period")
     shares = counts.withColumn("share", F.col("n") / F.sum("n").over(every)).withColumn("total", F.sum("n").over(every))
     base = shares.where("period is null").select("feature", "bin", F.col("share").alias("old"))

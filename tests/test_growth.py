@@ -55,3 +55,21 @@ def test_rolls_of_the_next_rows(spark):
     got = {(r.k, r.i): (r.hi, r.lo) for r in se.rolled(d, "k", "i", {"hi": ("close", "max", -2), "lo": ("close", "min", -2)}).collect()}
     some = lambda f, line: f(v for v in line if v is not None) if any(v is not None for v in line) else None
     assert got == {(k, i): (some(max, line[i + 1:i + 3]), some(min, line[i + 1:i + 3])) for k, line in x.items() for i in range(len(line))}
+
+
+def test_drift_rows_are_made_once_and_no_task_holds_their_values(spark):
+    assert not re.search(r"l_suppkey|percentile\(", plan(spark, "t25_drift_report"))
+
+
+def test_a_quantile_between_equal_values_is_that_value(spark):
+    from pyspark.sql import functions as F
+
+    from barsmith.operators import series as se
+
+    values = [k / 7 for k in range(1, 40)]
+    shares = [k / 10 for k in range(1, 10)]
+    for v in values:
+        d = spark.range(14).select(F.lit(v).alias("x")).coalesce(1)
+        assert se.exact_quantiles(d, ["x"], shares).first().x == [v] * 9
+        if v > 3:
+            break
