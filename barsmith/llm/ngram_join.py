@@ -174,7 +174,7 @@ def cells_of(values: np.ndarray) -> np.ndarray:
 
 def frequency_classes(slices: DataFrame) -> tuple[np.ndarray, float]:
     """For each cell of the sketch how many times, as a power of 2, it is hit more often than the mean cell,
-    and what counts as that."""
+    and what counts as that. The hits stay with the tasks: only their median and the classes, packed, reach the driver."""
     width = SKETCH // SLICES
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
@@ -182,13 +182,33 @@ def frequency_classes(slices: DataFrame) -> tuple[np.ndarray, float]:
         for x in group["counts"]:
             data = zstandard.ZstdDecompressor().decompress(x)
             total += np.frombuffer(data, dtype=np.uint8 if len(data) == width else np.uint32)
-        return pd.DataFrame({"slice": [int(group["slice"].iloc[0])], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+        return pd.DataFrame({"slice": [int(group["slice"].iloc[0])], "counts": [zstandard.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
-    count = np.zeros(SKETCH, dtype=np.float32)
-    for p in slices.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect():  # SKETCH numbers in all
-        count[p["slice"] * width:(p["slice"] + 1) * width] = np.frombuffer(p["counts"], dtype=np.uint32)
-    floor = max(1.0, float(np.median(count)) + 3 * float(np.sqrt(np.median(count))))
-    return np.ceil(np.log2(np.maximum(count / floor, 1))).astype(np.uint8), floor
+    def hits(batch: pd.DataFrame) -> list[np.ndarray]:
+        return [np.frombuffer(zstandard.decompress(x), dtype=np.uint32) for x in batch["counts"]]
+
+    def spread(batches):
+        for batch in small(batches, 1):
+            hit, cells = np.unique(hits(batch)[0], return_counts=True)
+            yield pd.DataFrame({"hit": hit.astype(np.int64), "cells": cells})
+
+    sums = written(slices.groupBy("slice").applyInPandas(add, "slice int, counts binary"), "sketch")
+    met = sums.mapInPandas(spread, "hit long, cells long").groupBy("hit").agg(F.sum("cells").alias("cells"))
+    middle = met.agg(F.percentile("hit", 0.5, F.col("cells"))).first()[0]
+    if middle is None:  # no n-grams at all
+        return np.zeros(SKETCH, dtype=np.uint8), 1.0
+    middle = np.float32(middle)
+    floor = max(1.0, float(middle) + 3 * float(np.sqrt(middle)))
+
+    def classes(batches):
+        for batch in small(batches, 1):
+            above = np.ceil(np.log2(np.maximum(hits(batch)[0].astype(np.float32) / floor, 1)))
+            yield pd.DataFrame({"slice": batch["slice"], "classes": [zstandard.compress(above.astype(np.uint8).tobytes(), 1)]})
+
+    out = np.zeros(SKETCH, dtype=np.uint8)
+    for p in sums.mapInPandas(classes, "slice int, classes binary").collect():  # a byte for each of SKETCH cells, packed
+        out[p["slice"] * width:(p["slice"] + 1) * width] = np.frombuffer(zstandard.decompress(p["classes"]), dtype=np.uint8)
+    return out, floor
 
 
 def least_overlap(size: np.ndarray, percent: int) -> np.ndarray:
@@ -620,14 +640,21 @@ def linked(docs: DataFrame, percent: int = PERCENT, n: int = N, chunk=None) -> D
     # Any choice here is right; likely links are chosen, as sets travel for each. Step 3 finds what this misses.
     links = written(verified(likely(lists, percent), rows, homes, percent, n), "links")
     labels = components(links)
+    some = lambda df: df.limit(1).count() > 0
     for _ in range(ROUNDS):
-        more = written(verified(closest(lists, labels, percent), rows, homes, percent, n), "links")
-        if not more.limit(1).count():
+        pairs = closest(lists, labels, percent)
+        if not some(pairs):
+            break
+        more = written(verified(pairs, rows, homes, percent, n), "links")
+        if not some(more):
             break
         links = links.unionByName(more)
         labels = components(links)
-    more = verified(candidates(lists, labels, percent), rows, homes, percent, n)
-    labels = components(links.unionByName(written(more, "links")))
+    pairs = candidates(lists, labels, percent)
+    if some(pairs):
+        more = written(verified(pairs, rows, homes, percent, n), "links")
+        if some(more):
+            labels = components(links.unionByName(more))
 
     named = homes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))

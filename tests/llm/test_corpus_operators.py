@@ -4,15 +4,18 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barsmith.llm import ann, mixing, ngram_join, queries, substrings, topk, warc
+from barsmith.llm.common import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, source string, chunk string, node int, size int"
@@ -142,6 +145,29 @@ def test_pairs_of_a_large_group_are_joined_before_all_are_held_against_each_othe
     assert made[0].count() < 2 * len(texts)  # 23,246 without the rounds of closest()
 
 
+def test_hits_of_the_frequency_sketch_stay_off_the_driver(spark):
+    r, shape = np.random.default_rng(3), (ngram_join.SLICES, ngram_join.SKETCH // ngram_join.SLICES)
+    tasks = [r.poisson(5, shape).astype(np.uint8), (r.poisson(5, shape) ** 4).astype(np.uint32)]
+    count = sum(x.astype(np.int64) for x in tasks)
+    packed = [(k, zstandard.compress(part.tobytes(), 1)) for x in tasks for k, part in enumerate(x)]
+    slices = written(spark.createDataFrame(packed, "slice int, counts binary"), "test-slices")
+    tracemalloc.start()
+    classes, floor = ngram_join.frequency_classes(slices)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert floor == pytest.approx(np.median(count) + 3 * np.median(count) ** 0.5) and classes.max() > 3
+    assert (classes == np.ceil(np.log2(np.maximum(count.ravel().astype(np.float32) / floor, 1)))).all()
+    assert most < 2 * ngram_join.SKETCH  # the classes have a byte a cell, the hits four
+
+
+def test_without_pairs_nothing_is_verified(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(ngram_join, "verified", lambda *a, f=ngram_join.verified: asked.append(a) or f(*a))
+    got = ngram_join.linked(corpus(spark, [" ".join(f"w{k}x{i}" for i in range(20)) for k in range(30)])).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == [(k, 17, k) for k in range(30)]
+    assert len(asked) == 1  # the likely links; three times before
+
+
 def fast_links(texts, n=4, percent=85):
     sets = [{tuple(t.split()[k:k + n]) for k in range(len(t.split()) - n + 1)} for t in texts]
     number = {}
