@@ -6,8 +6,7 @@ import functools
 import json
 import re
 from array import array
-from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,6 +31,9 @@ _WORDS = re.compile(r" ?[^ \n]+|\n")
 #: Letters and then other signs (no apostrophe): two pre-tokens, of classes that no Unicode version has changed.
 _SIMPLE = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 _NEVER = 1 << 30
+#: Bits of a token's number.
+TOKEN_BITS = 24
+TOKEN = (1 << TOKEN_BITS) - 1
 
 
 class Merges:
@@ -57,10 +59,16 @@ class Merges:
         for i in single | parts.keys():
             self.known[table[i]] = i
         self.longest = max(map(len, self.known))
-        #: Starts of words: their last token and their count.
-        self.starts: dict[bytes, tuple[int, int]] = {}
+        #: Bytes of the tokens; the number behind the last stands for no token.
+        self.size = [*map(len, table), 0]
+        #: Starts of words, of START bytes at most: their last token, and above it the number of their shape, the counts of
+        #: their own starts. Plain numbers, which Python's garbage collector has no need to look at.
+        self.starts: dict[bytes, int] = {}
+        self.shapes: list[bytes] = []
+        self.shape_of: dict[bytes, int] = {}
+        self.forget()
         self._parts = parts
-        self._ok: dict[tuple[int, int], bool] = {}
+        self._ok: dict[int, bool] = {}
         self._left: dict[int, list[tuple[int, int]]] = {}
         self._right: dict[int, list[tuple[int, int]]] = {}
 
@@ -83,7 +91,7 @@ class Merges:
     def neighbours(self, a: int, b: int) -> bool:
         """Do the bytes of a and b encode as a, b? They do unless two tokens that face each other at the border while a
         and b grow are merged first: merges come by rank, equal ranks from the left."""
-        key = (a, b)
+        key = a << TOKEN_BITS | b
         found = self._ok.get(key)
         if found is None:
             left, right = self.spine(a, 1), self.spine(b, 0)
@@ -104,53 +112,83 @@ class Merges:
             self._ok[key] = found
         return found
 
-    def counts(self, word: bytes) -> list[int]:
+    def counts(self, word: bytes) -> Sequence[int]:
         """Tokens of word[:i] for every i from 0 on.
 
         The encoding of a prefix is that of a shorter one and one more token, and whether that token may follow depends
         only on the last one before it. So each place needs its last token and its count alone, of the one token that
-        ends there and may follow what its own start has. Words share the places of the starts that they share.
+        ends there and may follow what its own start has. Words share the starts that they have in common: the longest
+        one that is known has the counts of all shorter ones, and only the places behind it are worked out.
         """
-        last, count, starts = [-1], [0], self.starts
-        for e in range(1, len(word) + 1):
-            place = starts.get(word[:e]) if e <= START else None
-            if place is None:
-                place = self._place(word, e, last, count)
-                if e <= START:
-                    starts[word[:e]] = place
-            last.append(place[0])
-            count.append(place[1])
+        starts, start = self.starts, word[:START]
+        e = len(start)
+        while (place := starts.get(start[:e])) is None:  # starts of a known start are known; most often few letters are new
+            e -= 1
+        token, count = place & TOKEN, self.shapes[place >> TOKEN_BITS]
+        if e < len(start):
+            last = lambda s: starts[start[:s]] & TOKEN
+            for e in range(e + 1, len(start) + 1):
+                s, token = self._end(word, e, token, last)
+                count += bytes((count[s] + 1,))
+                shape = self.shape_of.setdefault(count, len(self.shapes))
+                if shape == len(self.shapes):
+                    self.shapes.append(count)
+                starts[start[:e]] = shape << TOKEN_BITS | token
+        if len(word) == len(start):
+            return count
+        tokens, count = [starts[start[:i]] & TOKEN for i in range(START + 1)], list(count)
+        for e in range(START + 1, len(word) + 1):
+            s, token = self._end(word, e, token, tokens.__getitem__)
+            tokens.append(token)
+            count.append(count[s] + 1)
         return count
 
-    def _place(self, word: bytes, e: int, last: list[int], count: list[int]) -> tuple[int, int]:
+    def _end(self, word: bytes, e: int, token: int, last: Callable[[int], int]) -> tuple[int, int]:
+        """Where the last token of word[:e] begins, and the token; token is that of word[:e - 1], last(s) that of word[:s].
+
+        Only one fits, so the order of trials is a matter of time: first that which continues token, then long ones.
+        """
+        known = self.known
+        s = e - 1 - self.size[token]
+        found = known.get(word[s:e], -1)
+        if found >= 0 and (s == 0 or self.neighbours(last(s), found)):
+            return s, found
         ends = []
         for s in range(e - 1, max(0, e - self.longest) - 1, -1):
-            token = self.known.get(word[s:e])
-            if token is None:
+            found = known.get(word[s:e])
+            if found is None:
                 break
-            if token >= 0:
-                ends.append((s, token))
-        for s, token in reversed(ends):  # long tokens first: most often it is the longest
-            if s == 0 or self.neighbours(last[s], token):
-                return token, count[s] + 1
+            if found >= 0:
+                ends.append((s, found))
+        for s, found in reversed(ends):
+            if s == 0 or self.neighbours(last(s), found):
+                return s, found
         raise AssertionError("a byte without a token")
 
+    def forget(self) -> None:
+        """Only the empty start stays."""
+        self.starts.clear()
+        self.starts[b""] = len(self.size) - 1
+        self.shapes[:] = [b"\0"]
+        self.shape_of.clear()
+        self.shape_of[b"\0"] = 0
+
 
 @functools.cache
 def merges(path: str) -> Merges:
     return Merges(path)
 
 
-def _by_letter(m: Merges, word: str) -> list[int]:
+def _by_letter(m: Merges, word: str) -> Sequence[int]:
     """Tokens of word[:i] for every number of characters i from 1 on, word being one pre-token or the start of one."""
     data = word.encode()
     count = m.counts(data)
     if len(data) == len(word):
         return count[1:]
-    return [count[e] for e in accumulate(1 if c < "\x80" else len(c.encode()) for c in word)]
+    return [c for c, after in zip(count[1:], data[1:] + b" ", strict=True) if after & 0xC0 != 0x80]  # where a character ends
 
 
-def piece_counts(path: str, text: str) -> tuple[list[int], int]:
+def piece_counts(path: str, text: str) -> tuple[Sequence[int], int]:
     """Tokens of text[:i], as a text by itself, for i from 1 on; and of the whole, if something that is not white follows.
 
     The pre-tokens are the library's. A prefix that ends inside one has the same pre-tokens before it, with two
@@ -163,7 +201,7 @@ def piece_counts(path: str, text: str) -> tuple[list[int], int]:
     if simple:
         out = _by_letter(m, simple[1])
         if simple[2]:
-            out += [out[-1] + c for c in m.counts(simple[2].encode())[1:]]
+            out = [*out, *(out[-1] + c for c in m.counts(simple[2].encode())[1:])]
         return out, out[-1]
     out = []
     done = run_at = run_done = 0  # tokens so far; where the last white run begins, and tokens before it
@@ -239,7 +277,7 @@ def text_counts(path: str, texts: list[str]) -> list[np.ndarray]:
     known = _memory.setdefault(path, Pieces(path))
     if known.letters > REMEMBERED:
         known = _memory[path] = Pieces(path)
-        merges(path).starts.clear()
+        merges(path).forget()
     _, special = _specials(path)
     plans: list[list[tuple[list[int], int]]] = []  # per text: pieces of a stretch, letters of the special token behind it
     for text in texts:

@@ -49,6 +49,23 @@ def test_memory_is_bounded(monkeypatch):
     monkeypatch.undo()
 
 
+def test_known_starts_are_not_walked_again():
+    class Asked(dict):
+        times = 0
+
+        def get(self, *a):
+            self.times += 1
+            return super().get(*a)
+
+    m = tc.Merges(PATH)
+    word = b" counterrevolutionariesandothers"
+    want = m.counts(word)
+    m.starts = Asked(m.starts)
+    assert list(m.counts(word)) == list(want) and m.starts.times == 1  # one look-up a letter before
+    assert list(m.counts(word + b"x"))[:-1] == list(want) and m.starts.times == 3
+    assert len(want) == len(word) + 1 and want[-1] == whole(word.decode())
+
+
 def test_borders_agree_with_the_library():
     m = tc.merges(PATH)
     table, rng = tc.token_bytes(PATH), random.Random(7)
