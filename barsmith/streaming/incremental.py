@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ def last_writes(stream: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
 
 #: Keys of the state store: tickers are dealt to so many buckets. It cannot change between runs from one checkpoint.
 BUCKETS = 1024
+#: Days of a bucket that lie further apart than this do not wait for each other.
+GAP = 31
 
 
 def _pack(frame: pd.DataFrame) -> bytes:
@@ -50,9 +53,10 @@ class _InOrder(StatefulProcessor):
     """Days of the tickers of a bucket, each ticker's taken in the order of their date however they arrive.
 
     A row of state costs far more than the work on a day, so the days that a batch brings to a bucket wait as one row of a
-    list until a timer, at the last of them, fires: then the watermark has passed them and nothing earlier can come. What
-    has been seen so far is one row a ticker in another list. Both live in the state store, so a query that starts again
-    from its checkpoint goes on where it was.
+    list until a timer, at the last of them, fires: then the watermark has passed them and nothing earlier can come. Where
+    a batch leaves out more than GAP days, those before have a timer of their own: a single far day, of any ticker of the
+    bucket, would hold them back until the watermark had passed it too. What has been seen so far is one row a ticker in
+    another list. Both live in the state store, so a query that starts again from its checkpoint goes on where it was.
     """
 
     fields: Sequence[str]  # boolean columns of a day
@@ -67,7 +71,9 @@ class _InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         days = pd.concat([r[["ticker", "day", *self.fields]] for r in rows])
         self.waiting.appendValue((_pack(days),))
-        self.handle.registerTimer(int(days["day"].max()) * _DAY_MS)  # one timer a batch
+        at = np.unique(days["day"])
+        for last in [*at[:-1][np.diff(at) > GAP], at[-1]]:  # mostly one timer a batch
+            self.handle.registerTimer(int(last) * _DAY_MS)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -111,3 +111,43 @@ def test_a_bucket_keeps_the_days_of_a_batch_as_one_row_of_state():
     assert len(handle.lists["waiting"]) == 1 and handle.timers == [9 * 86_400_000]
     got = pd.concat(bucket.handleExpiredTimer((1,), Times(), None))
     assert len(got) == 50 and got["is_active"].all() and len(handle.lists["waiting"]) == 1 and len(handle.lists["now"]) == 50
+
+
+def taken(bucket, days, passed):
+    """What a bucket gives, in a row for each timer that fires, when a batch has brought it days and the watermark is at passed."""
+    import pandas as pd
+
+    class List(list):
+        get, put, clear, appendValue = lambda self: list(self), lambda self, rows: self.__setitem__(slice(None), rows), list.clear, list.append
+
+    class Handle:
+        def __init__(self):
+            self.lists, self.timers = {}, set()
+
+        def getListState(self, name, schema):
+            return self.lists.setdefault(name, List())
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return passed * 86_400_000
+
+    handle = Handle()
+    bucket.init(handle)
+    list(bucket.handleInputRows((1,), iter([pd.DataFrame(days, columns=["ticker", "day", *bucket.fields])]), None))
+    fired = [at for at in handle.timers if at <= passed * 86_400_000]
+    got = [list(bucket.handleExpiredTimer((1,), Times(), None)) for _ in fired]
+    return [[tuple(r) for frame in frames for r in frame.itertuples(index=False)] for frames in got], len(handle.lists["waiting"])
+
+
+def day(n):
+    return dt.date(1970, 1, 1) + dt.timedelta(n)
+
+
+def test_a_far_day_does_not_hold_back_the_members_of_its_bucket():
+    """All days of a replay, with the far one that ends it, may come in one batch."""
+    got, waiting = taken(inc.Membership(2), [("A", 3, True), ("B", 10, True), ("A", 8, False), ("A", 9, False), (None, 3660, False)], 3630)
+    assert len(got) == 1 and waiting == 1
+    assert sorted(got[0]) == [("A", day(3), True), ("A", day(9), False), ("B", day(10), True)]
