@@ -151,3 +151,11 @@ def test_a_far_day_does_not_hold_back_the_members_of_its_bucket():
     got, waiting = taken(inc.Membership(2), [("A", 3, True), ("B", 10, True), ("A", 8, False), ("A", 9, False), (None, 3660, False)], 3630)
     assert len(got) == 1 and waiting == 1
     assert sorted(got[0]) == [("A", day(3), True), ("A", day(9), False), ("B", day(10), True)]
+
+
+def test_a_far_day_does_not_hold_back_the_sessions_of_its_bucket():
+    days = [("A", 3, True, True), ("A", 5, True, False), ("A", 7, False, False), ("B", 90, True, True), ("B", 91, False, True), (None, 3741, False, False)]
+    got, waiting = taken(inc.Sessions(), days, 3711)
+    assert sorted(len(rows) for rows in got) == [0, 4] and waiting == 1  # the first timer takes all days that have passed
+    closed = [(t, n, lo, hi, last) for t, event, n, lo, hi, last in got[0] if event == "close"]
+    assert closed == [("A", 1, day(3), day(7), day(5)), ("B", 1, day(90), day(91), day(90))]
