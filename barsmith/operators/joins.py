@@ -26,6 +26,16 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_on: str, right_on: st
     return line.select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in take])
 
 
+def asof_few(left: DataFrame, right: DataFrame, key: str, left_on: str, right_on: str, take: Sequence[str]) -> DataFrame:
+    """As asof(), for a right side with few rows a key: they come to each left row as one list. A left side that is
+    partitioned by key (after a window of the key, or a repartition by it) is not exchanged. Null keys and times match nothing."""
+    at = F.struct(F.col(right_on).alias("t"), F.struct(*[F.col(c) for c in take]).alias("r"))
+    lists = right.where(F.col(right_on).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.collect_list(at).alias("__f"))
+    joined = left.join(lists.hint("merge"), left[key] == F.col("__k"), "left")
+    last = F.array_max(F.filter("__f", lambda f: f["t"] <= F.col(left_on)))["r"]
+    return joined.select(*left.columns, last.alias("__r")).select(*left.columns, *[F.col(f"__r.{c}").alias(c) for c in take])
+
+
 def interval_join(left: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, how: str = "inner", closed: bool = False) -> DataFrame:
     """left rows with the spans of their key that hold them: [start, end), or [start, end] if closed; a null end
     is open. Equi-join on the key with the range as its other condition."""

@@ -12,7 +12,7 @@ from barsmith.operators import quality as q
 from barsmith.operators import sessions as se
 from barsmith.operators import trades as tr
 from barsmith.plans.base import LINE, ORACLE_SQL, QUERIES, over
-from barsmith.plans.features import FLAGGED, flagged
+from barsmith.plans.features import FLAGGED, flagged, rounded
 from barsmith.plans.features import rounded_sql as r
 from barsmith.plans.markets import PILLARS, WIDE, day_line, pillars
 from barsmith.plans.screening import rule
@@ -180,9 +180,12 @@ def resolved(df: DataFrame, names: list[str], derived: dict) -> DataFrame:
 @rule("v17_dense_deployment", ("bars", "fundamentals"), f"""select t2.ticker, t2.date, {r('t2.close')} as close, {r(f'(t2.sma_50 - lag(t2.sma_50) over (partition by t2.ticker order by t2.date)) / nullif(abs(lag(t2.sma_50) over (partition by t2.ticker order by t2.date)), 0)')} as sma_50_delta,
 {r('f.revenue')} as revenue, {r('t2.close / nullif(t2.sma_200, 0)')} as price_to_sma_200 from t2 asof left join (select * from fundamentals qualify row_number() over (partition by ticker, filing_date order by period_end desc) = 1) f on t2.ticker = f.ticker and t2.date >= f.filing_date""", T2)
 def v17(spark, sf_dir):
+    """close and averages as v1_screener_features has them, made here in the one layout by ticker that the rest needs."""
     f = j.latest_per_key(t.fundamentals(spark, sf_dir), ["ticker", "filing_date"], [F.desc("period_end")])
-    d = j.asof(screener(spark, sf_dir), f, "ticker", "date", "filing_date", ["revenue"])
-    return resolved(d, ["close", "sma_50_delta", "revenue", "price_to_sma_200"], {"price_to_sma_200": c.safe_ratio("close", "sma_200")})
+    means = {f"sma_{n}": F.avg("close").over(c.back(n)) for n in (50, 200)}
+    d = t.bars(spark, sf_dir, lines=True).select("ticker", "date", rounded(F.col("close")).alias("close"), *[rounded(x).alias(n) for n, x in means.items()])
+    d = resolved(d, ["close", "sma_50_delta", "price_to_sma_200"], {"price_to_sma_200": c.safe_ratio("close", "sma_200")})
+    return j.asof_few(d, f, "ticker", "date", "filing_date", ["revenue"]).select("ticker", "date", "close", "sma_50_delta", "revenue", "price_to_sma_200")
 
 
 @rule("v18_entry_pool", ("bars",), f"select ticker, session_id, date, {r('close')} as close, {r('mom_63d')} as mom_63d from t3 where date = entry_date", T3)

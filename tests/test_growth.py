@@ -74,3 +74,19 @@ def test_a_quantile_between_equal_values_is_that_value(spark):
         assert se.exact_quantiles(d, ["x"], shares).first().x == [v] * 9
         if v > 3:
             break
+
+
+def test_dense_deployment_exchanges_no_wide_rows(spark):
+    text = __spark_entry__.queries()["v17_dense_deployment"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(date" not in text and text.count("REPARTITION_BY_NUM") == 1  # line items, by ticker
+
+
+def test_the_few_rows_before_a_row(spark):
+    from barsmith.operators import joins as j
+
+    left = spark.createDataFrame([(k, t) for k in ("a", "b", "c") for t in (1, 3, 5, None)], "k string, t int")
+    right = spark.createDataFrame([("a", 3, 1.0), ("a", 3, 2.0), ("a", 0, None), ("a", None, 9.0), ("b", 4, 7.0), ("d", 1, 8.0)], "k string, at int, v double")
+    got = {(r.k, r.t): r.v for r in j.asof_few(left, right, "k", "t", "at", ["v"]).collect()}
+    assert got == {("a", 1): None, ("a", 3): 2.0, ("a", 5): 2.0, ("b", 5): 7.0} | {k: None for k in got if k not in (("a", 3), ("a", 5), ("b", 5))} and len(got) == 12
+    known = left.where("t is not null"), right.where("at is not null")
+    assert sorted(map(str, j.asof_few(*known, "k", "t", "at", ["v"]).collect())) == sorted(map(str, j.asof(*known, "k", "t", "at", ["v"]).collect()))
