@@ -81,3 +81,34 @@ def test_wide_rows_are_exchanged_once(spark):
 
     plan = registry.QUERIES["v1_screener_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.index("hashpartitioning(date") < plan.index("hashpartitioning(ticker")  # a plan begins with its last step
+
+
+def test_wide_rows_are_not_exchanged(spark):
+    """What the day ranks and its ranks alone change their layout: before, rows with all columns went to their day."""
+    import re
+
+    from barsmith.plans import registry
+
+    df = registry.QUERIES["v1_screener_table"](spark, "/root/testdata/sf0.001")
+    text = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert len(df.columns) > 55 and max(map(int, re.findall(r"Exchange\nInput \[(\d+)\]", text))) <= 22
+
+
+def test_columns_without_factors_of_ranked_windows_are_those_of_the_whole_table(spark):
+    r = random.Random(3)
+    rows = []
+    for k in range(9):
+        close = 50.0
+        for i in range(290):
+            close *= 1 + r.gauss(0.001 * (k - 4), 0.02)
+            if r.random() > 0.03:
+                rows.append((f"T{k}", DAY + dt.timedelta(i), close * 0.99, close * 1.01, close * 0.98, close, r.randrange(3) * 100))
+    bench = spark.createDataFrame([(DAY + dt.timedelta(i), 5.0 + i % 7) for i in range(290) if i != 200], "date date, spy_close double")
+    profiles = spark.createDataFrame([(f"T{k}", f"s{k % 2}", f"i{k % 3}") for k in range(8)], "ticker string, sector string, industry string")
+    some = [n for n in sc.COLUMNS if n not in sc.AGAIN]
+    key = lambda x: (x.ticker, x.date)
+    want = sorted(sc.screener_table(bars_of(spark, rows), bench, profiles).select(*some).collect(), key=key)
+    got = sorted(sc.screener_table(bars_of(spark, rows), bench, profiles, some, 5).collect(), key=key)
+    assert len(got) == len(want) > 2000 and got[0].__fields__ == some
+    same = lambda v, w: v == w or (isinstance(v, float) and isinstance(w, float) and abs(v - w) <= 1e-9 * max(1, abs(w)))
+    assert [(x, n) for x, y in zip(got, want, strict=True) for n in some if not same(x[n], y[n])] == []
